@@ -48,6 +48,10 @@ class Book:
     recur: dict[int, dict[str, Recurrence]] = field(default_factory=lambda: {1: {}, 2: {}})
     outputs: list[str] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        self.O, self.H, self.L, self.C, self.V = (F.col(c) for c in ("open", "high", "low", "close", "volume"))
+        self.RN = F.col("rn")
+
     def put(self, stage: str, name: str, col: Column, out: bool = True) -> None:
         self.stages[stage].setdefault(name, col)
         if out and name not in self.outputs:
@@ -60,69 +64,65 @@ class Book:
         self.recur[generation].setdefault(name, Recurrence(name, drive, q))
 
 
-O, H, L, C, V = (F.col(c) for c in ("open", "high", "low", "close", "volume"))
-RN = F.col("rn")
-
-
 def _log_return(b: Book) -> None:
-    b.hidden("base", "__c1", b.blocks.lag(C))
-    b.hidden("base", "__lr", F.log(sdiv(C, b.blocks.lag(C))))
+    b.hidden("base", "__c1", b.blocks.lag(b.C))
+    b.hidden("base", "__lr", F.log(sdiv(b.C, b.blocks.lag(b.C))))
 
 
 def price_action(b: Book) -> None:
     w = b.blocks
     _log_return(b)
     for k in RETURN_STEPS:
-        b.put("base", f"return_{k}d", w.pct_change(C, k))
+        b.put("base", f"return_{k}d", w.pct_change(b.C, k))
     for k in (1, 5):
-        b.put("base", f"log_return_{k}d", F.log(sdiv(C, w.lag(C, k))))
+        b.put("base", f"log_return_{k}d", F.log(sdiv(b.C, w.lag(b.C, k))))
     for n in (5, 10, 20):
         b.put("first", f"volatility_{n}d", w.std("__lr", n) * YEAR)
-    spread = 0.5 * F.pow(F.log(sdiv(H, L)), 2) - (2 * LN2 - 1) * F.pow(F.log(sdiv(C, O)), 2)
+    spread = 0.5 * F.pow(F.log(sdiv(b.H, b.L)), 2) - (2 * LN2 - 1) * F.pow(F.log(sdiv(b.C, b.O)), 2)
     b.hidden("base", "__gk", spread)
     b.put("first", "gk_volatility", safe_sqrt(w.mean("__gk", 20) * TRADING_DAYS))
-    b.put("base", "high_low_range", sdiv(H - L, C))
-    b.put("base", "close_position", ratio(C - L, H - L))
-    b.put("base", "gap", sdiv(O, w.lag(C)) - 1.0)
+    b.put("base", "high_low_range", sdiv(b.H - b.L, b.C))
+    b.put("base", "close_position", ratio(b.C - b.L, b.H - b.L))
+    b.put("base", "gap", sdiv(b.O, w.lag(b.C)) - 1.0)
 
 
 def moving_averages(b: Book, windows: Sequence[int] = SMA_WINDOWS) -> None:
     for n in windows:
-        b.put("base", f"sma_{n}", b.blocks.mean(C, n))
-        b.put("first", f"close_to_sma_{n}", sdiv(C, F.col(f"sma_{n}")) - 1.0)
+        b.put("base", f"sma_{n}", b.blocks.mean(b.C, n))
+        b.put("first", f"close_to_sma_{n}", sdiv(b.C, F.col(f"sma_{n}")) - 1.0)
 
 
 def _ema(b: Book, name: str, span: int) -> None:
     alpha = 2.0 / (span + 1)
-    b.recurrence(1, name, F.when(RN == 1, C).otherwise(alpha * C), 1 - alpha)
+    b.recurrence(1, name, F.when(b.RN == 1, b.C).otherwise(alpha * b.C), 1 - alpha)
 
 
 def exponential_averages(b: Book, windows: Sequence[int] = EMA_WINDOWS) -> None:
     for n in windows:
         _ema(b, f"__ema{n}", n)
-        b.put("mid", f"ema_{n}", F.when(RN >= n, F.col(f"__ema{n}")))
-        b.put("mid", f"close_to_ema_{n}", F.when(RN >= n, sdiv(C, F.col(f"__ema{n}")) - 1.0))
+        b.put("mid", f"ema_{n}", F.when(b.RN >= n, F.col(f"__ema{n}")))
+        b.put("mid", f"close_to_ema_{n}", F.when(b.RN >= n, sdiv(b.C, F.col(f"__ema{n}")) - 1.0))
 
 
 def macd(b: Book, fast: int = 12, slow: int = 26, signal: int = 9) -> None:
     _ema(b, f"__ema{fast}", fast)
     _ema(b, f"__ema{slow}", slow)
-    b.put("mid", "macd", F.when(RN >= slow, F.col(f"__ema{fast}") - F.col(f"__ema{slow}")))
+    b.put("mid", "macd", F.when(b.RN >= slow, F.col(f"__ema{fast}") - F.col(f"__ema{slow}")))
     alpha = 2.0 / (signal + 1)
     drive = (
-        F.when(RN < slow, F.lit(0.0)).when(RN == slow, F.col("macd")).otherwise(alpha * F.col("macd"))
+        F.when(b.RN < slow, F.lit(0.0)).when(b.RN == slow, F.col("macd")).otherwise(alpha * F.col("macd"))
     )
     b.recurrence(2, "__macd_signal", drive, 1 - alpha)
-    b.put("last", "macd_signal", F.when(RN >= slow + signal - 1, F.col("__macd_signal")))
+    b.put("last", "macd_signal", F.when(b.RN >= slow + signal - 1, F.col("__macd_signal")))
     b.put("final", "macd_hist", F.col("macd") - F.col("macd_signal"))
     for name in ("macd", "macd_signal"):
-        b.put("final", f"{name}_norm", ratio(name, C))
-    b.put("final", "macd_hist_norm", ratio(F.col("macd") - F.col("macd_signal"), C))
+        b.put("final", f"{name}_norm", ratio(name, b.C))
+    b.put("final", "macd_hist_norm", ratio(F.col("macd") - F.col("macd_signal"), b.C))
 
 
 def _true_range(b: Book) -> None:
-    prev = b.blocks.lag(C)
-    b.hidden("base", "__tr", F.greatest(H - L, F.abs(H - prev), F.abs(L - prev)))
+    prev = b.blocks.lag(b.C)
+    b.hidden("base", "__tr", F.greatest(b.H - b.L, F.abs(b.H - prev), F.abs(b.L - prev)))
 
 
 def average_true_range(b: Book, n: int = 14) -> None:
@@ -130,18 +130,18 @@ def average_true_range(b: Book, n: int = 14) -> None:
     _true_range(b)
     b.hidden("first", "__tr_seed", F.avg("__tr").over(w.rolling(n)))
     drive = (
-        F.when(RN < n, F.lit(0.0)).when(RN == n, F.col("__tr_seed")).otherwise(F.col("__tr") / n)
+        F.when(b.RN < n, F.lit(0.0)).when(b.RN == n, F.col("__tr_seed")).otherwise(F.col("__tr") / n)
     )
     b.recurrence(1, "__atr", drive, 1 - 1.0 / n)
-    b.put("mid", "atr_14", F.when(RN >= n, F.col("__atr")))
-    b.put("last", "atr_pct", ratio("atr_14", C))
+    b.put("mid", "atr_14", F.when(b.RN >= n, F.col("__atr")))
+    b.put("last", "atr_pct", ratio("atr_14", b.C))
 
 
 def directional_movement(b: Book, n: int = 14) -> None:
     """Wilder's DI and ADX: sums seeded with the first n moves, ADX with the first n DX."""
     w = b.blocks
     _true_range(b)
-    up, down = H - w.lag(H), w.lag(L) - L
+    up, down = b.H - w.lag(b.H), w.lag(b.L) - b.L
     b.hidden("base", "__dm_up", F.when((up > down) & (up > 0), up).otherwise(F.lit(0.0)))
     b.hidden("base", "__dm_down", F.when((down > up) & (down > 0), down).otherwise(F.lit(0.0)))
     q = 1 - 1.0 / n
@@ -150,10 +150,10 @@ def directional_movement(b: Book, n: int = 14) -> None:
         seed = F.sum(src).over(w.rolling(n))
         b.hidden("first", f"{src}_sum", seed)
         drive = (
-            F.when(RN <= n, F.lit(0.0)).when(RN == n + 1, F.col(f"{src}_sum")).otherwise(F.col(src))
+            F.when(b.RN <= n, F.lit(0.0)).when(b.RN == n + 1, F.col(f"{src}_sum")).otherwise(F.col(src))
         )
         b.recurrence(1, f"{src}_w", drive, q)
-    ready = RN >= n + 1
+    ready = b.RN >= n + 1
     b.put("mid", "di_plus", F.when(ready, 100.0 * sdiv("__dm_up_w", "__tr_w")))
     b.put("mid", "di_minus", F.when(ready, 100.0 * sdiv("__dm_down_w", "__tr_w")))
     total = F.col("__dm_up_w") + F.col("__dm_down_w")
@@ -162,10 +162,10 @@ def directional_movement(b: Book, n: int = 14) -> None:
     b.hidden("mid2", "__dx_seed", F.avg("__dx").over(w.rolling(n)))
     start = 2 * n
     drive = (
-        F.when(RN < start, F.lit(0.0)).when(RN == start, F.col("__dx_seed")).otherwise(F.col("__dx") / n)
+        F.when(b.RN < start, F.lit(0.0)).when(b.RN == start, F.col("__dx_seed")).otherwise(F.col("__dx") / n)
     )
     b.recurrence(2, "__adx", drive, q)
-    b.put("last", "adx", F.when(RN >= start, F.col("__adx")))
+    b.put("last", "adx", F.when(b.RN >= start, F.col("__adx")))
     b.put("last", "di_spread", F.col("di_plus") - F.col("di_minus"))
     b.put("final", "trend_strong", flag(F.col("adx") > 25, b.null_as_zero))
     b.put("final", "trend_very_strong", flag(F.col("adx") > 40, b.null_as_zero))
@@ -175,18 +175,18 @@ def ichimoku(b: Book) -> None:
     w = b.blocks
 
     def midpoint(n: int) -> Column:
-        return (w.highest(H, n) + w.lowest(L, n)) / 2.0
+        return (w.highest(b.H, n) + w.lowest(b.L, n)) / 2.0
 
     b.put("base", "ichimoku_conv", midpoint(9))
     b.put("base", "ichimoku_base", midpoint(26))
     b.put("base", "ichimoku_b", midpoint(52))
     b.put("first", "ichimoku_a", (F.col("ichimoku_conv") + F.col("ichimoku_base")) / 2.0)
     for part in ("conv", "base", "a", "b"):
-        b.put("mid", f"close_to_ichimoku_{part}", ratio(C, f"ichimoku_{part}") - 1.0)
+        b.put("mid", f"close_to_ichimoku_{part}", ratio(b.C, f"ichimoku_{part}") - 1.0)
 
 
 def relative_strength(b: Book, n: int = 14) -> None:
-    move = C - b.blocks.lag(C)
+    move = b.C - b.blocks.lag(b.C)
     b.hidden("base", "__gain", F.coalesce(F.greatest(move, F.lit(0.0)), F.lit(0.0)) / n)
     b.hidden("base", "__loss", F.coalesce(F.greatest(-move, F.lit(0.0)), F.lit(0.0)) / n)
     for side in ("gain", "loss"):
@@ -194,27 +194,27 @@ def relative_strength(b: Book, n: int = 14) -> None:
     rsi = F.when(F.col("__avg_loss") == 0, F.lit(100.0)).otherwise(
         100.0 - 100.0 / (1.0 + sdiv("__avg_gain", "__avg_loss"))
     )
-    b.put("mid", "rsi_14", F.when(RN >= n, rsi))
+    b.put("mid", "rsi_14", F.when(b.RN >= n, rsi))
 
 
 def stochastics(b: Book, n: int = 14) -> None:
     w = b.blocks
-    b.hidden("base", "__hh", w.highest(H, n))
-    b.hidden("base", "__ll", w.lowest(L, n))
+    b.hidden("base", "__hh", w.highest(b.H, n))
+    b.hidden("base", "__ll", w.lowest(b.L, n))
     span = F.col("__hh") - F.col("__ll")
-    b.put("first", "stoch_k", 100.0 * sdiv(C - F.col("__ll"), span))
+    b.put("first", "stoch_k", 100.0 * sdiv(b.C - F.col("__ll"), span))
     b.put("mid", "stoch_d", w.mean("stoch_k", 3))
-    b.put("first", "williams_r", -100.0 * sdiv(F.col("__hh") - C, span))
+    b.put("first", "williams_r", -100.0 * sdiv(F.col("__hh") - b.C, span))
 
 
 def rate_of_change(b: Book) -> None:
     for k in (5, 10, 20):
-        b.put("base", f"roc_{k}", 100.0 * sdiv(C - b.blocks.lag(C, k), b.blocks.lag(C, k)))
+        b.put("base", f"roc_{k}", 100.0 * sdiv(b.C - b.blocks.lag(b.C, k), b.blocks.lag(b.C, k)))
 
 
 def commodity_channel(b: Book, n: int = 20) -> None:
     w = b.blocks
-    tp = (H + L + C) / 3.0
+    tp = (b.H + b.L + b.C) / 3.0
     b.hidden("base", "__tp20", w.mean(tp, n))
     b.hidden("base", "__tps", F.collect_list(tp).over(w.rolling(n)))
     mad = F.aggregate(
@@ -225,24 +225,24 @@ def commodity_channel(b: Book, n: int = 20) -> None:
 
 def bollinger(b: Book, n: int = 20, width: float = 2.0) -> None:
     w = b.blocks
-    mean, dev = w.mean(C, n), w.std_pop(C, n)
+    mean, dev = w.mean(b.C, n), w.std_pop(b.C, n)
     b.put("base", "bb_upper", mean + width * dev)
     b.put("base", "bb_lower", mean - width * dev)
     up, low = F.col("bb_upper"), F.col("bb_lower")
-    b.put("first", "bb_width", ratio(up - low, C))
-    b.put("first", "bb_position", ratio(C - low, up - low))
+    b.put("first", "bb_width", ratio(up - low, b.C))
+    b.put("first", "bb_position", ratio(b.C - low, up - low))
 
 
 def keltner(b: Book, n: int = 20) -> None:
     w = b.blocks
-    b.put("base", "kc_upper", w.mean((4.0 * H - 2.0 * L + C) / 3.0, n))
-    b.put("base", "kc_lower", w.mean((-2.0 * H + 4.0 * L + C) / 3.0, n))
+    b.put("base", "kc_upper", w.mean((4.0 * b.H - 2.0 * b.L + b.C) / 3.0, n))
+    b.put("base", "kc_lower", w.mean((-2.0 * b.H + 4.0 * b.L + b.C) / 3.0, n))
     for side in ("upper", "lower"):
-        b.put("first", f"close_to_kc_{side}", ratio(C, f"kc_{side}") - 1.0)
+        b.put("first", f"close_to_kc_{side}", ratio(b.C, f"kc_{side}") - 1.0)
 
 
 def parkinson(b: Book) -> None:
-    b.hidden("base", "__hl2", F.pow(F.log(sdiv(H, L)), 2))
+    b.hidden("base", "__hl2", F.pow(F.log(sdiv(b.H, b.L)), 2))
     for n in (5, 20):
         b.put("first", f"parkinson_vol_{n}d", F.sqrt(b.blocks.mean("__hl2", n) / (4 * LN2) * TRADING_DAYS))
 
@@ -257,37 +257,37 @@ def cumulative_volume(b: Book) -> None:
 
 def money_flow(b: Book, n: int = 14) -> None:
     w = b.blocks
-    tp = (H + L + C) / 3.0
+    tp = (b.H + b.L + b.C) / 3.0
     b.hidden("base", "__tp", tp)
     b.hidden("base", "__tp_prev", w.lag(tp))
-    flow = F.col("__tp") * V
+    flow = F.col("__tp") * b.V
     up = F.when(F.col("__tp") > F.col("__tp_prev"), flow).otherwise(F.lit(0.0))
     down = F.when(F.col("__tp") < F.col("__tp_prev"), flow).otherwise(F.lit(0.0))
     pos, neg = (F.sum(x).over(w.rolling(n)) for x in (up, down))
     mfi = F.when(neg == 0, F.lit(100.0)).otherwise(100.0 - 100.0 / (1.0 + sdiv(pos, neg)))
-    b.put("first", "mfi_14", F.when(RN >= n, mfi))
+    b.put("first", "mfi_14", F.when(b.RN >= n, mfi))
 
 
 def volume_ratios(b: Book) -> None:
     w = b.blocks
-    b.put("base", "volume_sma_20", w.mean(V, 20))
-    b.put("first", "volume_ratio", sdiv(V, F.col("volume_sma_20") + 1.0))
-    b.put("base", "volume_surge", sdiv(V - w.mean(V, 20), w.std(V, 20) + 1.0))
+    b.put("base", "volume_sma_20", w.mean(b.V, 20))
+    b.put("first", "volume_ratio", sdiv(b.V, F.col("volume_sma_20") + 1.0))
+    b.put("base", "volume_surge", sdiv(b.V - w.mean(b.V, 20), w.std(b.V, 20) + 1.0))
     b.put("first", "volume_surge_flag", flag(F.col("volume_surge") > 2.0, b.null_as_zero))
-    b.put("base", "rel_volume_5", sdiv(V, w.mean(V, 5) + 1.0))
-    b.hidden("base", "__up_vol", F.when(C > w.lag(C), V).otherwise(F.lit(0.0)))
-    b.hidden("base", "__down_vol", F.when(C < w.lag(C), V).otherwise(F.lit(0.0)))
+    b.put("base", "rel_volume_5", sdiv(b.V, w.mean(b.V, 5) + 1.0))
+    b.hidden("base", "__up_vol", F.when(b.C > w.lag(b.C), b.V).otherwise(F.lit(0.0)))
+    b.hidden("base", "__down_vol", F.when(b.C < w.lag(b.C), b.V).otherwise(F.lit(0.0)))
     b.put("first", "up_down_vol_ratio", sdiv(w.total("__up_vol", 10), w.total("__down_vol", 10) + 1.0))
 
 
 def vwap_family(b: Book) -> None:
     w = b.blocks
-    tp = (H + L + C) / 3.0
-    b.put("base", "vwap_proxy", sdiv(w.total(tp * V, 20), w.total(V, 20) + 1.0))
-    b.put("first", "close_to_vwap", ratio(C, "vwap_proxy") - 1.0)
-    b.put("first", "vwap_dev_5", ratio(C - F.col("vwap_proxy"), "vwap_proxy"))
+    tp = (b.H + b.L + b.C) / 3.0
+    b.put("base", "vwap_proxy", sdiv(w.total(tp * b.V, 20), w.total(b.V, 20) + 1.0))
+    b.put("first", "close_to_vwap", ratio(b.C, "vwap_proxy") - 1.0)
+    b.put("first", "vwap_dev_5", ratio(b.C - F.col("vwap_proxy"), "vwap_proxy"))
     partial = w.rolling(20)
-    b.put("base", "vwap", sdiv(F.sum(tp * V).over(partial), F.sum(V).over(partial) + EPS))
+    b.put("base", "vwap", sdiv(F.sum(tp * b.V).over(partial), F.sum(b.V).over(partial) + EPS))
 
 
 def _skew(w: Blocks, x: str, n: int) -> Column:
@@ -304,7 +304,7 @@ def moments(b: Book) -> None:
     g2 = F.kurtosis("__lr").over(w.rolling(n))
     b.put("first", "kurtosis_20", w.full("__lr", n, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6.0)))
     for k in (20, 50):
-        b.put("base", f"zscore_{k}", ratio(C - w.mean(C, k), w.std(C, k)))
+        b.put("base", f"zscore_{k}", ratio(b.C - w.mean(b.C, k), w.std(b.C, k)))
 
 
 def autocorrelations(b: Book) -> None:
@@ -319,21 +319,21 @@ def autocorrelations(b: Book) -> None:
 def microstructure(b: Book) -> None:
     w = b.blocks
     _log_return(b)
-    b.put("base", "range_expansion", ratio(H - L, w.mean(H - L, 5)))
+    b.put("base", "range_expansion", ratio(b.H - b.L, w.mean(b.H - b.L, 5)))
     std5, std20, std60 = (w.std("__lr", n) for n in (5, 20, 60))
     b.put("first", "vol_ratio_5_20", ratio(std5 * YEAR, std20 * YEAR))
     b.put("first", "vol_regime_60_20", ratio(std60, std20))
     b.put("first", "idiosyncratic_return", F.col("__lr") - w.mean("__lr", 20))
-    b.put("base", "momentum_accel", w.pct_change(C, 5) - w.pct_change(C, 10) / 2.0)
-    b.hidden("base", "__illiq", sdiv(F.abs(F.log(sdiv(C, w.lag(C)))), V + 1.0))
+    b.put("base", "momentum_accel", w.pct_change(b.C, 5) - w.pct_change(b.C, 10) / 2.0)
+    b.hidden("base", "__illiq", sdiv(F.abs(F.log(sdiv(b.C, w.lag(b.C)))), b.V + 1.0))
     b.put("first", "amihud_illiq", w.mean("__illiq", 20))
-    flow = ratio(C - O, H - L)
+    flow = ratio(b.C - b.O, b.H - b.L)
     b.put("base", "order_flow_imbalance", flow)
     b.put("first", "order_flow_ma5", w.mean("order_flow_imbalance", 5))
     moves = w.total(F.abs(F.col("__lr")), 20)
-    b.hidden("base", "__net20", F.abs(C - w.lag(C, 20)))
+    b.hidden("base", "__net20", F.abs(b.C - w.lag(b.C, 20)))
     b.put("first", "efficiency_ratio_20", ratio("__net20", moves))
-    b.hidden("base", "__step", F.abs(C - w.lag(C)))
+    b.hidden("base", "__step", F.abs(b.C - w.lag(b.C)))
     b.put("first", "efficiency_ratio_norm_20", ratio("__net20", w.total("__step", 20)))
 
 
@@ -341,11 +341,11 @@ def lags(b: Book) -> None:
     w = b.blocks
     _log_return(b)
     for k in PRICE_LAGS:
-        b.put("base", f"close_lag_{k}", w.lag(C, k))
-        b.put("base", f"close_return_lag_{k}", sdiv(w.lag(C, 1), w.lag(C, k + 1)) - 1.0)
+        b.put("base", f"close_lag_{k}", w.lag(b.C, k))
+        b.put("base", f"close_return_lag_{k}", sdiv(w.lag(b.C, 1), w.lag(b.C, k + 1)) - 1.0)
     for k in VOLUME_LAGS:
-        b.put("base", f"volume_lag_{k}", w.lag(V, k))
-        b.put("base", f"volume_return_lag_{k}", sdiv(w.lag(V, 1), w.lag(V, k + 1)) - 1.0)
+        b.put("base", f"volume_lag_{k}", w.lag(b.V, k))
+        b.put("base", f"volume_return_lag_{k}", sdiv(w.lag(b.V, 1), w.lag(b.V, k + 1)) - 1.0)
     for k in RETURN_LAGS:
         b.put("first", f"return_lag_{k}", w.lag("__lr", k))
 
@@ -364,8 +364,8 @@ def targets(b: Book, horizons: Sequence[int] = HORIZONS) -> None:
     w = b.blocks
     _log_return(b)
     for h in horizons:
-        b.put("base", f"future_price_{h}", w.lead(C, h))
-        b.put("base", f"target_{h}", sdiv(w.lead(C, h), C) - 1.0)
+        b.put("base", f"future_price_{h}", w.lead(b.C, h))
+        b.put("base", f"target_{h}", sdiv(w.lead(b.C, h), b.C) - 1.0)
         b.put("first", f"target_dir_{h}", flag(F.col(f"target_{h}") > 0, b.null_as_zero))
         b.put("first", f"target_strong_{h}", flag(F.abs(F.col(f"target_{h}")) > 0.01, b.null_as_zero))
         if h == 1:
@@ -391,7 +391,7 @@ def regime_inputs(b: Book) -> None:
         clip(F.coalesce(sdiv(w.mean("live_volume", 5), w.mean("live_volume", 20)), F.lit(1.0)), 0.1, 10.0),
     )
     b.put("last", "rsi_norm", clip((F.coalesce(F.col("rsi_14"), F.lit(50.0)) - 50.0) / 50.0, -1.0, 1.0))
-    b.put("last", "atr_ratio", F.coalesce(sdiv(F.coalesce(F.col("atr_14"), F.col("panel_atr")), C), F.lit(0.0)))
+    b.put("last", "atr_ratio", F.coalesce(sdiv(F.coalesce(F.col("atr_14"), F.col("panel_atr")), b.C), F.lit(0.0)))
 
 
 FAMILIES: dict[str, Callable[[Book], None]] = {
@@ -434,6 +434,7 @@ def panel_with_history(
 
     On an unchanged close the volume counts as bought (``tie_is_up``) or not at all.
     """
+    H, L, C, V = (F.col(c) for c in ("high", "low", "close", "volume"))
     cut = chunk_of("time", 16384 * bar_seconds)
     scans: dict = {"rn": ("count", F.lit(1))}
     if cumulative:
