@@ -154,7 +154,7 @@ feature_query(
       CASE WHEN r.rn >= 15 THEN 100 * r.s_up / nullif(r.s_tr, 0) - 100 * r.s_dn / nullif(r.s_tr, 0) END AS di_spread,
       CAST(a.adx > 25 AS INTEGER) AS trend_strong, CAST(a.adx > 40 AS INTEGER) AS trend_very_strong
       FROM r LEFT JOIN a ON r.symbol = a.symbol AND r.rn = a.rn""",
-    ["di_plus", "di_minus", "adx", "di_spread"], ["trend_strong", "trend_very_strong"],
+    ["di_plus", "di_minus", "adx", "di_spread", "trend_strong", "trend_very_strong"],
 )
 
 
@@ -262,7 +262,7 @@ _vol = {
 feature_query(
     "features_volume", "W-21 W-23 W-24 W-25 W-26 W-27 W-36", ["money_flow", "volume_ratios", "vwap_family"],
     f"SELECT *, CAST(volume_surge > 2 AS INTEGER) AS volume_surge_flag FROM ({select(_vol, _flow)})",
-    list(_vol), ["volume_surge_flag"],
+    [*_vol, "volume_surge_flag"],
 )
 
 _stat = {f"skewness_{n}": full("lr", n, "skewness") for n in (20,)}
@@ -329,7 +329,7 @@ feature_query(
     "SELECT *, " + ", ".join(
         f"CAST(target_{h} > 0 AS INTEGER) AS target_dir_{h}, CAST(abs(target_{h}) > 0.01 AS INTEGER) AS target_strong_{h}"
         for h in ft.HORIZONS) + f" FROM ({select(_tgt)})",
-    list(_tgt), _flags,
+    [*_tgt, *_flags],
 )
 
 
@@ -360,7 +360,7 @@ def _(i: Inputs) -> DataFrame:
     return fill_zero(drop_warm_up(f.select("symbol", "time", *kept)), kept)
 
 
-@query("feature_panel_all", "P-11 P-14 X-3", None, (), ["time"], ft.feature_columns(["return_1d", "adx", "rsi_14"]), KEYS)
+@query("feature_panel_all", "P-11 P-14 X-3", None)
 def _(i: Inputs) -> DataFrame:
     """Every technical family at once: one shuffle for all windows and recurrences."""
     return panel_features(i, ft.TECHNICAL)

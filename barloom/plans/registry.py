@@ -25,6 +25,8 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.plan(Inputs(spark, sf_dir))
+        if not (self.times or self.doubles or self.plain):
+            return df
         return df.select(
             *[F.unix_seconds(F.col(t).cast("timestamp")).alias(t) for t in self.times],
             *[_rounded(c, d).alias(c) for c, d in self.doubles.items()],
