@@ -79,3 +79,17 @@ def magnitude_bucket(c: Column | str, steps: int = 4096) -> Column:
         .when(x == 0, F.lit(0).cast("long"))
         .otherwise((F.signum(x) * rank).cast("long"))
     )
+
+
+def safe_corr(a: Column | str, b: Column | str, window=None) -> Column:
+    """Pearson correlation over complete pairs; NULL where a side is constant.
+
+    The built-in ``corr`` divides by zero on constant input, which raises in ANSI mode.
+    """
+    x = F.when(as_col(b).isNotNull(), as_col(a))
+    y = F.when(as_col(a).isNotNull(), as_col(b))
+    parts = (F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y))
+    if window is not None:
+        parts = tuple(p.over(window) for p in parts)
+    cov, sx, sy = parts
+    return F.try_divide(cov, sx * sy)

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import EPS, LN2, TRADING_DAYS, clip, flag, ratio, safe_sqrt, sdiv
+from barloom.functions.numeric import EPS, LN2, TRADING_DAYS, clip, flag, ratio, safe_corr, safe_sqrt, sdiv
 from barloom.operators.layout import Blocks, block_panel, carry_scan, chunk_of
 from barloom.operators.recurrence import Recurrence, reach_of, solve, sub_rows_for
 
@@ -313,7 +313,7 @@ def autocorrelations(b: Book) -> None:
     b.hidden("first", "__lr1", w.lag("__lr"))
     for name, n in (("autocorr_5", 20), ("return_autocorr_1", 10)):
         pairs = F.count(F.when(F.col("__lr").isNotNull(), F.col("__lr1"))).over(w.rolling(n))
-        b.put("mid", name, F.when(pairs >= n, F.corr("__lr", "__lr1").over(w.rolling(n))))
+        b.put("mid", name, F.when(pairs >= n, safe_corr("__lr", "__lr1", w.rolling(n))))
 
 
 def microstructure(b: Book) -> None:

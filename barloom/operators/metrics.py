@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import same_sign, sdiv
@@ -61,22 +61,60 @@ def ic_by_stride(df: DataFrame, groups: Sequence[str], horizon: int, rn: str, y:
     )
 
 
-def equity_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, ret: str) -> DataFrame:
-    """``curve`` = running product of (1 + ret), ``peak`` = its running maximum.
+def equity_scan(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, returns: Sequence[str]
+) -> DataFrame:
+    """``curve_r`` = running product of (1 + r) and ``peak_r`` = its running maximum, per return r.
 
-    The product is carried as log-magnitude, sign changes and zeros, so that it sums over chunks
-    and a loss of more than 100 % keeps its sign.
+    One pass: inside a chunk the product starts at 1; the chunk summary holds its end, maximum and
+    minimum; the prefix over chunk summaries scales them. A product that turns negative (a loss
+    of more than 100 %) swaps maximum and minimum, hence both are kept.
     """
-    g = 1.0 + F.col(ret)
-    scans = {
-        "__log": ("sum", F.when(g == 0, F.lit(0.0)).otherwise(F.log(F.abs(g)))),
-        "__neg": ("sum", (g < 0).cast("long")),
-        "__zero": ("sum", (g == 0).cast("long")),
-    }
-    out = carry_scan(df, keys, order, chunk, scans)
-    sign = F.when(F.col("__zero") > 0, 0.0).when(F.col("__neg") % 2 == 1, -1.0).otherwise(1.0)
-    out = out.withColumn("curve", sign * F.exp("__log")).drop("__log", "__neg", "__zero")
-    return carry_scan(out, keys, order, chunk, {"peak": ("max", F.col("curve"))})
+    keys, order = list(keys), list(order)
+    inner = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def product(parts: tuple[Column, Column, Column]) -> Column:
+        logs, negatives, zeros = parts
+        sign = F.when(zeros > 0, 0.0).when(negatives % 2 == 1, -1.0).otherwise(1.0)
+        return sign * F.exp(logs)
+
+    def parts(r: str) -> tuple[Column, Column, Column]:
+        g = 1.0 + F.col(r)
+        size = F.when(g == 0, F.lit(0.0)).otherwise(F.log(F.abs(g)))
+        return size, (g < 0).cast("long"), (g == 0).cast("long")
+
+    local = df.select("*", chunk.alias("__chunk")).select(
+        "*", *[product(tuple(F.sum(p).over(inner) for p in parts(r))).alias(f"__l_{r}") for r in returns]
+    )
+    local = local.select("*", *[F.max(f"__l_{r}").over(inner).alias(f"__m_{r}") for r in returns],
+                         *[F.min(f"__l_{r}").over(inner).alias(f"__n_{r}") for r in returns])
+    sums = []
+    for r in returns:
+        sums += [F.sum(p).alias(f"__p{k}_{r}") for k, p in enumerate(parts(r))]
+        sums += [F.max(f"__l_{r}").alias(f"__hi_{r}"), F.min(f"__l_{r}").alias(f"__lo_{r}")]
+    summary = local.groupBy(*keys, "__chunk").agg(*sums)
+    line = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = [
+        product(tuple(F.coalesce(F.sum(f"__p{k}_{r}").over(line), F.lit(0)) for k in range(3))).alias(f"__s_{r}")
+        for r in returns
+    ]
+    started = summary.select("*", *starts)
+
+    def scaled(r: str, high: str, low: str) -> Column:
+        return F.when(F.col(f"__s_{r}") >= 0, F.col(f"__s_{r}") * F.col(high)).otherwise(F.col(f"__s_{r}") * F.col(low))
+
+    carried = started.select(
+        *keys,
+        "__chunk",
+        *[f"__s_{r}" for r in returns],
+        *[F.max(scaled(r, f"__hi_{r}", f"__lo_{r}")).over(line).alias(f"__b_{r}") for r in returns],
+    )
+    done = local.join(carried, [*keys, "__chunk"])
+    return done.select(
+        *df.columns,
+        *[(F.col(f"__s_{r}") * F.col(f"__l_{r}")).alias(f"curve_{r}") for r in returns],
+        *[F.greatest(F.col(f"__b_{r}"), scaled(r, f"__m_{r}", f"__n_{r}")).alias(f"peak_{r}") for r in returns],
+    )
 
 
 def strategy_returns(
@@ -118,37 +156,50 @@ def portfolio_returns(rows: DataFrame, groups: Sequence[str], time: str = "time"
 
 
 def performance(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, horizon: int = 1, ret: str = "ret_long",
-    turn: str = "turn_long", prefix: str = "",
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    horizon: int = 1,
+    sides: dict[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
-    """Sharpe, Sortino, Calmar, drawdown, annual return and turnover per key; NULL-free from 10 rows."""
+    """Sharpe, Sortino, Calmar, drawdown, annual return and turnover per key with 10 rows or more.
+
+    ``sides`` maps a column prefix to (return, turnover) columns; all sides share one scan.
+    """
+    sides = sides or {"": ("ret_long", "turn_long"), "ls_": ("ret_ls", "turn_ls")}
     per_year = 252 / max(1, horizon)
     scale = math.sqrt(per_year)
-    curve = equity_scan(df, keys, order, chunk, ret)
-    r = F.col(ret)
-    down = F.when(r < 0, r)
-    agg = curve.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(r).alias("mean"),
-        F.stddev_pop(r).alias("std"),
-        F.stddev_pop(down).alias("down"),
-        F.min((F.col("curve") - F.col("peak")) / (F.col("peak") + 1e-10)).alias("mdd"),
-        F.avg(turn).alias("turn"),
-    )
-    annual = F.col("mean") * per_year
-
-    def over(d: str) -> Column:
-        return F.when(F.col(d) > 1e-18, F.col("mean") / F.col(d) * scale).otherwise(F.lit(0.0))
-
-    named = {
-        "sharpe": over("std"),
-        "sortino": F.coalesce(over("down"), F.lit(0.0)),
-        "calmar": F.when(F.abs("mdd") > 1e-6, annual / F.abs("mdd")).otherwise(F.lit(0.0)),
-        "max_drawdown": F.col("mdd"),
-        "annual_return": annual,
-        "turnover": F.col("turn"),
-    }
-    return agg.where("n >= 10").select(*keys, *[c.alias(prefix + k) for k, c in named.items()])
+    curve = equity_scan(df, keys, order, chunk, [r for r, _ in sides.values()])
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for r, turn in sides.values():
+        x, peak = F.col(r), F.col(f"peak_{r}")
+        aggs += [
+            F.avg(x).alias(f"mean_{r}"),
+            F.stddev_pop(x).alias(f"std_{r}"),
+            F.stddev_pop(F.when(x < 0, x)).alias(f"down_{r}"),
+            F.min((F.col(f"curve_{r}") - peak) / (peak + 1e-10)).alias(f"mdd_{r}"),
+            F.avg(turn).alias(f"turn_{r}"),
+        ]
+    agg = curve.groupBy(*keys).agg(*aggs).where("n >= 10")
+    out = []
+    for prefix, (r, _) in sides.items():
+        mean, mdd = F.col(f"mean_{r}"), F.col(f"mdd_{r}")
+        annual = mean * per_year
+
+        def over(d: Column, mean: Column = mean) -> Column:
+            return F.when(d > 1e-18, mean / d * scale).otherwise(F.lit(0.0))
+
+        named = {
+            "sharpe": over(F.col(f"std_{r}")),
+            "sortino": over(F.col(f"down_{r}")),
+            "calmar": F.when(F.abs(mdd) > 1e-6, annual / F.abs(mdd)).otherwise(F.lit(0.0)),
+            "max_drawdown": mdd,
+            "annual_return": annual,
+            "turnover": F.col(f"turn_{r}"),
+        }
+        out += [c.alias(prefix + k) for k, c in named.items()]
+    return agg.select(*keys, *out)
 
 
 def ic_sharpe(ic: Column | str, window: int = 63) -> Column:
@@ -170,8 +221,6 @@ def fold_summary(fold_ics: DataFrame, groups: Sequence[str], ic: str = "ic", win
 
 def inverse_error_weights(errors: DataFrame, groups: Sequence[str], error: str = "rmse") -> DataFrame:
     """Weights proportional to 1/error; one row per model, so the window is tiny."""
-    from pyspark.sql import Window
-
     inv = sdiv(1.0, F.col(error))
     w = Window.partitionBy(*groups)
     return errors.withColumn("weight", F.bround(inv / F.sum(inv).over(w), 4))
@@ -262,8 +311,6 @@ def bootstrap_rank_correlation(
 
 
 def _weighted_rank(df: DataFrame, groups: Sequence[str], value: str, weight: str, out: str) -> DataFrame:
-    from pyspark.sql import Window
-
     from barloom.functions.numeric import magnitude_bucket
 
     g = list(groups)

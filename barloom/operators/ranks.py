@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import as_col, magnitude_bucket
+from barloom.functions.numeric import as_col, magnitude_bucket, safe_corr
 
 
 def average_rank(x: Column | str, groups: Sequence[str | Column]) -> Column:
@@ -98,7 +98,7 @@ def rank_correlation(df: DataFrame, groups: Sequence[str], a: str, b: str, out:
     """Spearman correlation per group of any size (one row per group)."""
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*groups, a, b)
     ranked = rank_large_groups(rank_large_groups(pairs, groups, a, "__ra"), groups, b, "__rb")
-    return ranked.groupBy(*groups).agg(F.corr("__ra", "__rb").alias(out), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy(*groups).agg(safe_corr("__ra", "__rb").alias(out), F.count(F.lit(1)).alias("n"))
 
 
 def small_group_rank_correlation(
@@ -108,4 +108,4 @@ def small_group_rank_correlation(
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = pairs.select(*groups, average_rank(a, groups).alias("__ra"), average_rank(b, groups).alias("__rb"))
     n = F.count(F.lit(1))
-    return ranked.groupBy(*groups).agg(F.when(n >= minimum, F.corr("__ra", "__rb")).alias(out), n.alias("n"))
+    return ranked.groupBy(*groups).agg(F.when(n >= minimum, safe_corr("__ra", "__rb")).alias(out), n.alias("n"))

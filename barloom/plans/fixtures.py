@@ -39,7 +39,7 @@ class Inputs:
             ]
         )
 
-    def _once(self, name: str, build) -> DataFrame:
+    def once(self, name: str, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.dir, name)
         if key not in _STAGED:
             _STAGED[key] = staged(build(), name)
@@ -59,11 +59,11 @@ class Inputs:
         return bars_from_ticks(self.ticks(), "1wk", TICK_ORDER)
 
     def bars(self) -> DataFrame:
-        return self._once("bars", self.build_bars)
+        return self.once("bars", self.build_bars)
 
     def panel(self) -> DataFrame:
         """Bars with row numbers and running volume features."""
-        return self._once("panel", lambda: panel_with_history(self.bars(), bar_seconds=WEEK))
+        return self.once("panel", lambda: panel_with_history(self.bars(), bar_seconds=WEEK))
 
     def daily_panel(self) -> DataFrame:
         """Day bars per brand and part type: the larger panel used for timing."""
@@ -79,7 +79,7 @@ class Inputs:
             )
             return panel_with_history(bars_from_ticks(ticks, "1d", TICK_ORDER))
 
-        return self._once("daily_panel", build)
+        return self.once("daily_panel", build)
 
     def event_ticks(self) -> DataFrame:
         e = self.table("events").where("value > 0")
@@ -117,11 +117,11 @@ class Inputs:
     def macro(self) -> DataFrame:
         from barloom.operators.macro import align_series
 
-        return self._once("macro", lambda: align_series(self.macro_long(), SERIES))
+        return self.once("macro", lambda: align_series(self.macro_long(), SERIES))
 
     def predictions(self) -> DataFrame:
         """Three fixed forecasters of the 5-bar return, in long form."""
-        return self._once("predictions", self._predictions)
+        return self.once("predictions", self._predictions)
 
     def _predictions(self) -> DataFrame:
         from barloom.operators.layout import block_panel

@@ -17,11 +17,12 @@ def session() -> SparkSession:
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
@@ -84,7 +85,7 @@ def main() -> int:
                     print("   sql  ", row[:700])
         except Exception as e:  # report and go on with the next query
             failed += 1
-            print(f"FAIL  {name}: {type(e).__name__} {str(e)[:900]}", flush=True)
+            print(f"FAIL  {name}: {type(e).__name__} {str(e)[:500]}", flush=True)
     print("failed", failed)
     return failed
 
