@@ -1 +1,235 @@
-"""Queries."""
+"""Feature store and model registry."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from barloom.operators.cleaning import symbol_codes
+from barloom.operators.features import build_features
+from barloom.operators.metrics import error_metrics
+from barloom.plans.catalog_evaluation import _ERR
+from barloom.plans.catalog_indicators import full, lag, pct
+from barloom.plans.fixtures import Inputs
+from barloom.plans.registry import query
+from barloom.plans.staging import new_path
+from barloom.sources import feature_store as fs
+from barloom.sources import registry as rg
+from barloom.sources import tables
+
+NOW = "TIMESTAMP '2024-02-01 00:00:00'"
+COLS = ["return_1d", "return_5d", "high_low_range", "volume_ratio"]
+
+
+def small_features(i: Inputs) -> DataFrame:
+    return build_features(i.panel(), ["price_action", "volume_ratios"], keep=["symbol", "time", "close"])
+
+
+_small = f"""SELECT symbol, time, close, {pct('close', 1)} AS return_1d, {pct('close', 5)} AS return_5d,
+   (high - low) / close AS high_low_range, volume / (({full('volume', 20, 'avg')}) + 1) AS volume_ratio FROM rbars"""
+_latest = f"SELECT * FROM ({_small}) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) = 1"
+
+
+@query("latest_feature_rows", "K-1", _latest, ["rbars"], ["time"], ["close", *COLS], ["symbol"])
+def _(i: Inputs) -> DataFrame:
+    return fs.latest_rows(small_features(i).select("symbol", "time", "close", *COLS))
+
+
+_codes = "SELECT symbol, CAST(row_number() OVER (ORDER BY symbol) - 1 AS INTEGER) AS symbol_encoded FROM (SELECT DISTINCT symbol FROM sector)"
+
+
+@query(
+    "feature_store_materialized", "M-16 S-2 P-7 P-16",
+    f"""SELECT symbol, time, close, {", ".join(f"coalesce({c}, 0) AS {c}" for c in COLS)}, coalesce(symbol_encoded, -1) AS symbol_encoded, '1wk' AS period
+        FROM ({_small}) LEFT JOIN ({_codes}) USING (symbol) WHERE close > 0""",
+    ["rbars", "sector"], ["time"], ["close", *COLS], ["symbol", "symbol_encoded", "period"],
+)
+def _(i: Inputs) -> DataFrame:
+    f = small_features(i).select("symbol", "time", "close", *COLS)
+    rows = fs.materialize(f, symbol_codes(i.sector()), COLS, "1wk")
+    path = new_path(i.spark, "feature_store")
+    tables.write_offline(rows, path)
+    return tables.read_offline(i.spark, path, period="1wk")
+
+
+@query(
+    "feature_column_stats", "A-3",
+    " UNION ALL ".join(
+        f"""SELECT symbol, count(*) AS rows, '{c}' AS col, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS lo, max({c}) AS hi,
+            100.0 * (1 - count({c}) / count(*)) AS null_pct FROM ({_small}) GROUP BY symbol""" for c in COLS),
+    ["rbars"], (), ["mean", "std", "lo", "hi", "null_pct"], ["symbol", "rows", "col"],
+)
+def _(i: Inputs) -> DataFrame:
+    s = fs.column_stats(small_features(i), COLS)
+    return s.withColumnsRenamed({"column": "col", "min": "lo", "max": "hi"})
+
+
+def online(i: Inputs) -> DataFrame:
+    latest = fs.latest_rows(small_features(i).select("symbol", "time", "close", *COLS))
+    views = {"price_action": fs.VIEWS["price_action"], "volume": fs.VIEWS["volume"]}
+    first = fs.online_rows(latest, views, F.expr("timestamp'2024-01-31 23:00:00'"))
+    fresh = fs.online_rows(latest.where("symbol < 'Brand#2'"), views, F.expr("timestamp'2024-01-31 23:58:00'"))
+    return fs.upsert_online(first, fresh)
+
+
+@query(
+    "online_features_live", "S-13 S-14 T-9 F-9 F-10",
+    f"""SELECT symbol, return_1d, return_5d, high_low_range, volume_ratio FROM ({_latest}) WHERE symbol < 'Brand#2' AND symbol <> 'Brand#11'""",
+    ["rbars"], (), COLS, ["symbol"],
+)
+def _(i: Inputs) -> DataFrame:
+    """Vectors written an hour ago have expired (300 s); the refreshed symbols are alive."""
+    stored = fs.delete_online(online(i), "Brand#11")
+    merged = fs.read_online(stored, F.expr(f"{NOW}"))
+    return merged.select("symbol", *[F.try_element_at("features", F.lit(c)).alias(c) for c in COLS])
+
+
+@query(
+    "online_expiry_times", "S-13 S-15 T-9 T-10",
+    f"""SELECT symbol, view, written + INTERVAL 5 MINUTE AS expires_at, written AS written_at FROM (
+        SELECT symbol, v.view, CASE WHEN symbol < 'Brand#2' THEN TIMESTAMP '2024-01-31 23:58:00' ELSE TIMESTAMP '2024-01-31 23:00:00' END AS written
+        FROM ({_latest}), (VALUES ('price_action'), ('volume')) v(view) WHERE NOT (symbol = 'Brand#12' AND view = 'volume'))""",
+    ["rbars"], ["written_at", "expires_at"], (), ["symbol", "view"],
+)
+def _(i: Inputs) -> DataFrame:
+    return fs.delete_online(online(i), "Brand#12", "volume")
+
+
+@query(
+    "feature_drift_per_symbol", "U-3 U-5 X-6",
+    """SELECT symbol, 'price_action' AS view, array_to_string(list_sort([f FOR f IN ['return_1d', 'return_5d', 'zz'] IF f <> 'zz' AND symbol <> 'none']), ',') AS found,
+        'zz' AS missing, 2 / 3.0 AS match_rate FROM (SELECT DISTINCT symbol FROM bars)""",
+    ["bars"], (), ["match_rate"], ["symbol", "view", "found", "missing"],
+)
+def _(i: Inputs) -> DataFrame:
+    views = fs.views_for_model(fs.default_views(i.spark), "dl").where("name = 'price_action'")
+    want = F.array(F.lit("return_1d"), F.lit("return_5d"), F.lit("zz"))
+    m = fs.match_features(F.col("features"), want)
+    d = views.select(
+        F.col("name").alias("view"), F.concat_ws(",", F.array_sort(F.array_intersect(want, "features"))).alias("found"),
+        F.concat_ws(",", m["missing"]).alias("missing"), m["match_rate"].alias("match_rate"),
+    )
+    symbols = i.bars().select("symbol").distinct().withColumn("view", F.lit("price_action"))
+    return symbols.join(d, "view")
+
+
+@query(
+    "feature_registry_summary", "A-26 A-16 X-6",
+    "SELECT CAST(9 AS BIGINT) AS views, CAST(85 AS BIGINT) AS features, (SELECT count(DISTINCT symbol) FROM bars) AS symbols",
+    ["bars"], (), (), ["views", "features", "symbols"],
+)
+def _(i: Inputs) -> DataFrame:
+    return fs.registry_summary(fs.default_views(i.spark), i.bars())
+
+
+# ---- registry: one model per brand, versions 1, 2, 9, 10 from four slices of the forecasts
+
+
+VERSIONS = (1, 2, 9, 10)
+_slices = f"""SELECT 'SECTOR_' || coalesce(sector, 'other') AS name, CASE rn % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 9 ELSE 10 END AS version, model AS section, {_ERR}
+  FROM predictions LEFT JOIN sector USING (symbol) GROUP BY ALL"""
+
+
+def backtests(i: Inputs) -> DataFrame:
+    from barloom.operators.crosssection import with_sector
+
+    p = with_sector(i.predictions(), i.sector())
+    v = F.element_at(F.array(*[F.lit(x) for x in VERSIONS]), (F.col("rn") % 4 + 1).cast("int"))
+    m = error_metrics()
+    rows = p.groupBy(F.concat(F.lit("SECTOR_"), "sector").alias("name"), v.alias("version"), F.col("model").alias("section"))
+    flat = rows.agg(*[c.cast("double").alias(k) for k, c in m.items()])
+    entries = F.create_map(*[x for k in m for x in (F.lit(k), F.col(k))])
+    packed = flat.groupBy("name", "version").agg(F.map_from_entries(F.collect_list(F.struct("section", entries))).alias("metrics"))
+    path = new_path(i.spark, "registry")
+    rg.write_documents(packed, path, "backtest")
+    return rg.read_documents(i.spark, path, f"metrics {rg.METRICS}", "backtest")
+
+
+@query(
+    "registry_metrics_long", "S-3 S-4 J-12 A-15",
+    f"SELECT name, version, section, m.metric, m.value FROM ({_slices}) s, LATERAL (VALUES ('mae', mae), ('rmse', rmse), ('smape', smape), ('r2', r2), ('directional_accuracy', directional_accuracy), ('n_samples', CAST(n_samples AS DOUBLE))) m(metric, value)",
+    ["predictions", "sector"], (), ["value"], ["name", "version", "section", "metric"],
+)
+def _(i: Inputs) -> DataFrame:
+    return rg.metrics_long(backtests(i))
+
+
+@query(
+    "registry_run_summary", "A-15 M-15",
+    f"SELECT name, version, rmse, r2, mae FROM ({_slices}) WHERE section = 'momentum'",
+    ["predictions", "sector"], (), ["rmse", "r2", "mae"], ["name", "version"],
+)
+def _(i: Inputs) -> DataFrame:
+    return rg.run_summary(rg.metrics_long(backtests(i)), ["rmse", "r2", "mae"], "momentum")
+
+
+@query(
+    "registry_latest_version", "K-2 M-15",
+    f"""SELECT name, max(version) AS version, max(version) + 1 AS next_version, arg_max(rmse, version) AS rmse FROM ({_slices}) WHERE section = 'momentum' GROUP BY name""",
+    ["predictions", "sector"], (), ["rmse"], ["name", "version", "next_version"],
+)
+def _(i: Inputs) -> DataFrame:
+    s = rg.run_summary(rg.metrics_long(backtests(i)), ["rmse"], "momentum")
+    return rg.latest_versions(s).join(rg.next_version(s), "name")
+
+
+@query(
+    "registry_top_runs", "K-4",
+    f"SELECT name, version, directional_accuracy FROM ({_slices}) WHERE section = 'momentum' AND directional_accuracy IS NOT NULL ORDER BY directional_accuracy DESC, name, version LIMIT 10",
+    ["predictions", "sector"], (), ["directional_accuracy"], ["name", "version"],
+)
+def _(i: Inputs) -> DataFrame:
+    s = rg.run_summary(rg.metrics_long(backtests(i)), ["directional_accuracy"], "momentum")
+    return rg.top_runs(s, "directional_accuracy")
+
+
+@query(
+    "registry_top_features", "K-5 J-12",
+    """SELECT symbol AS name, feature, avg(abs(value)) AS importance, row_number() OVER (PARTITION BY symbol ORDER BY avg(abs(value)) DESC, feature) AS place
+       FROM (SELECT symbol, f.feature, f.value FROM rbars, LATERAL (VALUES ('ret', lr), ('range', (high - low) / close), ('body', (close - open) / open)) f(feature, value))
+       GROUP BY symbol, feature QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY avg(abs(value)) DESC, feature) <= 2""",
+    ["rbars"], (), ["importance"], ["name", "feature", "place"],
+)
+def _(i: Inputs) -> DataFrame:
+    b = build_features(i.panel(), ["price_action"], keep=["symbol", "open", "close"])
+    body = (F.col("close") - F.col("open")) / F.col("open")
+    pairs = F.array(
+        F.struct(F.lit("ret").alias("feature"), F.col("log_return_1d").alias("importance")),
+        F.struct(F.lit("range").alias("feature"), F.col("high_low_range").alias("importance")),
+        F.struct(F.lit("body").alias("feature"), body.alias("importance")),
+    )
+    long = b.select(F.col("symbol").alias("name"), F.lit(1).alias("version"), F.inline(pairs))
+    return rg.top_features(long, 2).withColumn("place", F.col("place").cast("long"))
+
+
+@query(
+    "manifest_resolution", "J-10 J-11",
+    f"""SELECT id, symbol, horizon, CASE WHEN id % 11 = 0 THEN 'CRYPTO_UNIVERSAL' WHEN horizon >= 20 AND id % 11 <> 0 THEN 'EQUITY_H20'
+         WHEN sector IN (SELECT 'S' || k FROM (VALUES ('1'), ('2')) v(k)) THEN 'SECTOR_' || sector ELSE 'UNIVERSAL' END AS resolved,
+         CASE WHEN id % 11 = 0 THEN NULL ELSE 'UNIVERSAL/2' END AS deep
+        FROM (SELECT id, CASE WHEN id % 11 = 0 THEN 'BTC-USD' ELSE symbol END AS symbol, horizon FROM requests) r LEFT JOIN sector USING (symbol)""",
+    ["requests", "sector"], (), (), ["id", "symbol", "horizon", "resolved", "deep"],
+)
+def _(i: Inputs) -> DataFrame:
+    r = i.requests().select("id", F.when(F.col("id") % 11 == 0, "BTC-USD").otherwise(F.col("symbol")).alias("symbol"), "horizon")
+    r = r.join(i.sector(), "symbol", "left")
+    no = F.lit(False)
+    have = i.spark.createDataFrame([(n,) for n in ("CRYPTO_UNIVERSAL", "EQUITY_H20", "SECTOR_S1", "SECTOR_S2", "UNIVERSAL")], "name string")
+    deep = i.spark.createDataFrame([("UNIVERSAL/2",), ("UNIVERSAL/1",)], "name string")
+    c = rg.manifest_candidates(F.col("symbol"), F.col("horizon"), F.col("sector"), no)
+    out = rg.resolve(r.na.fill("none", ["sector"]), F.when(F.col("sector") == "none", F.filter(c, lambda x: x != "SECTOR_none")).otherwise(c), have)
+    out = out.select("id", "symbol", "horizon", "resolved")
+    d = rg.resolve(r.select("id", "symbol"), rg.deep_candidates(F.col("symbol"), no), deep)
+    return out.join(d.select("id", F.col("resolved").alias("deep")), "id")
+
+
+@query(
+    "median_bar_spacing", "K-10",
+    f"""SELECT symbol, CAST(floor(quantile_cont(gap, 0.5)) AS BIGINT) AS spacing FROM (
+        SELECT symbol, epoch(time) - epoch({lag('time', 1)}) AS gap, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS k FROM rbars) WHERE k <= 19 GROUP BY symbol""",
+    ["rbars"], (), (), ["symbol", "spacing"],
+)
+def _(i: Inputs) -> DataFrame:
+    from barloom.operators.forecast import median_spacing
+
+    return median_spacing(i.panel())
