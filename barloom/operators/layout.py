@@ -41,7 +41,7 @@ def _summary(how: str, name: str, order: Sequence[str]) -> Column:
         return F.min(x)
     if how in ("last", "prev"):
         return F.max_by(x, F.when(x.isNotNull(), F.struct(*order)))
-    if how == "next":
+    if how in ("next", "after"):
         return F.min_by(x, F.when(x.isNotNull(), F.struct(*order)))
     raise ValueError(f"unknown scan {how!r}")
 
@@ -54,7 +54,7 @@ def _prefix(how: str, name: str, before: WindowSpec, after: WindowSpec) -> Colum
         return F.max(x).over(before)
     if how == "min":
         return F.min(x).over(before)
-    if how == "next":
+    if how in ("next", "after"):
         return F.first(x, ignorenulls=True).over(after)
     return F.last(x, ignorenulls=True).over(before)
 
@@ -77,6 +77,9 @@ def _combine(how: str, value: str, carry: str, inner: WindowSpec) -> Column:
     if how == "next":
         onward = inner.rowsBetween(Window.currentRow, Window.unboundedFollowing)
         return F.coalesce(F.first(x, ignorenulls=True).over(onward), c)
+    if how == "after":
+        later = inner.rowsBetween(1, Window.unboundedFollowing)
+        return F.coalesce(F.first(x, ignorenulls=True).over(later), c)
     earlier = inner.rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.last(x, ignorenulls=True).over(earlier), c)
 
@@ -92,7 +95,7 @@ def carry_scan(
 
     ``scans`` maps an output name to ``(how, expression)``; ``how`` is one of ``sum``, ``count``,
     ``max``, ``min``, ``last`` (latest non-null up to the row), ``prev`` (latest non-null before
-    the row) or ``next`` (first non-null from the row on). ``chunk`` must not decrease along
+    the row), ``next`` (first non-null from the row on) or ``after`` (first non-null after it). ``chunk`` must not decrease along
     ``order`` and must keep one key's rows of a chunk small enough for a task.
     """
     keys, order = list(keys), list(order)

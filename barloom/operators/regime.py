@@ -68,12 +68,23 @@ def recent_history(states: DataFrame, rows: int = 60, change_rows: int = 20, sta
     )
 
 
-def regime_weights(
-    states: DataFrame, table: dict[str, dict[str, float]], models: Sequence[str], default: float = 0.25
-) -> DataFrame:
-    """Long (time, regime, model, weight): a literal lookup, ``default`` where none is set."""
-    entries = [F.struct(F.lit(f"{r}/{m}").alias("k"), F.lit(w).alias("v")) for r, ws in table.items() for m, w in ws.items()]
-    lookup = F.map_from_entries(F.array(*entries))
-    long = states.select("time", "regime", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
-    key = F.concat_ws("/", "regime", "model")
-    return long.withColumn("weight", F.coalesce(F.try_element_at(lookup, key), F.lit(default)))
+# Ensemble weights per regime and the equal weights of every other regime (fixed values).
+REGIME_WEIGHTS: dict[str, dict[str, float]] = {
+    "bull_low_vol": {"xgboost": 0.3, "lightgbm": 0.3, "catboost": 0.2, "lstm": 0.2},
+    "bear_high_vol": {"lstm": 0.4, "tft": 0.3, "xgboost": 0.2, "lightgbm": 0.1},
+    "sideways": {"tft": 0.4, "lstm": 0.3, "xgboost": 0.2, "lightgbm": 0.1},
+    "crisis": {"lstm": 0.5, "tft": 0.3, "xgboost": 0.2},
+}
+EQUAL_WEIGHTS = {"xgboost": 0.25, "lightgbm": 0.25, "catboost": 0.25, "lstm": 0.25}
+
+
+def regime_weights(states: DataFrame, table: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """Long (time, regime, model, weight): a literal lookup, equal weights for other regimes."""
+
+    def entries(ws: dict[str, float]) -> Column:
+        return F.array(*[F.struct(F.lit(m).alias("model"), F.lit(w).alias("weight")) for m, w in ws.items()])
+
+    table = REGIME_WEIGHTS if table is None else table
+    lookup = F.create_map(*[x for r, ws in table.items() for x in (F.lit(r), entries(ws))])
+    chosen = F.coalesce(F.try_element_at(lookup, F.col("regime")), entries(EQUAL_WEIGHTS))
+    return states.select("time", "regime", F.inline(chosen))

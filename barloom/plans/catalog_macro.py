@@ -170,14 +170,15 @@ def _(i: Inputs) -> DataFrame:
     return regime.recent_history(regimes(i), 60, 20)
 
 
+_w_rows = [(r, m, v) for r, ws in regime.REGIME_WEIGHTS.items() for m, v in ws.items()]
+_w_rows += [(r, m, v) for r in ("bull_high_vol", "bear_low_vol") for m, v in regime.EQUAL_WEIGHTS.items()]
+
+
 @query(
-    "regime_weights", "J-9 M-14 A-18",
-    f"""SELECT r.time, r.regime, m.model, CASE WHEN r.regime = 'bull_low_vol' AND m.model = 'xgboost' THEN 0.35
-         WHEN r.regime = 'bull_low_vol' AND m.model = 'lstm' THEN 0.15 WHEN r.regime = 'crisis' AND m.model = 'lstm' THEN 0.4
-         WHEN r.regime = 'crisis' THEN 0.2 ELSE 0.25 END AS weight
-        FROM ({_regime_smooth}) r, (VALUES ('xgboost'), ('lightgbm'), ('catboost'), ('lstm')) m(model)""",
+    "regime_weights", "J-9 M-14",
+    f"""SELECT r.time, r.regime, m.model, m.weight FROM ({_regime_smooth}) r
+        JOIN (VALUES {", ".join(f"('{r}', '{m}', {v})" for r, m, v in _w_rows)}) m(regime, model, weight) USING (regime)""",
     ["macro"], ["time"], ["weight"], ["regime", "model"],
 )
 def _(i: Inputs) -> DataFrame:
-    table = {"bull_low_vol": {"xgboost": 0.35, "lstm": 0.15}, "crisis": {"xgboost": 0.2, "lightgbm": 0.2, "catboost": 0.2, "lstm": 0.4}}
-    return regime.regime_weights(regimes(i), table, ("xgboost", "lightgbm", "catboost", "lstm"))
+    return regime.regime_weights(regimes(i))
