@@ -377,7 +377,8 @@ def targets(b: Book, horizons: Sequence[int] = HORIZONS) -> None:
 
 
 def regime_inputs(b: Book) -> None:
-    """Inputs of the statistical regime model; needs ``panel_std`` (std of all log returns)."""
+    """Inputs of the statistical regime model; columns ``panel_std`` and ``live_volume`` come from
+    :func:`regime_panel`."""
     w = b.blocks
     _log_return(b)
     relative_strength(b)
@@ -391,7 +392,7 @@ def regime_inputs(b: Book) -> None:
         clip(F.coalesce(sdiv(w.mean("live_volume", 5), w.mean("live_volume", 20)), F.lit(1.0)), 0.1, 10.0),
     )
     b.put("last", "rsi_norm", clip((F.coalesce(F.col("rsi_14"), F.lit(50.0)) - 50.0) / 50.0, -1.0, 1.0))
-    b.put("last", "atr_ratio", F.coalesce(sdiv(F.coalesce(F.col("atr_14"), F.col("panel_atr")), b.C), F.lit(0.0)))
+    b.put("last", "atr_ratio", F.coalesce(sdiv("atr_14", b.C), F.lit(0.0)))
 
 
 FAMILIES: dict[str, Callable[[Book], None]] = {
@@ -505,6 +506,16 @@ def build_features(
     return own.select(*kept, *[n for n in book.outputs if n not in kept])
 
 
+def regime_panel(panel: DataFrame, keys: Sequence[str] = ("symbol",), bar_seconds: int = 86400) -> DataFrame:
+    """Add each key's overall log-return deviation and the volume with gaps carried forward."""
+    returns = build_features(panel, ["price_action"], keys, keep=list(keys))
+    whole = returns.groupBy(*keys).agg(F.stddev_samp(F.coalesce("log_return_1d", F.lit(0.0))).alias("panel_std"))
+    alive = F.when(F.col("volume") != 0, F.col("volume"))
+    cut = chunk_of("time", 16384 * bar_seconds)
+    filled = carry_scan(panel, keys, ["time"], cut, {"live_volume": ("last", alive)})
+    return filled.withColumn("live_volume", F.coalesce("live_volume", F.lit(1.0))).join(whole, list(keys))
+
+
 def window_udf(n: int, fold: Callable[[Column], Column], value: Column | str) -> Callable[[Book, str], None]:
     """A rolling function of the last ``n`` values given as a column expression on their array."""
 

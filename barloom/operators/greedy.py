@@ -6,7 +6,8 @@ segment does depends only on the last opening before it. So each segment is summ
 "first opening here -> last opening here" for the few events that can be first (those of its first
 ``ttl`` and the one after). Tables of neighbouring segments compose, level by level; then the last
 opening before every segment is handed down. No task ever sees more than one segment's events or
-``fan`` segment tables.
+``fan`` segment tables. Runs between pauses of ``ttl`` are independent, and a run shorter than
+``ttl`` is a single window; only longer runs go through the chain.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.layout import carry_scan
+from barloom.sources.staging import staged
+
 
 def _next_index(times: np.ndarray, ttl: int) -> np.ndarray:
     return np.searchsorted(times, times + ttl, side="left")
@@ -75,19 +79,30 @@ def _first_at_or_after(cands: np.ndarray, t: int | None) -> int:
 
 
 def greedy_windows(
-    df: DataFrame, keys: Sequence[str], time: str, tie: str, ttl_seconds: int, fan: int = 64, levels: int = 3
+    df: DataFrame, keys: Sequence[str], time: str, tie: str, ttl_seconds: int, fan: int = 64, levels: int = 3, stage: bool = True
 ) -> DataFrame:
     """Add ``window_start`` and ``place`` (1 for the opening event, then counting up).
 
-    ``tie`` orders events of the same instant and must make rows unique per key.
+    ``tie`` orders events of the same instant and must make rows unique per key. ``stage`` writes
+    the events with their run to the shared folder, because the steps below read them repeatedly.
     """
-    keys = list(keys)
     ttl = ttl_seconds * 1_000_000
     width = ttl * fan
-    fields = {f.name: f.dataType.simpleString() for f in df.schema}
-    kcols = ", ".join(f"{k} {fields[k]}" for k in keys)
+    given = list(keys)
+    cut = F.floor(F.col("__t") / width).cast("long")
     ev = df.select("*", F.unix_micros(time).alias("__t"))
-    ev = ev.withColumn("__seg", F.floor(F.col("__t") / width).cast("long"))
+    # a pause of ttl always closes the window, so runs between pauses are independent
+    ev = carry_scan(ev, given, ["__t", tie], cut, {"__p": ("prev", F.col("__t"))})
+    opens = F.col("__p").isNull() | (F.col("__t") - F.col("__p") >= ttl)
+    ev = carry_scan(ev, given, ["__t", tie], cut, {"__run": ("last", F.when(opens, F.col("__t")))})
+    ev = staged(ev.drop("__p"), "greedy") if stage else ev.drop("__p")
+
+    # a run shorter than ttl is one window; only longer runs need the chain
+    long_runs = ev.groupBy(*given, "__run").agg(F.max("__t").alias("__end")).where(F.col("__end") - F.col("__run") >= ttl)
+    keys = [*given, "__run"]
+    fields = {f.name: f.dataType.simpleString() for f in ev.schema}
+    kcols = ", ".join(f"{k} {fields[k]}" for k in keys)
+    chained = ev.join(long_runs.select(*keys), keys, "left_semi").withColumn("__seg", cut)
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.unique(pdf["__t"].to_numpy())
@@ -100,7 +115,7 @@ def greedy_windows(
         return out
 
     # distinct instants first: copies of one instant collapse before the grouped step
-    instants = ev.select(*keys, "__seg", "__t").distinct()
+    instants = chained.select(*keys, "__seg", "__t").distinct()
     table_schema = f"{kcols}, __seg long, __cand long, __exit long"
     tables = [instants.groupBy(*keys, "__seg").applyInPandas(summarise, table_schema)]
 
@@ -159,8 +174,8 @@ def greedy_windows(
         .groupBy(*keys, "__seg")
         .applyInPandas(walk, f"{kcols}, __t long, __start long")
     )
-    rows = ev.join(placed, [*keys, "__t"])
-    w = Window.partitionBy(*keys, "__start").orderBy("__t", tie)
+    rows = ev.join(placed, [*keys, "__t"], "left").withColumn("__start", F.coalesce("__start", "__run"))
+    w = Window.partitionBy(*given, "__start").orderBy("__t", tie)
     return rows.select(
         *df.columns, F.timestamp_micros("__start").alias("window_start"), F.row_number().over(w).cast("long").alias("place")
     )

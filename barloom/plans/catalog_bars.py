@@ -9,7 +9,7 @@ from barloom.operators import cleaning, resample, validate
 from barloom.operators.layout import chunk_of, with_ordinal
 from barloom.plans.fixtures import TICK_ORDER, WEEK, Inputs
 from barloom.plans.registry import query
-from barloom.plans.staging import new_path
+from barloom.sources.staging import new_path
 from barloom.sources import tables
 
 OHLCV = {"open": 6, "high": 6, "low": 6, "close": 6, "volume": 4}

@@ -10,7 +10,7 @@ from barloom.operators import news as nw
 from barloom.operators import options as op
 from barloom.plans.fixtures import Inputs
 from barloom.plans.registry import query
-from barloom.plans.staging import new_path
+from barloom.sources.staging import new_path
 from barloom.sources import payloads as pl
 
 

@@ -1 +1,261 @@
-"""Queries."""
+"""Per-symbol time-series models, learned ensembles, regimes, forecast paths."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from barloom.operators import features as ft
+from barloom.operators import forecast as fc
+from barloom.operators import learn, metrics, splits
+from barloom.plans.catalog_indicators import full, lag
+from barloom.plans.fixtures import WEEK, Inputs
+from barloom.plans.registry import query
+
+_lags = f"SELECT *, {lag('lr', 1)} AS lr1 FROM rbars"
+_train = f"""SELECT *, floor(max(rn) OVER (PARTITION BY symbol) * 0.8) AS cut FROM ({_lags})"""
+_ar = f"""SELECT symbol, n, CASE WHEN a1 < a0 THEN 1 ELSE 0 END AS p, CASE WHEN a1 < a0 THEN c1 ELSE m END AS const, CASE WHEN a1 < a0 THEN b1 ELSE 0 END AS phi,
+    least(a0, a1) AS aic FROM (SELECT *, n * ln(rss0 / n) + 4 AS a0, n * ln(rss0 * (1 - r2) / n) + 6 AS a1 FROM (
+    SELECT symbol, count(*) AS n, avg(lr) AS m, var_pop(lr) * count(*) AS rss0, regr_r2(lr, lr1) AS r2, regr_slope(lr, lr1) AS b1, regr_intercept(lr, lr1) AS c1
+    FROM ({_train}) WHERE rn <= cut AND lr IS NOT NULL AND lr1 IS NOT NULL GROUP BY symbol))"""
+
+
+def ar1(i: Inputs) -> DataFrame:
+    return fc.autoregression(i.panel(), max_order=1)
+
+
+@query("autoregression_order_1", "M-10", _ar, ["rbars"], (), ["const", "phi", "aic"], ["symbol", "n", "p"])
+def _(i: Inputs) -> DataFrame:
+    return ar1(i).withColumn("phi", F.aggregate("coef", F.lit(0.0), lambda a, x: a + x))
+
+
+@query(
+    "price_path_error", "A-23 M-10",
+    f"""SELECT symbol, sqrt(avg((p0 * exp(mu * (rn - cut)) - close) ** 2)) AS path_rmse, count(*) AS n FROM (
+        SELECT b.*, f.const / (1 - f.phi) AS mu, arg_max(close, rn) FILTER (WHERE rn <= cut) OVER (PARTITION BY b.symbol) AS p0
+        FROM (SELECT symbol, close, rn, floor(max(rn) OVER (PARTITION BY symbol) * 0.8) AS cut FROM rbars) b JOIN ({_ar}) f ON f.symbol = b.symbol)
+        WHERE rn > cut GROUP BY symbol""",
+    ["rbars"], (), {"path_rmse": 4}, ["symbol", "n"],
+)
+def _(i: Inputs) -> DataFrame:
+    return fc.holdout_path_error(i.panel(), ar1(i))
+
+
+@query("autoregression_by_aic", "M-10", None)
+def _(i: Inputs) -> DataFrame:
+    return fc.autoregression(i.panel(), max_order=5)
+
+
+@query("autoregression_with_inputs", "M-11", None)
+def _(i: Inputs) -> DataFrame:
+    """Extra regressors: volume ratio, RSI and the return five bars back, all known before the bar."""
+    f = ft.build_features(i.panel(), ["volume_ratios", "relative_strength", "lags"], keep=["symbol", "time", "rn", "close"])
+    w = f.select("symbol", "time", "rn", "close", F.col("return_lag_5").alias("season"), "volume_ratio", (F.col("rsi_14") / 100).alias("rsi"))
+    from barloom.operators.layout import block_panel
+
+    b = block_panel(w, back=2)
+    known = b.with_df(b.df.select("*", b.lag("volume_ratio").alias("volume_before"), b.lag("rsi").alias("rsi_before"))).own_rows()
+    return fc.autoregression(known, max_order=2, extra=["season", "volume_before", "rsi_before"])
+
+
+_lb = ", ".join(f"sum((lr - mu) * (l{k} - mu)) / sum((lr - mu) ** 2) AS r{k}" for k in range(1, 11))
+
+
+@query(
+    "residual_white_noise", "A-24",
+    f"""SELECT symbol, n, q, exp(-q / 2) * (1 + q / 2 + (q / 2) ** 2 / 2 + (q / 2) ** 3 / 6 + (q / 2) ** 4 / 24) AS p_value,
+        CAST(exp(-q / 2) * (1 + q / 2 + (q / 2) ** 2 / 2 + (q / 2) ** 3 / 6 + (q / 2) ** 4 / 24) > 0.05 AS INTEGER) AS white FROM (
+        SELECT symbol, n, n * (n + 2) * ({" + ".join(f"r{k} ** 2 / (n - {k})" for k in range(1, 11))}) AS q FROM (
+        SELECT symbol, count(*) AS n, {_lb} FROM (SELECT symbol, lr, avg(lr) OVER (PARTITION BY symbol) AS mu, {", ".join(f"{lag('lr', k)} AS l{k}" for k in range(1, 11))}
+        FROM rbars) WHERE lr IS NOT NULL GROUP BY symbol))""",
+    ["rbars"], (), ["q", "p_value"], ["symbol", "n", "white"],
+)
+def _(i: Inputs) -> DataFrame:
+    return fc.lag_correlations(i.panel())
+
+
+_A, _B = (0.05, 0.1, 0.2), (0.6, 0.75, 0.85)
+_garch = f"""WITH RECURSIVE st AS (SELECT symbol, regr_slope(lr, lr1) AS phi, regr_intercept(lr, lr1) AS c FROM ({_lags}) GROUP BY symbol),
+  e AS (SELECT l.symbol, l.rn - 1 AS rn, l.lr - st.c - st.phi * coalesce(l.lr1, 0) AS e FROM ({_lags}) l JOIN st USING (symbol) WHERE l.lr IS NOT NULL),
+  v AS (SELECT symbol, avg(e * e) AS v FROM e GROUP BY symbol),
+  src AS (SELECT e.symbol, rn, e, lag(e) OVER (PARTITION BY e.symbol ORDER BY rn) AS e1, v FROM e JOIN v USING (symbol)),
+  h AS (SELECT symbol, rn, e, v, a, b, v AS h FROM src, (VALUES {", ".join(f"({a}, {b})" for a in _A for b in _B if a + b < 1)}) g(a, b) WHERE rn = 1
+    UNION ALL SELECT s.symbol, s.rn, s.e, s.v, p.a, p.b, p.v * (1 - p.a - p.b) + p.a * s.e1 * s.e1 + p.b * p.h FROM h p JOIN src s ON s.symbol = p.symbol AND s.rn = p.rn + 1),
+  ll AS (SELECT symbol, a, b, sum(-0.5 * (ln(2 * pi()) + ln(h) + e * e / h)) AS loglik, count(*) AS n, arg_max(h, rn) AS last_variance FROM h GROUP BY ALL)"""
+
+
+@query(
+    "garch_grid", "M-12 W-REC-1",
+    _garch + """ SELECT symbol, a AS alpha, b AS beta, a + b AS persistence, phi, loglik, 10 - 2 * loglik AS aic, 5 * ln(n) - 2 * loglik AS bic, last_variance, n
+      FROM ll JOIN st USING (symbol) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY loglik DESC) = 1""",
+    ["rbars"], (), {"alpha": 6, "beta": 6, "persistence": 6, "phi": 6, "loglik": 4, "aic": 4, "bic": 4, "last_variance": 6}, ["symbol", "n"],
+)
+def _(i: Inputs) -> DataFrame:
+    return fc.garch_grid(i.panel(), _A, _B)
+
+
+@query(
+    "future_price_paths", "F-17 K-10",
+    f"""SELECT symbol, s.step, epoch_time + s.step * 604800 AS due, close * (1 + e) * (1 + r) ** (s.step - 1) AS value FROM (
+        SELECT symbol, CAST(epoch(time) AS BIGINT) AS epoch_time, close, (close / {lag('close', 1)} - 1) / 20 AS e, (close / {lag('close', 5)} - 1) / 100 AS r FROM rbars
+        QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) = 1), (SELECT unnest(range(1, 11)) AS step) s""",
+    ["rbars"], (), {"value": 4}, ["symbol", "step", "due"],
+)
+def _(i: Inputs) -> DataFrame:
+    f = ft.build_features(i.panel(), ["price_action"], keep=["symbol", "time", "close"])
+    from barloom.sources.feature_store import latest_rows
+
+    last = latest_rows(f.select("symbol", "time", "close", "return_1d", "return_5d")).select(
+        "symbol", F.col("time").alias("last_time"), F.col("close").alias("price"),
+        (F.col("return_1d") / 20).alias("ensemble"), (F.col("return_5d") / 100).alias("step_return"),
+    )
+    p = fc.future_path(last.join(fc.median_spacing(i.panel()), "symbol"), 10)
+    return p.select("symbol", F.col("step").cast("long").alias("step"), F.unix_seconds("time").alias("due"), "value")
+
+
+@query(
+    "fallback_price_paths", "F-17",
+    f"""SELECT symbol, s.step, epoch_time + s.step * 3600 AS due, close * (1 + e * s.step) AS value FROM (
+        SELECT symbol, CAST(epoch(time) AS BIGINT) AS epoch_time, close, (close / {lag('close', 1)} - 1) / 20 AS e FROM rbars
+        QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) = 1), (SELECT unnest(range(1, 6)) AS step) s""",
+    ["rbars"], (), {"value": 4}, ["symbol", "step", "due"],
+)
+def _(i: Inputs) -> DataFrame:
+    last = fc.last_rows(ft.build_features(i.panel(), ["price_action"], keep=["symbol", "time", "close", "rn"]), 1)
+    start = last.select("symbol", F.col("time").alias("last_time"), F.col("close").alias("price"), (F.col("return_1d") / 20).alias("ensemble"))
+    p = fc.linear_path(start, 5)
+    return p.select("symbol", F.col("step").cast("long").alias("step"), F.unix_seconds("time").alias("due"), "value")
+
+
+def regime_rows(i: Inputs) -> DataFrame:
+    p = ft.regime_panel(i.panel(), bar_seconds=WEEK)
+    return ft.build_features(p, ["regime_inputs"], keep=["symbol", "time", "rn", "close"])
+
+
+_lr0 = "SELECT *, coalesce(lr, 0) AS lr0 FROM rbars"
+_inputs = f"""SELECT symbol, time, rn, coalesce({full('lr0', 5, 'sum')}, 0) AS ret5, coalesce({full('lr0', 20, 'stddev_samp')}, stddev_samp(lr0) OVER (PARTITION BY symbol)) AS vol20,
+   greatest(0.1, least(10, coalesce(({full('volume', 5, 'avg')}) / ({full('volume', 20, 'avg')}), 1))) AS vol_ratio FROM ({_lr0})"""
+
+
+@query("regime_model_inputs", "W-REC-8", _inputs, ["rbars"], ["time"], ["ret5", "vol20", "vol_ratio"], ["symbol"])
+def _(i: Inputs) -> DataFrame:
+    return regime_rows(i)
+
+
+@query(
+    "regime_window_stats", "A-29",
+    f"""SELECT symbol, arg_max(ret5, rn) AS return_5bar, avg(vol20) AS volatility_20, arg_max(vol_ratio, rn) AS volume_ratio FROM (
+        SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS k FROM ({_inputs})) WHERE k <= 20 GROUP BY symbol""",
+    ["rbars"], (), ["return_5bar", "volatility_20", "volume_ratio"], ["symbol"],
+)
+def _(i: Inputs) -> DataFrame:
+    return learn.current_window_stats(regime_rows(i))
+
+
+@query("regime_clusters", "M-13 A-13", None)
+def _(i: Inputs) -> DataFrame:
+    rows = regime_rows(i).select("symbol", "time", "ret5", "vol20", "vol_ratio", "rsi_norm", "atr_ratio")
+    return learn.cluster_regimes(rows, ["ret5", "vol20", "vol_ratio", "rsi_norm", "atr_ratio"])
+
+
+FEATURES = ["return_1d", "return_5d", "volatility_20d", "high_low_range", "volume_ratio", "momentum_accel", "bb_position", "rsi_14"]
+
+
+def learning_rows(i: Inputs) -> DataFrame:
+    def build() -> DataFrame:
+        fam = ["price_action", "volume_ratios", "microstructure", "bollinger", "relative_strength", "targets"]
+        f = ft.build_features(i.panel(), fam, keep=["symbol", "time", "rn"])
+        rows = splits.chronological_split(f.select("symbol", "time", "rn", "target_1", *FEATURES))
+        return rows.dropna(subset=["target_1", *FEATURES])
+
+    return i.once("learning_rows", build)
+
+
+def fitted(i: Inputs) -> tuple[DataFrame, list[str], dict]:
+    d = learn.assemble(learning_rows(i), FEATURES)
+    models = learn.fit_members(d, "target_1", trees=8, depth=3)
+    wide = learn.predict_members(d, models, ["symbol", "time", "rn", "split", "target_1"])
+    return wide, list(models), models
+
+
+@query("learned_ensemble_metrics", "M-6 A-17 A-18 A-4", None)
+def _(i: Inputs) -> DataFrame:
+    wide, names, _ = fitted(i)
+    w = learn.validation_weights(wide, names, "target_1")
+    scored = learn.with_ensemble(wide, names, w).where("split = 'test'").withColumn("y_true", F.col("target_1"))
+    return metrics.prediction_metrics(learn.to_long(scored, [*names, "ensemble"], ["y_true"]), ["model"])
+
+
+@query("stacked_ensemble", "M-7", None)
+def _(i: Inputs) -> DataFrame:
+    wide, names, _ = fitted(i)
+    ens = learn.with_ensemble(wide, names, learn.validation_weights(wide, names, "target_1"))
+    stacked = learn.stack(ens, names, "target_1").transform(ens)
+    return learn.better_of(stacked, "target_1", "ensemble", "stacked")
+
+
+@query("permutation_importance", "M-8 K-5", None)
+def _(i: Inputs) -> DataFrame:
+    d = learning_rows(i)
+    model = LinearRegression(labelCol="target_1", regParam=0.01).fit(learn.assemble(d.where("split = 'train'"), FEATURES))
+    return learn.permutation_importance(d.where("split = 'test'"), model, FEATURES, "target_1", ["symbol", "time"])
+
+
+@query("parameter_search", "M-9", None)
+def _(i: Inputs) -> DataFrame:
+    return learn.search(learn.assemble(learning_rows(i), FEATURES), "target_1", [2, 3], [0.1, 0.3], trees=4)
+
+
+@query("walk_forward_fitted", "M-4 X-1", None)
+def _(i: Inputs) -> DataFrame:
+    d = learn.assemble(learning_rows(i), FEATURES)
+    axis = splits.time_axis(i.bars())
+    folds = splits.walk_forward_folds(axis, 150, 63)
+    p = learn.walk_forward_predictions(d, axis, folds, "target_1", lambda: LinearRegression(labelCol="target_1", regParam=0.01), ["symbol", "time", "target_1"])
+    return metrics.prediction_metrics(p.withColumn("y_true", F.col("target_1")), ["fold"])
+
+
+def _load_linear():
+    weights = np.array([0.5, -0.1])
+    return lambda x: x @ weights + 0.01
+
+
+@query(
+    "batch_scored_rows", "X-4",
+    f"SELECT symbol, time, 0.5 * (close / {lag('close', 1)} - 1) - 0.1 * ((high - low) / close) + 0.01 AS prediction FROM rbars",
+    ["rbars"], ["time"], ["prediction"], ["symbol"],
+)
+def _(i: Inputs) -> DataFrame:
+    f = ft.build_features(i.panel(), ["price_action"], keep=["symbol", "time"])
+    return learn.score_batches(f, ["symbol", "time"], ["return_1d", "high_low_range"], _load_linear)
+
+
+@query(
+    "decision_outcomes", "T-12 T-11 W-44",
+    """SELECT d.symbol, d.time, d.decision, d.confidence, lead_close / close - 1 AS outcome_pct_change,
+        CASE WHEN lead_close IS NULL THEN NULL WHEN (d.decision = 'BUY' AND lead_close > close) OR (d.decision = 'SELL' AND lead_close < close) THEN 'CORRECT' ELSE 'WRONG' END AS actual_outcome
+       FROM (SELECT symbol, time, close, lead(close, 4) OVER (PARTITION BY symbol ORDER BY time) AS lead_close, CASE WHEN close > c1 THEN 'SELL' ELSE 'BUY' END AS decision,
+        least(1.0, abs(close / c1 - 1)) AS confidence FROM rbars QUALIFY c1 IS NOT NULL) d""",
+    ["rbars"], ["time"], ["confidence", "outcome_pct_change"], ["symbol", "decision", "actual_outcome"],
+)
+def _(i: Inputs) -> DataFrame:
+    from barloom.operators.signals import decision_outcomes
+
+    f = ft.build_features(i.panel(), ["price_action"], keep=["symbol", "time", "rn", "close"])
+    r = F.col("return_1d")
+    d = f.where(r.isNotNull()).select("symbol", "time", F.when(r > 0, "SELL").otherwise("BUY").alias("decision"), F.least(F.lit(1.0), F.abs(r)).alias("confidence"))
+    return decision_outcomes(d, i.panel(), 4)
+
+
+@query(
+    "latest_signals", "T-11 K-1",
+    """SELECT symbol, model_name, max(generated_at) AS generated_at, arg_max(prediction, (generated_at, id)) AS prediction, arg_max(confidence, (generated_at, id)) AS confidence
+       FROM signals GROUP BY ALL""",
+    ["signals"], ["generated_at"], ["prediction", "confidence"], ["symbol", "model_name"],
+)
+def _(i: Inputs) -> DataFrame:
+    from barloom.operators.signals import latest_signals
+
+    return latest_signals(i.signals())

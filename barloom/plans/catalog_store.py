@@ -12,7 +12,7 @@ from barloom.plans.catalog_evaluation import _ERR
 from barloom.plans.catalog_indicators import full, lag, pct
 from barloom.plans.fixtures import Inputs
 from barloom.plans.registry import query
-from barloom.plans.staging import new_path
+from barloom.sources.staging import new_path
 from barloom.sources import feature_store as fs
 from barloom.sources import registry as rg
 from barloom.sources import tables

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.features import panel_with_history
 from barloom.operators.resample import bars_from_ticks
-from barloom.plans.staging import staged
+from barloom.sources.staging import staged
 
 TICK_ORDER = ("ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 SERIES = ("vix", "sp500", "nasdaq", "russell2000", "yield_10y", "yield_3m", "tlt", "hyg", "dxy", "gold", "oil")

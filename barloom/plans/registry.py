@@ -24,6 +24,8 @@ class Query:
     plain: tuple[str, ...]
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        # zone-less times in the tables are UTC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         df = self.plan(Inputs(spark, sf_dir))
         if not (self.times or self.doubles or self.plain):
             return df
