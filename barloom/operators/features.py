@@ -37,13 +37,13 @@ class Book:
     """Columns by stage, recurrences by generation, and how far rows look back and ahead.
 
     Order of evaluation: ``base`` (windows over bars), ``first`` (windows over base columns),
-    first-generation recurrences, ``mid``, second-generation recurrences, ``last``, ``final``.
+    first-generation recurrences, ``mid`` and ``mid2``, second-generation recurrences, ``last``, ``final``.
     """
 
     blocks: Blocks | None = None
     null_as_zero: bool = False
     stages: dict[str, dict[str, Column]] = field(
-        default_factory=lambda: {s: {} for s in ("base", "first", "mid", "last", "final")}
+        default_factory=lambda: {s: {} for s in ("base", "first", "mid", "mid2", "last", "final")}
     )
     recur: dict[int, dict[str, Recurrence]] = field(default_factory=lambda: {1: {}, 2: {}})
     outputs: list[str] = field(default_factory=list)
@@ -87,9 +87,20 @@ def price_action(b: Book) -> None:
 
 
 def moving_averages(b: Book, windows: Sequence[int] = SMA_WINDOWS) -> None:
+    """Rolling means; long ones as differences of the block's running sum, whose cost per row does
+    not grow with n. Prices are positive and a block is short, so about 12 digits are kept."""
+    w = b.blocks
+    for n in (n for n in windows if n < 100):
+        b.put("base", f"sma_{n}", w.mean(b.C, n))
+    sofar = w.line.rowsBetween(Window.unboundedPreceding, 0)
+    b.hidden("base", "__csum", F.sum(b.C).over(sofar))
+    b.hidden("base", "__ccount", F.count(b.C).over(sofar))
+    for n in (n for n in windows if n >= 100):
+        rows = F.col("__ccount") - F.coalesce(w.lag("__ccount", n), F.lit(0))
+        mean = (F.col("__csum") - F.coalesce(w.lag("__csum", n), F.lit(0.0))) / n
+        b.put("first", f"sma_{n}", F.when(rows == n, mean))
     for n in windows:
-        b.put("base", f"sma_{n}", b.blocks.mean(b.C, n))
-        b.put("first", f"close_to_sma_{n}", sdiv(b.C, F.col(f"sma_{n}")) - 1.0)
+        b.put("mid", f"close_to_sma_{n}", sdiv(b.C, F.col(f"sma_{n}")) - 1.0)
 
 
 def _ema(b: Book, name: str, span: int) -> None:
@@ -225,12 +236,13 @@ def commodity_channel(b: Book, n: int = 20) -> None:
 
 def bollinger(b: Book, n: int = 20, width: float = 2.0) -> None:
     w = b.blocks
-    mean, dev = w.mean(b.C, n), w.std_pop(b.C, n)
-    b.put("base", "bb_upper", mean + width * dev)
-    b.put("base", "bb_lower", mean - width * dev)
+    b.hidden("base", "__bb_mean", w.mean(b.C, n))
+    b.hidden("base", "__bb_dev", w.std_pop(b.C, n))
+    b.put("first", "bb_upper", F.col("__bb_mean") + width * F.col("__bb_dev"))
+    b.put("first", "bb_lower", F.col("__bb_mean") - width * F.col("__bb_dev"))
     up, low = F.col("bb_upper"), F.col("bb_lower")
-    b.put("first", "bb_width", ratio(up - low, b.C))
-    b.put("first", "bb_position", ratio(b.C - low, up - low))
+    b.put("mid", "bb_width", ratio(up - low, b.C))
+    b.put("mid", "bb_position", ratio(b.C - low, up - low))
 
 
 def keltner(b: Book, n: int = 20) -> None:
@@ -272,8 +284,9 @@ def volume_ratios(b: Book) -> None:
     w = b.blocks
     b.put("base", "volume_sma_20", w.mean(b.V, 20))
     b.put("first", "volume_ratio", sdiv(b.V, F.col("volume_sma_20") + 1.0))
-    b.put("base", "volume_surge", sdiv(b.V - w.mean(b.V, 20), w.std(b.V, 20) + 1.0))
-    b.put("first", "volume_surge_flag", flag(F.col("volume_surge") > 2.0, b.null_as_zero))
+    b.hidden("base", "__vol_dev", w.std(b.V, 20))
+    b.put("first", "volume_surge", sdiv(b.V - F.col("volume_sma_20"), F.col("__vol_dev") + 1.0))
+    b.put("mid", "volume_surge_flag", flag(F.col("volume_surge") > 2.0, b.null_as_zero))
     b.put("base", "rel_volume_5", sdiv(b.V, w.mean(b.V, 5) + 1.0))
     b.hidden("base", "__up_vol", F.when(b.C > w.lag(b.C), b.V).otherwise(F.lit(0.0)))
     b.hidden("base", "__down_vol", F.when(b.C < w.lag(b.C), b.V).otherwise(F.lit(0.0)))
@@ -290,19 +303,41 @@ def vwap_family(b: Book) -> None:
     b.put("base", "vwap", sdiv(F.sum(tp * b.V).over(partial), F.sum(b.V).over(partial) + EPS))
 
 
-def _skew(w: Blocks, x: str, n: int) -> Column:
-    return w.full(x, n, F.skewness(x).over(w.rolling(n)) * (math.sqrt(n * (n - 1)) / (n - 2)))
+def _central_moments(n: int) -> tuple[Column, Column, Column]:
+    """Second to fourth central moment from the rolling power means ``__m<k>_<n>``.
+
+    Returns are small around zero, so the shift by the mean loses no digits that matter, and the
+    power sums cost a fraction of the built-in moment aggregates, which divide on every update.
+    """
+    m1, m2, m3 = (F.col(f"__m{k}_{n}") for k in (1, 2, 3))
+    c2 = m2 - m1 * m1
+    c2 = F.when(c2 > 1e-12 * m2, c2)
+    c3 = m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1
+    m4 = F.col(f"__m4_{n}")
+    c4 = m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1
+    return c2, c3, c4
 
 
 def moments(b: Book) -> None:
     w = b.blocks
     _log_return(b)
-    b.put("first", "skewness_20", _skew(w, "__lr", 20))
-    b.put("first", "realized_skew_20", _skew(w, "__lr", 20))
-    b.put("first", "realized_skew_60", _skew(w, "__lr", 60))
+    lr = F.col("__lr")
+    for k, power in enumerate((lr, lr * lr, lr * lr * lr, lr * lr * lr * lr), start=1):
+        b.hidden("first", f"__lr_{k}", power)
+        # every rolling mean is a column of its own: a window used twice would be computed twice
+        for n in (20, 60) if k < 4 else (20,):
+            b.hidden("mid", f"__m{k}_{n}", F.avg(f"__lr_{k}").over(w.rolling(n)))
+    for n in (20, 60):
+        b.hidden("mid", f"__seen_{n}", F.count("__lr_1").over(w.rolling(n)))
+        c2, c3, _ = _central_moments(n)
+        unbias = math.sqrt(n * (n - 1)) / (n - 2)
+        b.put("mid2", f"realized_skew_{n}", F.when(F.col(f"__seen_{n}") == n, sdiv(c3, F.pow(c2, 1.5)) * unbias))
+    b.put("last", "skewness_20", F.col("realized_skew_20"))
     n = 20
-    g2 = F.kurtosis("__lr").over(w.rolling(n))
-    b.put("first", "kurtosis_20", w.full("__lr", n, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6.0)))
+    c2, _, c4 = _central_moments(n)
+    g2 = sdiv(c4, c2 * c2) - 3.0
+    full = F.col("__seen_20") == n
+    b.put("mid2", "kurtosis_20", F.when(full, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6.0)))
     for k in (20, 50):
         b.put("base", f"zscore_{k}", ratio(b.C - w.mean(b.C, k), w.std(b.C, k)))
 
@@ -467,7 +502,6 @@ def build_features(
     """
     chosen = [FAMILIES_WITH_TARGETS[f] for f in families] + list(custom)
     probe = Book(Blocks(panel, tuple(keys), 1024, 1, 0), null_as_zero)
-    probe.stages["mid2"] = {}
     for fam in chosen:
         fam(probe)
     ratios = [r.bound for gen in probe.recur.values() for r in gen.values()]
@@ -480,7 +514,6 @@ def build_features(
     blocks = block_panel(panel, keys, back=back, ahead=max(HORIZONS) + 1, block_rows=rows, sub_rows=sub)
 
     book = Book(blocks, null_as_zero)
-    book.stages["mid2"] = {}
     for fam in chosen:
         fam(book)
 

@@ -12,7 +12,7 @@ opening before every segment is handed down. No task ever sees more than one seg
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -24,6 +24,9 @@ from barloom.operators.layout import carry_scan
 from barloom.sources.staging import staged
 
 
+NEVER = -(2**61)  # "no window open yet": any event comes later than this plus the lifetime
+
+
 def _next_index(times: np.ndarray, ttl: int) -> np.ndarray:
     return np.searchsorted(times, times + ttl, side="left")
 
@@ -46,36 +49,110 @@ def _last_openings(times: np.ndarray, ttl: int) -> np.ndarray:
         jump = further
 
 
-def _one_argument(step: partial):
-    """Spark looks at the argument count: one argument means the rows alone."""
+def _pieces(values: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of equal values as (from, to)."""
+    cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
+    edges = [0, *cuts.tolist(), len(values)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return step(pdf)
 
-    return run
+def _summarise(g: dict, width: int, ttl: int) -> dict:
+    t = g["__t"]
+    c = _candidates(t, int(g["__seg"][0]) * width, ttl)
+    return {"__cand": t[c], "__exit": _last_openings(t, ttl)[c]}
 
 
-def _compose(pdf: pd.DataFrame, keys: list[str], span: int, ttl: int) -> pd.DataFrame:
+def _compose(g: dict, span: int, ttl: int) -> dict:
     """One table for a run of neighbouring segments; all candidates walk the run together."""
-    pdf = pdf.sort_values(["__seg", "__cand"])
-    sup = int(pdf["__sup"].iloc[0])
-    starts = np.unique(pdf["__cand"].to_numpy())
-    first = starts[_candidates(starts, sup * span, ttl)]
+    starts = np.unique(g["__cand"])
+    first = starts[_candidates(starts, int(g["__sup"][0]) * span, ttl)]
     at, opened = first.copy(), first.copy()
-    for _, g in pdf.groupby("__seg", sort=True):
-        cand, ends = g["__cand"].to_numpy(), g["__exit"].to_numpy()
+    for lo, hi in _pieces(g["__seg"]):
+        cand, ends = g["__cand"][lo:hi], g["__exit"][lo:hi]
         i = np.searchsorted(cand, at, side="left")
         hit = i < len(cand)
         opened[hit] = ends[i[hit]]
         at[hit] = opened[hit] + ttl
-    out = pd.DataFrame({"__seg": sup, "__cand": first, "__exit": opened})
-    for k in keys:
-        out[k] = pdf[k].iloc[0]
-    return out
+    return {"__cand": first, "__exit": opened}
+
+
+def _hand_down(g: dict, ttl: int) -> dict:
+    """Last opening before each segment, given the one before the whole run."""
+    opened = int(g["__before"][0])
+    segs, before = [], []
+    for lo, hi in _pieces(g["__seg"]):
+        segs.append(int(g["__seg"][lo]))
+        before.append(opened)
+        i = int(np.searchsorted(g["__cand"][lo:hi], opened + ttl, side="left"))
+        if i < hi - lo:
+            opened = int(g["__exit"][lo + i])
+    return {"__seg": np.array(segs, dtype="int64"), "__open": np.array(before, dtype="int64")}
+
+
+def _walk(g: dict, ttl: int) -> dict:
+    """Openings of one segment: at most ``fan`` + 1 steps."""
+    t, opened = g["__t"], int(g["__open"][0])
+    start = np.empty(len(t), dtype="int64")
+    i = 0
+    while i < len(t):
+        if t[i] >= opened + ttl:
+            opened = int(t[i])
+        j = int(np.searchsorted(t, opened + ttl, side="left"))
+        start[i:j] = opened
+        i = j
+    return {"__t": t, "__start": start}
+
+
+def per_group(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], step: Callable[[dict], dict], keep: Sequence[str], schema: str
+) -> DataFrame:
+    """Apply ``step`` to the sorted rows of each group and prepend the group's ``keep`` columns.
 
+    Like a grouped map, but many small groups share one Arrow batch: groups are hashed to
+    partitions, sorted there, and cut out of the batches as they stream by.
+    """
+    by, keep = list(by), list(keep)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if held and all(held[-1][k].iloc[-1] == pdf[k].iloc[-1] for k in by):
+                held.append(pdf)  # still the same group: keep collecting its pieces
+                continue
+            held.append(pdf)
+            rows = pd.concat(held, ignore_index=True)
+            edges = starts(rows)
+            yield done(rows.iloc[: edges[-1]], edges[:-1])
+            held = [rows.iloc[edges[-1] :]]
+        if held:
+            rows = pd.concat(held, ignore_index=True)
+            yield done(rows, starts(rows))
+
+    def starts(rows: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(rows), dtype=bool)
+        new[0] = True
+        for k in by:
+            v = rows[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    def done(rows: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        arrays = {c: rows[c].to_numpy() for c in rows.columns}
+        ends = np.append(edges[1:], len(rows))
+        results = [step({c: v[lo:hi] for c, v in arrays.items()}) for lo, hi in zip(edges, ends, strict=True)]
+        if not results:
+            return pd.DataFrame({c: pd.Series(dtype="object") for c in keep})
+        names = list(results[0])
+        sizes = [len(r[names[0]]) for r in results]
+        out = rows[keep].iloc[np.repeat(edges, sizes)].reset_index(drop=True)
+        for n in names:
+            out[n] = np.concatenate([r[n] for r in results])
+        return out
 
-def _first_at_or_after(cands: np.ndarray, t: int | None) -> int:
-    return 0 if t is None else int(np.searchsorted(cands, t, side="left"))
+    spread = df.repartition(*by).sortWithinPartitions(*by, *order)
+    return spread.mapInPandas(run, schema)
 
 
 def greedy_windows(
@@ -104,76 +181,33 @@ def greedy_windows(
     kcols = ", ".join(f"{k} {fields[k]}" for k in keys)
     chained = ev.join(long_runs.select(*keys), keys, "left_semi").withColumn("__seg", cut)
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.unique(pdf["__t"].to_numpy())
-        seg = int(pdf["__seg"].iloc[0])
-        c = _candidates(t, seg * width, ttl)
-        out = pd.DataFrame({"__cand": t[c], "__exit": _last_openings(t, ttl)[c]})
-        out["__seg"] = seg
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out
-
     # distinct instants first: copies of one instant collapse before the grouped step
     instants = chained.select(*keys, "__seg", "__t").distinct()
-    table_schema = f"{kcols}, __seg long, __cand long, __exit long"
-    tables = [instants.groupBy(*keys, "__seg").applyInPandas(summarise, table_schema)]
-
+    table = f"{kcols}, __seg long, __cand long, __exit long"
+    above = F.floor(F.col("__seg") / fan).cast("long")
+    step = partial(_summarise, width=width, ttl=ttl)
+    tables = [per_group(instants, [*keys, "__seg"], ["__t"], step, [*keys, "__seg"], table)]
     for level in range(1, levels):
-        lower = tables[-1].withColumn("__sup", F.floor(F.col("__seg") / fan).cast("long"))
-        step = partial(_compose, keys=keys, span=width * fan**level, ttl=ttl)
-        tables.append(lower.groupBy(*keys, "__sup").applyInPandas(_one_argument(step), table_schema))
-
-    entry_schema = f"{kcols}, __seg long, __open long"
-
-    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Last opening before each segment, given the one before the whole group."""
-        opened = None if pdf["__before"].isna().all() else int(pdf["__before"].max())
-        segs, before = [], []
-        for seg, g in pdf.sort_values(["__seg", "__cand"]).groupby("__seg", sort=True):
-            segs.append(seg)
-            before.append(opened)
-            c = g["__cand"].to_numpy()
-            i = _first_at_or_after(c, None if opened is None else opened + ttl)
-            if i < len(c):
-                opened = int(g["__exit"].iloc[i])
-        out = pd.DataFrame({"__seg": segs, "__open": pd.array(before, dtype="Int64")})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out
-
-    top = tables[-1].withColumn("__before", F.lit(None).cast("long"))
-    entries = top.groupBy(*keys).applyInPandas(hand_down, entry_schema)
-    for table in reversed(tables[:-1]):
-        lower = table.withColumn("__sup", F.floor(F.col("__seg") / fan).cast("long"))
-        above = entries.select(*keys, F.col("__seg").alias("__sup"), F.col("__open").alias("__before"))
-        entries = (
-            lower.join(above, [*keys, "__sup"]).groupBy(*keys, "__sup").applyInPandas(hand_down, entry_schema)
+        step = partial(_compose, span=width * fan**level, ttl=ttl)
+        lower = tables[-1].withColumn("__sup", above)
+        up = per_group(
+            lower, [*keys, "__sup"], ["__seg", "__cand"], step, [*keys, "__sup"], table.replace("__seg", "__sup")
         )
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Openings of one segment: at most ``fan`` + 1 steps."""
-        t = np.sort(pdf["__t"].to_numpy())
-        before = pdf["__open"].iloc[0]
-        opened = None if pd.isna(before) else int(before)
-        start = np.empty(len(t), dtype="int64")
-        i = 0
-        while i < len(t):
-            if opened is None or t[i] >= opened + ttl:
-                opened = int(t[i])
-            j = int(np.searchsorted(t, opened + ttl, side="left"))
-            start[i:j] = opened
-            i = j
-        out = pd.DataFrame({"__t": t, "__start": start})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out
-
-    placed = (
-        instants.join(entries, [*keys, "__seg"])
-        .groupBy(*keys, "__seg")
-        .applyInPandas(walk, f"{kcols}, __t long, __start long")
-    )
+        tables.append(up.withColumnRenamed("__sup", "__seg"))
+
+    opened = f"{kcols}, __seg long, __open long"
+    down = partial(_hand_down, ttl=ttl)
+    top = tables[-1].withColumn("__before", F.lit(NEVER))
+    entries = per_group(top, keys, ["__seg", "__cand"], down, keys, opened)
+    for t in reversed(tables[:-1]):
+        given_open = entries.select(*keys, F.col("__seg").alias("__sup"), F.col("__open").alias("__before"))
+        lower = t.withColumn("__sup", above).join(given_open, [*keys, "__sup"])
+        entries = per_group(lower, [*keys, "__sup"], ["__seg", "__cand"], down, keys, opened)
+
+    placed = per_group(
+        instants.join(entries, [*keys, "__seg"]), [*keys, "__seg"], ["__t"], partial(_walk, ttl=ttl), keys,
+        f"{kcols}, __t long, __start long",
+    )
     rows = ev.join(placed, [*keys, "__t"], "left").withColumn("__start", F.coalesce("__start", "__run"))
     w = Window.partitionBy(*given, "__start").orderBy("__t", tie)
     return rows.select(
