@@ -12,7 +12,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.metrics import error_metrics, inverse_error_weights
@@ -93,16 +93,14 @@ def better_of(scored: DataFrame, label: str, a: str, b: str, split: str = "test"
     return r.withColumn("chosen", F.when(F.col(f"rmse_{b}") < F.col(f"rmse_{a}"), b).otherwise(a))
 
 
-def permutation_importance(df: DataFrame, model, features: Sequence[str], label: str, keys: Sequence[str]) -> DataFrame:
+def permutation_importance(df: DataFrame, model, features: Sequence[str], label: str, keys: Sequence[str], bucket_rows: int = 100_000) -> DataFrame:
     """Rise of RMSE when one feature is replaced by another row's value.
 
-    The replacement shifts the column by one place in hash order inside hash buckets, which keeps
-    the column's distribution and needs no global sort.
+    The replacement shifts the column by one place in hash order inside hash buckets of about
+    ``bucket_rows`` rows, which keeps the column's distribution and needs no global sort.
     """
-    from pyspark.sql import Window
-
     h = F.xxhash64(*keys)
-    bucket = F.pmod(h, F.lit(1024))
+    bucket = F.pmod(h, F.lit(max(1, df.count() // bucket_rows)))
     w = Window.partitionBy("__b").orderBy("__h")
     base = df.select(*keys, *features, label, h.alias("__h"), bucket.alias("__b"))
     wrap = Window.partitionBy("__b")

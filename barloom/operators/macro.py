@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import flag, ratio, sdiv
-from barloom.operators.layout import carry_scan
+from barloom.operators.cleaning import backward_fill, forward_fill
+from barloom.operators.layout import Blocks, block_panel, carry_scan, chunk_of, with_ordinal
+
+YEAR = 365 * 86400
 
 SERIES = ("vix", "sp500", "nasdaq", "russell2000", "yield_10y", "yield_3m", "tlt", "hyg", "dxy", "gold", "oil")
 
@@ -19,25 +21,23 @@ def pivot_series(long: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
     return long.groupBy("time").pivot("series", list(series)).agg(F.first("value", ignorenulls=True))
 
 
-def align_series(long: DataFrame, series: Sequence[str] = SERIES, back_fill: bool = False) -> DataFrame:
-    """Aligned and forward filled. ``back_fill`` also fills the start from the future.
-
-    The result has one row per macro time, so its window is small whatever the panel's size.
-    """
-    wide = pivot_series(long, series)
-    upto = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    onward = Window.orderBy("time").rowsBetween(0, Window.unboundedFollowing)
+def align_series(
+    long: DataFrame, series: Sequence[str] = SERIES, back_fill: bool = False, chunk_seconds: int = YEAR
+) -> DataFrame:
+    """Aligned and forward filled. ``back_fill`` also fills the start from the future."""
+    wide = forward_fill(pivot_series(long, series), series, [], ["time"], chunk_of("time", chunk_seconds))
+    return backward_fill(wide, series, [], ["time"], chunk_of("time", chunk_seconds)) if back_fill else wide
 
-    def filled(c: str) -> Column:
-        x = F.last(c, ignorenulls=True).over(upto)
-        return F.coalesce(x, F.first(c, ignorenulls=True).over(onward)) if back_fill else x
 
-    return wide.select("time", *[filled(c).alias(c) for c in series])
+def macro_blocks(macro: DataFrame, back: int, bar_seconds: int = 86400) -> Blocks:
+    """The series table in row blocks: its windows need no single partition."""
+    return block_panel(with_ordinal(macro, (), ("time",), chunk_seconds=16384 * bar_seconds), (), back=back)
 
 
 def macro_features(macro: DataFrame, null_as_zero: bool = False) -> DataFrame:
-    """46 derived columns. Windows run over the macro table alone (one row per time)."""
-    w = Window.orderBy("time")
+    """46 derived columns, from windows over the macro table alone (one row per time)."""
+    blocks = macro_blocks(macro, 256)
+    w = blocks.line
 
     def roll(n: int):
         return w.rowsBetween(-(n - 1), 0)
@@ -95,7 +95,8 @@ def macro_features(macro: DataFrame, null_as_zero: bool = False) -> DataFrame:
         first[f"{c}_return_1d"] = logret(c)
         first[f"{c}_return_5d"] = logret(c, 5)
         first[f"{c}_zscore_20"] = z(c, 20)
-    df = macro.select("time", *[v.alias(k) for k, v in first.items()])
+    layout = ("rn", "__blk", "__sub", "__copy")
+    df = blocks.df.select("time", *layout, *[v.alias(k) for k, v in first.items()])
     up = flag(F.col("sp500_return_1d") > 0, null_as_zero)
     calm = flag(F.col("vix_change_1d") < 0, null_as_zero)
     lagged = [
@@ -103,12 +104,13 @@ def macro_features(macro: DataFrame, null_as_zero: bool = False) -> DataFrame:
         for c in ("vix_level", "yield_10y", "sp500_return_1d", "dxy_return_1d")
         for k in (1, 5)
     ]
-    return df.select(
+    done = df.select(
         "*",
         mark(F.col("dxy_zscore_20") > 1.0).alias("dxy_strong"),
         ((up + calm) / 2.0).alias("risk_on_signal"),
         *lagged,
     )
+    return blocks.with_df(done).own_rows().drop("rn")
 
 
 def macro_feature_names() -> list[str]:
@@ -133,13 +135,9 @@ def asof_global(panel: DataFrame, macro: DataFrame, time: str = "time", back_fil
     first macro row (which looks ahead).
     """
     cols = [c for c in macro.columns if c != time]
-    w = Window.orderBy(time)
-    nxt = F.lead(time).over(w)
-    first_row = F.row_number().over(w) == 1
-    # the last macro row stays valid; its span is found by the panel's day, see ``tail`` below
-    spans = macro.select(
-        F.col(time).alias("__from"), nxt.alias("__to"), first_row.alias("__first"), F.struct(*cols).alias("__m")
-    )
+    # the last macro row stays valid for good; it is found by time alone, see ``tail`` below
+    line = carry_scan(macro, [], [time], chunk_of(time, YEAR), {"__to": ("after", F.col(time))})
+    spans = line.select(F.col(time).alias("__from"), "__to", F.struct(*cols).alias("__m"))
     closed = spans.where("__to is not null").select(
         "*", F.explode(F.sequence(F.to_date("__from"), F.to_date("__to"))).alias("__day")
     )
@@ -173,11 +171,7 @@ def asof_keyed(
     """
     marker = F.struct(*values)
     lrow = [c for c in left.columns if c not in (*keys, time)]
-    ltag = left.select(
-        *keys, time, F.lit(1).alias("__side"), F.struct(*lrow, F.monotonically_increasing_id().alias("__id")).alias("__l")
-        if not lrow
-        else F.struct(*lrow).alias("__l"),
-    )
+    ltag = left.select(*keys, time, F.lit(1).alias("__side"), F.struct(F.lit(1).alias("__one"), *lrow).alias("__l"))
     rtag = right.select(*keys, time, F.lit(0).alias("__side"), marker.alias("__r"))
     both = ltag.unionByName(rtag, allowMissingColumns=True)
     cut = F.floor(F.unix_seconds(F.col(time)) / F.lit(chunk_seconds)).cast("long")
@@ -186,6 +180,3 @@ def asof_keyed(
         *keys, time, *[F.col(f"__l.{c}").alias(c) for c in lrow], *[F.col(f"__hit.{v}").alias(v) for v in values]
     )
 
-
-def annual(x: Column, horizon: int = 1) -> Column:
-    return x * math.sqrt(252 / max(1, horizon))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.layout import carry_scan, chunk_of
+from barloom.operators.macro import macro_blocks
+
 # Volatility thresholds of the rule set (fixed values).
 LOW, HIGH, EXTREME = 15.0, 25.0, 40.0
 ASSUMED_VIX = 20.0
@@ -34,21 +37,21 @@ def rolling_mode(labels: Column) -> Column:
 
 
 def rule_regimes(macro: DataFrame, trend: int = 200, trend_min: int = 50, smooth: int = 5) -> DataFrame:
-    """(time, raw, regime) from ``vix`` and ``sp500``: one row per macro time, so the global
-    window stays small whatever the size of the panel."""
-    w = Window.orderBy("time")
-    back = w.rowsBetween(-(trend - 1), 0)
-    ma = F.when(F.count("sp500").over(back) >= trend_min, F.avg("sp500").over(back))
-    raw = macro.select("time", rule(F.col("vix"), F.col("sp500") > ma).alias("raw"))
-    last = F.collect_list("raw").over(w.rowsBetween(-(smooth - 1), 0))
-    return raw.select("time", "raw", rolling_mode(last).alias("regime"))
-
-
-def transition_matrix(states: DataFrame, state: str = "regime", keys: Sequence[str] = ()) -> DataFrame:
+    """(time, raw, regime) from ``vix`` and ``sp500``, in row blocks of the macro table."""
+    b = macro_blocks(macro, trend + smooth)
+    ma = b.full("sp500", trend, F.avg("sp500").over(b.rolling(trend)), needed=trend_min)
+    b = b.with_df(b.df.select("*", rule(F.col("vix"), F.col("sp500") > ma).alias("raw")))
+    last = F.collect_list("raw").over(b.rolling(smooth))
+    b = b.with_df(b.df.select("*", rolling_mode(last).alias("regime")))
+    return b.own_rows().select("time", "raw", "regime")
+
+
+def transition_matrix(
+    states: DataFrame, state: str = "regime", keys: Sequence[str] = (), chunk_seconds: int = 365 * 86400
+) -> DataFrame:
     """P(next | state); pairs are counted before the row totals are taken."""
-    w = Window.partitionBy(*keys).orderBy("time")
-    pairs = states.select(*keys, state, F.lead(state).over(w).alias("next")).where("next is not null")
-    n = pairs.groupBy(*keys, state, "next").agg(F.count(F.lit(1)).alias("n"))
+    line = carry_scan(states, keys, ["time"], chunk_of("time", chunk_seconds), {"next": ("after", F.col(state))})
+    n = line.where("next is not null").groupBy(*keys, state, "next").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*keys, state)))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.layout import carry_scan, chunk_of
+
 
 def with_key_size(df: DataFrame, keys: Sequence[str] = ("symbol",), out: str = "n") -> DataFrame:
     """Row count per key from the largest ``rn``: a map-side combined aggregate and a join."""
@@ -27,11 +29,12 @@ def chronological_split(
     return d.select(*panel.columns, label.alias("split"))
 
 
-def time_axis(df: DataFrame, time: str = "time") -> DataFrame:
-    """Distinct times numbered from 0, with their count. One row per time: the window is small."""
+def time_axis(df: DataFrame, time: str = "time", chunk_seconds: int = 30 * 86400) -> DataFrame:
+    """Distinct times numbered from 0, with their count; numbers are carried over time chunks."""
     t = df.select(time).distinct()
-    w = Window.orderBy(time)
-    return t.select(time, (F.row_number().over(w) - 1).alias("t"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n_times"))
+    numbered = carry_scan(t, [], [time], chunk_of(time, chunk_seconds), {"rn": ("count", F.lit(1))})
+    n = t.agg(F.count(F.lit(1))).scalar()
+    return numbered.select(time, (F.col("rn") - 1).alias("t"), n.alias("n_times"))
 
 
 def walk_forward_folds(axis: DataFrame, min_train: int = 500, window: int = 63, step: int | None = None, horizon: int = 1) -> DataFrame:
