@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -501,21 +501,19 @@ def build_features(
     block cover the longest window and, if recurrences are present, their decay length.
     """
     chosen = [FAMILIES_WITH_TARGETS[f] for f in families] + list(custom)
-    probe = Book(Blocks(panel, tuple(keys), 1024, 1, 0), null_as_zero)
+    # window specifications depend on the keys alone, so families can be declared before the layout
+    book = Book(Blocks(panel, tuple(keys), 1024, 1, 0), null_as_zero)
     for fam in chosen:
-        fam(probe)
-    ratios = [r.bound for gen in probe.recur.values() for r in gen.values()]
+        fam(book)
+    ratios = [r.bound for gen in book.recur.values() for r in gen.values()]
     sub = sub_rows_for(ratios)
-    generations = sum(1 for gen in probe.recur.values() if gen)
+    generations = sum(1 for gen in book.recur.values() if gen)
     back = max(256, reach_of(ratios, sub) + (generations > 1) * sub)
     rows = block_rows or max(4 * back, 20 * sub)
     rows = -(-rows // sub) * sub
     back = -(-back // sub) * sub
     blocks = block_panel(panel, keys, back=back, ahead=max(HORIZONS) + 1, block_rows=rows, sub_rows=sub)
-
-    book = Book(blocks, null_as_zero)
-    for fam in chosen:
-        fam(book)
+    blocks = replace(blocks, specs=book.blocks.specs)
 
     def add(stage: str) -> None:
         nonlocal blocks

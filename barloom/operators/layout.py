@@ -13,8 +13,8 @@ helpers split a symbol instead:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -142,15 +142,22 @@ class Blocks:
     sub_rows: int
     block_rows: int
     back: int
+    specs: dict = field(default_factory=dict, compare=False, repr=False)
+
+    def _spec(self, name: object, make: Callable[[], WindowSpec]) -> WindowSpec:
+        # specifications are JVM objects behind a gateway: make each once
+        if name not in self.specs:
+            self.specs[name] = make()
+        return self.specs[name]
 
     @property
     def line(self) -> WindowSpec:
         # ``__sub`` grows with ``rn``: naming it lets the sub-block windows share this sort
-        return Window.partitionBy(*self.keys, "__blk").orderBy("__sub", "rn")
+        return self._spec("line", lambda: Window.partitionBy(*self.keys, "__blk").orderBy("__sub", "rn"))
 
     @property
     def sub_line(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys, "__blk", "__sub").orderBy("rn")
+        return self._spec("sub", lambda: Window.partitionBy(*self.keys, "__blk", "__sub").orderBy("rn"))
 
     def lag(self, c: Column | str, k: int = 1) -> Column:
         return F.lag(as_col(c), k).over(self.line)
@@ -159,7 +166,7 @@ class Blocks:
         return F.lead(as_col(c), k).over(self.line)
 
     def rolling(self, n: int) -> WindowSpec:
-        return self.line.rowsBetween(-(n - 1), 0)
+        return self._spec(n, lambda: self.line.rowsBetween(-(n - 1), 0))
 
     def full(self, x: Column | str, n: int, value: Column, needed: int | None = None) -> Column:
         """``value`` once the last ``n`` rows hold ``needed`` (all) non-null ``x``."""
@@ -188,7 +195,7 @@ class Blocks:
         return F.try_divide(as_col(x), self.lag(x, k)) - 1.0
 
     def with_df(self, df: DataFrame) -> Blocks:
-        return Blocks(df, self.keys, self.sub_rows, self.block_rows, self.back)
+        return replace(self, df=df)
 
     def own_rows(self) -> DataFrame:
         """Drop the copied neighbours and the layout columns."""

@@ -44,11 +44,16 @@ def panel_features(i: Inputs, families: Sequence[str]) -> DataFrame:
     return ft.build_features(i.panel(), families, keep=["symbol", "time"])
 
 
+# SQL, digits of the double columns and integer columns of each family query
+FAMILY_SQL: list[tuple[str, dict[str, int], list[str]]] = []
+
+
 def feature_query(name: str, covers: str, families: Sequence[str], sql: str, doubles, ints: Sequence[str] = ()):
     def plan(i: Inputs) -> DataFrame:
         return panel_features(i, families)
 
     query(name, covers, sql, ["rbars"], ["time"], doubles, [*KEYS, *ints])(plan)
+    FAMILY_SQL.append((sql, dict(doubles) if isinstance(doubles, dict) else {c: 6 for c in doubles}, list(ints)))
 
 
 E10 = "1e-10"
@@ -360,7 +365,16 @@ def _(i: Inputs) -> DataFrame:
     return fill_zero(drop_warm_up(f.select("symbol", "time", *kept)), kept)
 
 
-@query("feature_panel_all", "P-11 P-14 X-3", None)
+_parts = [f for f in FAMILY_SQL if "target_1" not in f[1]]
+_panel = "SELECT * FROM " + " JOIN ".join(
+    f"({sql}) f{k}" + (" USING (symbol, time)" if k else "") for k, (sql, _, _) in enumerate(_parts)
+)
+
+
+@query(
+    "feature_panel_all", "P-11 P-14 X-3 F-7", _panel, ["rbars"], ["time"],
+    {c: d for _, ds, _ in _parts for c, d in ds.items()}, [*KEYS, *[c for _, _, ints in _parts for c in ints]],
+)
 def _(i: Inputs) -> DataFrame:
     """Every technical family at once: one shuffle for all windows and recurrences."""
     return panel_features(i, ft.TECHNICAL)
@@ -409,3 +423,35 @@ def _(i: Inputs) -> DataFrame:
 def _(i: Inputs) -> DataFrame:
     fold = ft.window_udf(9, lambda a: F.element_at(F.array_sort(a), 5), F.col("high") - F.col("low"))
     return ft.build_features(i.panel(), (), keep=["symbol", "time"], custom=[lambda b: fold(b, "median_spread")])
+
+
+@query(
+    "rounded_outputs", "P-18 F-7",
+    "SELECT symbol, time, round_even(close / 7.3, 3) AS close, round_even(high / low / 3, 3) AS spread, round_even(volume / 8, 0) AS lots FROM rbars",
+    ["rbars"], ["time"], ["close", "spread", "lots"], KEYS,
+)
+def _(i: Inputs) -> DataFrame:
+    """Display rounding: ties go to the even digit."""
+    half_even = F.bround
+    return i.panel().select(
+        "symbol", "time", half_even(F.col("close") / 7.3, 3).alias("close"), half_even(F.col("high") / F.col("low") / 3, 3).alias("spread"),
+        half_even(F.col("volume") / 8, 0).alias("lots"),
+    )
+
+
+@query(
+    "symbol_text_parts", "F-1 F-16",
+    """SELECT DISTINCT symbol, upper(split_part(symbol, '#', 1)) AS exchange, lpad(split_part(symbol, '#', 2), 4, '0') AS code,
+        concat_ws('|', lower(symbol), substr(symbol, 1, 3), replace(symbol, '#', '-USD')) AS joined,
+        CAST(starts_with(symbol, 'Brand#1') AS INTEGER) AS ones, CAST(ends_with(replace(symbol, '#1', '-USD'), '-USD') AS INTEGER) AS coin FROM bars""",
+    ["bars"], (), (), ["symbol", "exchange", "code", "joined", "ones", "coin"],
+)
+def _(i: Inputs) -> DataFrame:
+    s = F.col("symbol")
+    part = F.split(s, "#")
+    return i.bars().select("symbol").distinct().select(
+        "symbol", F.upper(F.element_at(part, 1)).alias("exchange"), F.lpad(F.element_at(part, 2), 4, "0").alias("code"),
+        F.concat_ws("|", F.lower(s), F.substring(s, 1, 3), F.replace(s, F.lit("#"), F.lit("-USD"))).alias("joined"),
+        s.startswith("Brand#1").cast("int").alias("ones"),
+        F.replace(s, F.lit("#1"), F.lit("-USD")).endswith("-USD").cast("int").alias("coin"),
+    )

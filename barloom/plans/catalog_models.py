@@ -130,8 +130,12 @@ def _(i: Inputs) -> DataFrame:
 
 
 def regime_rows(i: Inputs) -> DataFrame:
-    p = ft.regime_panel(i.panel(), bar_seconds=WEEK)
-    return ft.build_features(p, ["regime_inputs"], keep=["symbol", "time", "rn", "close"])
+    def build() -> DataFrame:
+        p = ft.regime_panel(i.panel(), bar_seconds=WEEK)
+        return ft.build_features(p, ["regime_inputs"], keep=["symbol", "time", "rn", "close"])
+
+    # staged: fitting passes over it many times
+    return i.once("regime_rows", build)
 
 
 _lr0 = "SELECT *, coalesce(lr, 0) AS lr0 FROM rbars"

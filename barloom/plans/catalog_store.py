@@ -109,8 +109,9 @@ def _(i: Inputs) -> DataFrame:
         F.col("name").alias("view"), F.concat_ws(",", F.array_sort(F.array_intersect(want, "features"))).alias("found"),
         F.concat_ws(",", m["missing"]).alias("missing"), m["match_rate"].alias("match_rate"),
     )
-    symbols = i.bars().select("symbol").distinct().withColumn("view", F.lit("price_action"))
-    return symbols.join(d, "view")
+    # the view is one row: a scalar subquery next to every symbol, not a join
+    one = d.agg(F.max(F.struct("view", "found", "missing", "match_rate"))).scalar()
+    return i.bars().select("symbol").distinct().select("symbol", one.alias("m")).select("symbol", "m.*")
 
 
 @query(
