@@ -256,7 +256,7 @@ def _(i: Inputs) -> DataFrame:
     "full_profiles", "J-17",
     """SELECT b.symbol, CAST(b.bars AS BIGINT) AS bars, sector, CAST(c.total AS BIGINT) AS open_interest FROM (SELECT symbol, count(*) AS bars FROM bars GROUP BY symbol) b
        LEFT JOIN sector USING (symbol) LEFT JOIN (SELECT symbol, sum(open_interest) AS total FROM chain WHERE symbol <> 'Brand#9' GROUP BY symbol) c USING (symbol)""",
-    ["bars", "sector", "chain"], (), (), ["symbol", "bars", "sector", "open_interest"],
+    ["bars", "sector", "chain"], (), ["open_interest"], ["symbol", "bars", "sector"],
 )
 def _(i: Inputs) -> DataFrame:
     chain = i.option_chain().where("symbol <> 'Brand#9'").groupBy("symbol").agg(F.sum("open_interest").alias("total"))

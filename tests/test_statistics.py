@@ -1,6 +1,5 @@
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
 from barloom.functions.numeric import magnitude_bucket
 from barloom.operators import forecast as fc
@@ -102,4 +101,4 @@ def test_bootstrap_interval_covers_the_estimate(spark):
     out = mt.bootstrap_rank_correlation(spark.createDataFrame(pdf), ["g"], "row", 30).toPandas().set_index("g")
     ic = pdf[pdf.g == "hot"]["y_true"].rank().corr(pdf[pdf.g == "hot"]["y_pred"].rank())
     assert out.loc["hot", "ic_low"] < ic < out.loc["hot", "ic_high"]
-    assert F is not None and out["n_replicas"].eq(30).all()
+    assert out["n_replicas"].eq(30).all()
