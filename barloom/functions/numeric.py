@@ -93,3 +93,13 @@ def safe_corr(a: Column | str, b: Column | str, window=None) -> Column:
         parts = tuple(p.over(window) for p in parts)
     cov, sx, sy = parts
     return F.try_divide(cov, sx * sy)
+
+
+def deviation(x: Column | str, mean: Column) -> Column:
+    """``x - mean``, and exactly 0 where the two differ by rounding noise only.
+
+    A constant window has a spread of about 0; dividing the noise of its mean by a tiny epsilon
+    would show up as a non-zero score.
+    """
+    d = as_col(x) - mean
+    return F.when(F.abs(d) <= 1e-12 * F.abs(mean), F.lit(0.0)).otherwise(d)

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import EPS, LN2, TRADING_DAYS, clip, flag, ratio, safe_corr, safe_sqrt, sdiv
+from barloom.functions.numeric import EPS, LN2, TRADING_DAYS, clip, deviation, flag, ratio, safe_corr, safe_sqrt, sdiv
 from barloom.operators.layout import Blocks, block_panel, carry_scan, chunk_of
 from barloom.operators.recurrence import Recurrence, reach_of, solve, sub_rows_for
 
@@ -339,7 +339,9 @@ def moments(b: Book) -> None:
     full = F.col("__seen_20") == n
     b.put("mid2", "kurtosis_20", F.when(full, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6.0)))
     for k in (20, 50):
-        b.put("base", f"zscore_{k}", ratio(b.C - w.mean(b.C, k), w.std(b.C, k)))
+        b.hidden("base", f"__cmean_{k}", w.mean(b.C, k))
+        b.hidden("base", f"__cdev_{k}", w.std(b.C, k))
+        b.put("first", f"zscore_{k}", ratio(deviation(b.C, F.col(f"__cmean_{k}")), f"__cdev_{k}"))
 
 
 def autocorrelations(b: Book) -> None:
@@ -580,7 +582,3 @@ def feature_columns(
         if c not in _META and c not in _LEVELS and c not in skip and not c.startswith(_LEVEL_PREFIXES)
     ]
 
-
-def full_history_window(keys: Sequence[str] = ("symbol",)):
-    """Unpartitioned-by-block window, for small per-key tables only (summaries, macro)."""
-    return Window.partitionBy(*keys).orderBy("time")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import flag, ratio, sdiv
+from barloom.functions.numeric import deviation, flag, ratio, sdiv
 from barloom.operators.cleaning import backward_fill, forward_fill
 from barloom.operators.layout import Blocks, block_panel, carry_scan, chunk_of, with_ordinal
 
@@ -56,7 +56,7 @@ def macro_features(macro: DataFrame, null_as_zero: bool = False) -> DataFrame:
 
     def z(x, n):
         mean, std = F.avg(x).over(roll(n)), F.stddev_samp(x).over(roll(n))
-        return full(x, n, ratio(F.col(x) - mean, std))
+        return full(x, n, ratio(deviation(x, mean), std))
 
     def mark(cond):
         return flag(cond, null_as_zero)

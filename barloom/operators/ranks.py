@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import as_col, magnitude_bucket, safe_corr
+from barloom.functions.numeric import as_col, deviation, magnitude_bucket, safe_corr
 
 
 def average_rank(x: Column | str, groups: Sequence[str | Column]) -> Column:
@@ -32,7 +32,7 @@ def centred_rank(x: Column | str, groups: Sequence[str | Column], minimum: int =
 def centred_zscore(x: Column | str, groups: Sequence[str | Column], minimum: int = 5) -> Column:
     v = as_col(x)
     w = Window.partitionBy(*groups)
-    z = F.try_divide(v - F.avg(v).over(w), F.stddev_samp(v).over(w) + F.lit(1e-10))
+    z = F.try_divide(deviation(v, F.avg(v).over(w)), F.stddev_samp(v).over(w) + F.lit(1e-10))
     return F.when(F.count(v).over(w) >= minimum, z)
 
 

@@ -25,7 +25,7 @@ def _lr(c: str, k: int = 1) -> str:
 
 
 def _z(c: str, n: int) -> str:
-    return f"CASE WHEN count({c}) OVER {_roll(n)} = {n} THEN ({c} - avg({c}) OVER {_roll(n)}) / (stddev_samp({c}) OVER {_roll(n)} + 1e-10) END"
+    return f"CASE WHEN count({c}) OVER {_roll(n)} = {n} THEN CASE WHEN abs({c} - avg({c}) OVER {_roll(n)}) <= 1e-12 * abs(avg({c}) OVER {_roll(n)}) THEN 0 ELSE {c} - avg({c}) OVER {_roll(n)} END / (stddev_samp({c}) OVER {_roll(n)} + 1e-10) END"
 
 
 _cols = {

@@ -79,10 +79,10 @@ def main() -> int:
                 print(f"DIFF  {name}: {len(a)} vs {len(b)} rows, {took:.1f}s", flush=True)
                 cols = sorted(got.columns)
                 sa, sb = set(map(repr, a)), set(map(repr, b))
-                for row in sorted(sa - sb)[:3]:
-                    print("   spark", cols, row[:700])
+                for row in sorted(sa - sb)[:2]:
+                    print("   spark", cols, row[:1500])
                 for row in sorted(sb - sa)[:3]:
-                    print("   sql  ", row[:700])
+                    print("   sql  ", row[:1500])
         except Exception as e:  # report and go on with the next query
             failed += 1
             print(f"FAIL  {name}: {type(e).__name__} {str(e)[:500]}", flush=True)
