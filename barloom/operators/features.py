@@ -69,6 +69,19 @@ def _log_return(b: Book) -> None:
     b.hidden("base", "__lr", F.log(sdiv(b.C, b.blocks.lag(b.C))))
 
 
+def _return_std(b: Book, n: int) -> Column:
+    """Rolling deviation of log returns; families asking for the same ``n`` share the column."""
+    b.hidden("first", f"__std_{n}", b.blocks.std("__lr", n))
+    return F.col(f"__std_{n}")
+
+
+def _close_stats(b: Book, n: int) -> tuple[Column, Column]:
+    """Rolling mean and sample deviation of the close, shared like :func:`_return_std`."""
+    b.hidden("base", f"__cmean_{n}", b.blocks.mean(b.C, n))
+    b.hidden("base", f"__cdev_{n}", b.blocks.std(b.C, n))
+    return F.col(f"__cmean_{n}"), F.col(f"__cdev_{n}")
+
+
 def price_action(b: Book) -> None:
     w = b.blocks
     _log_return(b)
@@ -77,7 +90,7 @@ def price_action(b: Book) -> None:
     for k in (1, 5):
         b.put("base", f"log_return_{k}d", F.log(sdiv(b.C, w.lag(b.C, k))))
     for n in (5, 10, 20):
-        b.put("first", f"volatility_{n}d", w.std("__lr", n) * YEAR)
+        b.put("mid", f"volatility_{n}d", _return_std(b, n) * YEAR)
     spread = 0.5 * F.pow(F.log(sdiv(b.H, b.L)), 2) - (2 * LN2 - 1) * F.pow(F.log(sdiv(b.C, b.O)), 2)
     b.hidden("base", "__gk", spread)
     b.put("first", "gk_volatility", safe_sqrt(w.mean("__gk", 20) * TRADING_DAYS))
@@ -235,11 +248,10 @@ def commodity_channel(b: Book, n: int = 20) -> None:
 
 
 def bollinger(b: Book, n: int = 20, width: float = 2.0) -> None:
-    w = b.blocks
-    b.hidden("base", "__bb_mean", w.mean(b.C, n))
-    b.hidden("base", "__bb_dev", w.std_pop(b.C, n))
-    b.put("first", "bb_upper", F.col("__bb_mean") + width * F.col("__bb_dev"))
-    b.put("first", "bb_lower", F.col("__bb_mean") - width * F.col("__bb_dev"))
+    mean, sample = _close_stats(b, n)
+    dev = sample * math.sqrt((n - 1) / n)  # population deviation
+    b.put("first", "bb_upper", mean + width * dev)
+    b.put("first", "bb_lower", mean - width * dev)
     up, low = F.col("bb_upper"), F.col("bb_lower")
     b.put("mid", "bb_width", ratio(up - low, b.C))
     b.put("mid", "bb_position", ratio(b.C - low, up - low))
@@ -339,9 +351,8 @@ def moments(b: Book) -> None:
     full = F.col("__seen_20") == n
     b.put("mid2", "kurtosis_20", F.when(full, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6.0)))
     for k in (20, 50):
-        b.hidden("base", f"__cmean_{k}", w.mean(b.C, k))
-        b.hidden("base", f"__cdev_{k}", w.std(b.C, k))
-        b.put("first", f"zscore_{k}", ratio(deviation(b.C, F.col(f"__cmean_{k}")), f"__cdev_{k}"))
+        mean, dev = _close_stats(b, k)
+        b.put("first", f"zscore_{k}", ratio(deviation(b.C, mean), dev))
 
 
 def autocorrelations(b: Book) -> None:
@@ -357,9 +368,9 @@ def microstructure(b: Book) -> None:
     w = b.blocks
     _log_return(b)
     b.put("base", "range_expansion", ratio(b.H - b.L, w.mean(b.H - b.L, 5)))
-    std5, std20, std60 = (w.std("__lr", n) for n in (5, 20, 60))
-    b.put("first", "vol_ratio_5_20", ratio(std5 * YEAR, std20 * YEAR))
-    b.put("first", "vol_regime_60_20", ratio(std60, std20))
+    std5, std20, std60 = (_return_std(b, n) for n in (5, 20, 60))
+    b.put("mid", "vol_ratio_5_20", ratio(std5 * YEAR, std20 * YEAR))
+    b.put("mid", "vol_regime_60_20", ratio(std60, std20))
     b.put("first", "idiosyncratic_return", F.col("__lr") - w.mean("__lr", 20))
     b.put("base", "momentum_accel", w.pct_change(b.C, 5) - w.pct_change(b.C, 10) / 2.0)
     b.hidden("base", "__illiq", sdiv(F.abs(F.log(sdiv(b.C, w.lag(b.C)))), b.V + 1.0))
