@@ -42,7 +42,7 @@ def _(i: Inputs) -> DataFrame:
     "option_top_strikes", "K-3",
     """SELECT symbol, expiration, side, strike, open_interest, last_price, implied_volatility, volume, row_number() OVER w AS place FROM chain
        WINDOW w AS (PARTITION BY symbol, expiration, side ORDER BY open_interest DESC, strike) QUALIFY row_number() OVER w <= 5""",
-    ["chain"], ["expiration"], ["strike", "last_price", "implied_volatility"], ["symbol", "side", "open_interest", "volume", "place"],
+    ["chain"], ["expiration"], {"strike": 6, "last_price": 6, "implied_volatility": 9}, ["symbol", "side", "open_interest", "volume", "place"],
 )
 def _(i: Inputs) -> DataFrame:
     return op.top_strikes(i.option_chain()).withColumn("place", F.col("place").cast("long"))
