@@ -6,20 +6,36 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.llm.bpe import token_digests
 from barloom.llm.common import table
 from barloom.llm.decontaminate import contaminated_words
+from barloom.llm.ngram_join import jaccard_components
 from barloom.llm.quality import quality_scores
 from barloom.llm.secret_scan import secret_spans
+from barloom.llm.topk_search import top_k
+from barloom.llm.url_filter import url_verdicts
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +49,6 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_bpe, op7_quality, op8_decontamination, op9_secrets)
+    f.__name__: f for f in (op1_ngram_join, op3_topk, op4_bpe, op5_url_filter, op7_quality, op8_decontamination, op9_secrets)
 }
 SQL: dict[str, str] = {}

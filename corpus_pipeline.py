@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from barloom.llm.bpe import token_digests
 from barloom.llm.common import staged, table
 from barloom.llm.decontaminate import decontaminated
+from barloom.llm.ngram_join import one_of_each
 from barloom.llm.quality import keep_quality
 from barloom.llm.secret_scan import redacted
 
@@ -23,6 +24,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return one_of_each(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -38,7 +44,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_digests(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality", quality), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens)]
+STAGES = [("quality", quality), ("near copies", near_copies), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens)]
 
 #: No SQL: the classifier is fitted and tokens are merged step by step; tests compare with a brute-force version.
 ORACLE_SQL = None
@@ -47,5 +53,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
