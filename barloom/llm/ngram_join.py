@@ -8,13 +8,14 @@ A tree over all documents can't be spread, and points of unrelated long texts li
 them. So documents are first routed to trees by shingles that linked pairs must share, which loses no link:
 
 1. *Classes.* Equal sets are one class, whatever the number of copies; its node is its smallest ``doc_id``.
-2. *Cheap links.* Each class goes to a few trees by minima of permuted hashes. A tree with many classes is cut into chunks
+2. *Cheap links.* Each class goes to a few trees by minima of permuted hashes of its rarest shingles (see 3). A tree with many classes is cut into chunks
    of some ``CHUNK``. Classes that are already connected are not compared, so a group of thousands of near copies costs a
    few comparisons for each. Most links that matter are found here; none has to be.
 3. *All other links.* A set of n shingles that links with another shares one of its n - ceil(0.75 n) + 1 rarest shingles
    (rare by a count table of a fixed size over all documents). Shingles whose classes are all connected by now are dropped;
-   the classes of each other one form a tree, cut into pairs of chunks if there are many. The tree gives pairs of
-   classes that aren't connected and pass the bound: first the best pair of each two components, then all that are left.
+   of shingles with the same classes one is enough; the classes of each form a tree, cut into pairs of chunks if there are many. The tree gives pairs of
+   classes that aren't connected and pass the bound; from a tree with very many pairs first the best of each member and
+   component, and in a second round all that these leave apart.
 4. Pairs are verified on the exact sets, and links become components.
 
 Defined results: texts without words (null, empty, blank) are linked with nothing; a row without ``doc_id`` has no
@@ -36,12 +37,14 @@ from barloom.llm.common import Hashes, bit_table, gram_hashes, has_bit, hashed_w
 from barloom.llm.components import components
 
 WIDTH = 5
-ROUTES = 3
+ROUTES = 2
 SLOTS = 1 << 20
 #: Classes in a tree; larger trees are cut.
 CHUNK = 192
 #: Classes in one side of a tree of the third step.
 BLOCK = 512
+#: Pairs of a tree of the third step beyond which the best ones go first.
+PAIRS = 4000
 #: A pair links if 7 * common >= 3 * (size + size), which is a Jaccard similarity of 0.75 or more.
 FAN = 8
 
@@ -112,22 +115,36 @@ def class_rows(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
             names, begins = sets(texts, hashes, sent.value)
             size = np.diff(begins)
             full = np.flatnonzero(size)
-            routes = np.stack([np.minimum.reduceat(mixed(names ^ np.uint64(k * 0x51ED270B7F4A7C15 & (1 << 64) - 1)), begins[:-1][full]) for k in range(1, ROUTES + 1)], 1) if len(full) else None
-            out: dict[str, list] = {"sig": [None] * len(texts), "routes": [None] * len(texts), "prefix": [None] * len(texts), "point": [None] * len(texts)}
             prefix = size - (3 * size + 3) // 4 + 1
+            rare = np.arange(len(names)) - np.repeat(begins[:-1], size) < np.repeat(prefix, size)
+            starts = np.cumsum(np.concatenate([[0], prefix[full][:-1]])).astype(np.int64)
+            keys = names[rare]
+            routes = np.stack([np.minimum.reduceat(mixed(keys ^ np.uint64(k * 0x51ED270B7F4A7C15 & (1 << 64) - 1)), starts) for k in range(1, ROUTES + 1)], 1) if len(full) else None
+            out: dict[str, list] = {"sig": [None] * len(texts), "routes": [None] * len(texts), "prefix": [None] * len(texts), "point": [None] * len(texts)}
             for k, i in enumerate(full):
                 own = names[begins[i] : begins[i + 1]]
                 out["sig"][i] = signature(own)
                 out["routes"][i] = routes[k].view(np.int64)
-                out["prefix"][i] = own[: prefix[i]].view(np.int64)
+                out["prefix"][i] = packed(own[: prefix[i]])
                 out["point"][i] = point(own).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), pa.array(out["sig"], pa.int64()), pa.array(out["routes"], longs), pa.array(out["prefix"], longs), pa.array(out["point"], pa.binary())],
+                [batch.column("doc_id"), pa.array(size), pa.array(out["sig"], pa.int64()), pa.array(out["routes"], longs), pa.array(out["prefix"], pa.binary()), pa.array(out["point"], pa.binary())],
                 ["doc_id", "n", "sig", "routes", "prefix", "point"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(task, "doc_id long, n long, sig long, routes array<long>, prefix array<long>, point binary")
+    return rows.mapInArrow(task, "doc_id long, n long, sig long, routes array<long>, prefix binary, point binary")
+
+
+def packed(names: np.ndarray) -> bytes:
+    """Shingles as join keys of six bytes (of the hash): enough to bring sets together, as pairs are verified later."""
+    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<i8").ravel()
 
 
 def signature(names: np.ndarray) -> int:
@@ -251,33 +268,58 @@ def cheap_links(docs: DataFrame, ranks: np.ndarray, rows: DataFrame, classes: Da
     return names.join(placed.select("sig", "route", "chunk"), "sig").groupBy("route", "chunk").applyInArrow(links_of_block, "a long, b long")
 
 
-def pairs_of_block(best: bool):
-    """Pairs of a block whose components differ and whose points pass the bound; with ``best`` only the one with the
-    greatest bound for each member and component."""
-
-    def task(block: pa.Table) -> pa.Table:
-        sig, node, comp, side = (np.asarray(block.column(c)) for c in ("sig", "node", "comp", "side"))
-        two = block.column("low")[0].as_py() != block.column("high")[0].as_py()
-        sizes = np.asarray(block.column("n"))
-        points = [np.frombuffer(p, np.uint16) for p in block.column("point").to_pylist()]
-        out: set[tuple[int, int]] = set()
-        for own, members, tree in trees(points, sizes):
-            for i in own:
-                apart = comp[members] != comp[i]
-                if two:
-                    apart &= side[members] != side[i]
-                if not apart.any():
-                    continue
-                found, bound = tree.query(points[i].astype(np.int32), sizes[i], tree.boxes(apart))
-                ranked, done = members[found[np.argsort(-bound, kind="stable")]], set()
-                for j in ranked:
-                    if not best or comp[j] not in done:
-                        done.add(comp[j])
-                        out.add((int(min(i, j)), int(max(i, j))))
-        i, j = np.array(sorted(out), np.int64).reshape(-1, 2).T
-        return pa.table({"sig": pa.array(sig[i]), "node": pa.array(node[i]), "sig2": pa.array(sig[j]), "node2": pa.array(node[j])})
-
-    return task
+def pairs_of_block(block: pa.Table, most: int | None) -> pa.Table:
+    """Pairs of a block whose components differ and whose points pass the bound. If there are more than ``most``, only
+    the one with the greatest bound for each member and component, and ``more`` is set."""
+    token = block.column("token")[0].as_py()
+    sig, node, comp, side, sizes = (np.asarray(block.column(c)) for c in ("sig", "node", "comp", "side", "n"))
+    two = block.column("low")[0].as_py() != block.column("high")[0].as_py()
+    points = [np.frombuffer(p, np.uint16) for p in block.column("point").to_pylist()]
+    every: list[tuple[int, int]] = []
+    first: set[tuple[int, int]] = set()
+    count = 0
+    for own, members, tree in trees(points, sizes):
+        for i in own:
+            apart = comp[members] != comp[i]
+            if two:
+                apart &= side[members] != side[i]
+            if not apart.any():
+                continue
+            found, bound = tree.query(points[i].astype(np.int32), sizes[i], tree.boxes(apart))
+            done: set[int] = set()
+            for j in members[found[np.argsort(-bound, kind="stable")]].tolist():
+                if comp[j] not in done:
+                    done.add(comp[j])
+                    first.add((min(i, j), max(i, j)))
+            count += len(found)
+            if most is None or count <= 2 * most:
+                every += [(min(i, j), max(i, j)) for j in members[found].tolist()]
+    more = most is not None and count > 2 * most
+    i, j = np.array(sorted(first if more else set(every)), np.int64).reshape(-1, 2).T
+    flags, tokens = pa.array(np.full(len(i), more)), pa.array(np.full(len(i), token, np.int64))
+    return pa.table({"token": tokens, "more": flags, "sig": pa.array(sig[i]), "node": pa.array(node[i]), "sig2": pa.array(sig[j]), "node2": pa.array(node[j])})
+
+
+def met_in_tokens(rows: DataFrame, nodes: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
+    """``token, node``: the join keys of the rows whose id is a node (and some others), or those with a bit in ``wanted``."""
+    sent = rows.sparkSession.sparkContext.broadcast((nodes, wanted))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, bits = sent.value
+        for batch in batches:
+            some = batch.filter(pa.array(has_bit(ids, np.asarray(batch.column("doc_id"), np.int64))))
+            keys = [unpacked(k) for k in some.column("prefix").to_pylist()]
+            if not keys:
+                continue
+            token = np.concatenate(keys)
+            node = np.repeat(np.asarray(some.column("doc_id")), [len(k) for k in keys])
+            if bits is not None:
+                there = has_bit(bits, token)
+                token, node = token[there], node[there]
+            for at in range(0, len(token), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(token[at : at + (1 << 17)]), pa.array(node[at : at + (1 << 17)])], ["token", "node"])
+
+    return rows.select("doc_id", "prefix").mapInArrow(task, "token long, node long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, ranks: np.ndarray) -> DataFrame:
@@ -297,14 +339,24 @@ def verified(pairs: DataFrame, docs: DataFrame, ranks: np.ndarray) -> DataFrame:
     return both.select("node", "node2", "names", "names2").mapInArrow(task, "a long, b long")
 
 
-def _components_of(classes: DataFrame, comps: DataFrame) -> DataFrame:
-    return classes.join(comps, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
+def candidate_pairs(met: DataFrame, comps: DataFrame, shapes: DataFrame, most: int | None) -> DataFrame:
+    """Pairs of classes that share a token, aren't connected and pass the bound of their points."""
+    placed = met.join(comps, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
+    # tokens with the same members would give the same pairs, so one of them is enough
+    members = [F.count("*").alias("members"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")]
+    open_ = placed.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), *members).filter("one <> other")
+    open_ = open_.groupBy("members", "x", "y").agg(F.min("token").alias("token")).select("token", F.expr(f"cast(ceil(members / {BLOCK}) as int)").alias("cuts"))
+    parts = placed.join(open_, "token").withColumn("side", F.expr("cast(pmod(xxhash64(node), cuts) as int)"))
+    cells = parts.withColumn("other", F.explode(F.expr("sequence(0, cuts - 1)"))).select(
+        "token", "node", "comp", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high")
+    )
+    blocks = cells.join(shapes, "node").groupBy("token", "low", "high")
+    return blocks.applyInArrow(lambda block: pairs_of_block(block, most), "token long, more boolean, sig long, node long, sig2 long, node2 long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
     ranks = shingle_ranks(docs)
-    sent = docs.sparkSession.sparkContext
     rows = staged(class_rows(docs, ranks), "sets")
     known = rows.filter("sig is not null and doc_id is not null")
     classes = staged(known.groupBy("sig").agg(F.min("doc_id").alias("node")), "classes")
@@ -314,35 +366,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     edges = staged(edges.union(cheap_links(docs, ranks, rows, classes)), "links")
     comps = components(edges)
 
-    # shingles that classes of more than one kind must share
-    keys = known.select("sig", F.explode("prefix").alias("token"))
-    many = keys.groupBy("token").agg(F.min("sig").alias("one"), F.max("sig").alias("other")).filter("one <> other").select("token")
-    bits = sent.broadcast(bit_table(many, "token"))
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = batch.column("prefix")
-            flat = np.asarray(tokens.flatten())
-            sig = np.repeat(np.asarray(batch.column("sig")), np.diff(np.asarray(tokens.offsets)))
-            there = has_bit(bits.value, flat)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[there]), pa.array(flat[there])], ["sig", "token"])
-
-    met = staged(known.select("sig", "prefix").mapInArrow(shared, "sig long, token long").distinct(), "tokens")
-    for best in (True, False):
-        placed = met.join(_components_of(classes, comps), "sig")
-        open_ = placed.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), F.count("*").alias("members"))
-        open_ = open_.filter("one <> other").select("token", F.expr(f"cast(ceil(members / {BLOCK}) as int)").alias("cuts"))
-        parts = placed.join(open_, "token").withColumn("side", F.expr("cast(pmod(xxhash64(sig), cuts) as int)"))
-        cells = parts.withColumn("other", F.explode(F.expr("sequence(0, cuts - 1)"))).select(
-            "token", "sig", "node", "comp", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high")
-        )
-        shapes = known.select("sig", F.col("doc_id").alias("node"), "n", "point").join(cells.select("sig", "node").distinct(), ["sig", "node"]).dropDuplicates(["sig"])
-        blocks = cells.join(shapes.select("sig", "n", "point"), "sig").groupBy("token", "low", "high")
-        pairs = staged(blocks.applyInArrow(pairs_of_block(best), "sig long, node long, sig2 long, node2 long").distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        edges = staged(edges.union(verified(pairs, docs, ranks)), "links")
+    # shingles that several classes must share
+    ids = bit_table(classes, "node")
+    many = met_in_tokens(known, ids).groupBy("token").agg(F.min("node").alias("one"), F.max("node").alias("other")).filter("one <> other")
+    met = met_in_tokens(known, ids, bit_table(many, "token")).join(classes.select("node").distinct(), "node").distinct()
+    met = staged(met, "tokens")
+    shapes = known.select("sig", F.col("doc_id").alias("node"), "n", "point")
+    for most in (PAIRS, None):
+        pairs = staged(candidate_pairs(met, comps, shapes, most), "pairs")
+        edges = staged(edges.union(verified(pairs.drop("token", "more").distinct(), docs, ranks)), "links")
         comps = components(edges)
+        # from trees with more pairs only the best are decided now; what these leave apart is looked at once more
+        again = pairs.filter("more").select("token").distinct()
+        if again.isEmpty():
+            break
+        met = met.join(again, "token", "left_semi")
 
     nodes = rows.select("doc_id", "n", "sig").join(classes, "sig", "left")
     linked = nodes.join(comps, "node", "left")
