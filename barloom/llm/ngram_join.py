@@ -8,15 +8,15 @@ A tree over all documents can't be spread, and points of unrelated long texts li
 them. So documents are first routed to trees by shingles that linked pairs must share, which loses no link:
 
 1. *Classes.* Equal sets are one class, whatever the number of copies; its node is its smallest ``doc_id``.
-2. *Cheap links.* Each class goes to a few trees by minima of permuted hashes of its rarest shingles (see 3). A tree with many classes is cut into chunks
-   of some ``CHUNK``. Classes that are already connected are not compared, so a group of thousands of near copies costs a
-   few comparisons for each. Most links that matter are found here; none has to be.
-3. *All other links.* A set of n shingles that links with another shares one of its n - ceil(0.75 n) + 1 rarest shingles
-   (rare by a count table of a fixed size over all documents). Shingles whose classes are all connected by now are dropped;
-   of shingles with the same classes one is enough; the classes of each form a tree, cut into pairs of chunks if there are many. The tree gives pairs of
-   classes that aren't connected and pass the bound; from a tree with very many pairs first the best of each member and
-   component, and in a second round all that these leave apart.
-4. Pairs are verified on the exact sets, and links become components.
+2. *Cheap links.* Each class goes to a few trees by minima of permuted hashes of its rarest shingles (see 3). A tree with
+   many classes is cut into chunks of some ``BLOCK``. Classes that are already connected are not compared, so in a large
+   group of near copies most members need a few comparisons. Most links are found here; none has to be.
+3. *Clusters.* A set of n shingles that links with another shares one of its n - ceil(0.75 n) + 1 rarest shingles (rare by
+   a count table of a fixed size over all documents). Shingles whose classes are all connected by now are dropped, and of
+   shingles with the same classes one is enough; the classes of each form a tree. Components that hold classes whose
+   points pass the bound get into one cluster. That takes a spanning set of edges, never all pairs.
+4. *All other links.* The components of a cluster are compared by trees and exact sets, again leaving out what is connected
+   by then; a large cluster is cut into sides of ``BLOCK``, and each two sides are compared in a task of their own.
 
 Defined results: texts without words (null, empty, blank) are linked with nothing; a row without ``doc_id`` has no
 component; rows of one ``doc_id`` are one node, linked by any of its texts; repeated rows repeat; an empty table gives an
@@ -39,12 +39,8 @@ from barloom.llm.components import components
 WIDTH = 5
 ROUTES = 2
 SLOTS = 1 << 20
-#: Classes in a tree; larger trees are cut.
-CHUNK = 192
-#: Classes in one side of a tree of the third step.
+#: Classes in a tree, or in each of two that are compared; larger groups are cut.
 BLOCK = 512
-#: Pairs of a tree of the third step beyond which the best ones go first.
-PAIRS = 4000
 #: A pair links if 7 * common >= 3 * (size + size), which is a Jaccard similarity of 0.75 or more.
 FAN = 8
 
@@ -238,66 +234,75 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def links_of_block(block: pa.Table) -> pa.Table:
-    """Edges that connect what links in a block (``sig, node, names``); connected members aren't compared again."""
-    sig, node = np.asarray(block.column("sig")), np.asarray(block.column("node"))
-    first = np.unique(sig, return_index=True)[1]
-    node = node[first]
+    """Edges that connect what links in a block (``sig, node, comp, side, low, high, names``); connected members aren't
+    compared. In a block of two sides only members of different sides are."""
+    first = np.unique(np.asarray(block.column("sig")), return_index=True)[1]
+    node, comp, side = (np.asarray(block.column(c))[first] for c in ("node", "comp", "side"))
     names = [np.frombuffer(block.column("names")[int(i)].as_py(), np.uint64) for i in first]
     sizes = np.array([len(x) for x in names], np.int64)
-    root = np.arange(len(names))
-    edges: list[tuple[int, int]] = []
     points = [point(x) for x in names]
+    edges: list[tuple[int, int]] = []
+    root = np.unique(comp, return_inverse=True)[1]
+    for i, found in near_members(points, sizes, root, side, two_sides(block)):
+        for j in found:
+            if root[i] != root[j] and 7 * common(names[i], names[j]) >= 3 * (sizes[i] + sizes[j]):
+                edges.append((int(node[i]), int(node[j])))
+                root[root == root[j]] = root[i]
+    return edge_table(edges)
+
+
+def maybe_of_block(block: pa.Table) -> pa.Table:
+    """Edges between components that connect all whose points pass the bound in a block (``comp, side, low, high, n,
+    point``)."""
+    comp, side, sizes = (np.asarray(block.column(c)) for c in ("comp", "side", "n"))
+    points = [np.frombuffer(p, np.uint16) for p in block.column("point").to_pylist()]
+    edges: list[tuple[int, int]] = []
+    root = np.unique(comp, return_inverse=True)[1]
+    for i, found in near_members(points, sizes, root, side, two_sides(block)):
+        for j in found:
+            if root[j] != root[i]:
+                edges.append((int(comp[i]), int(comp[j])))
+                root[root == root[j]] = root[i]
+    return edge_table(edges)
+
+
+def two_sides(block: pa.Table) -> bool:
+    return block.column("low")[0].as_py() != block.column("high")[0].as_py()
+
+
+def near_members(points: list[np.ndarray], sizes: np.ndarray, root: np.ndarray, side: np.ndarray, two: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member, and those of another root (and, with ``two``, of the other side) that pass the bound, best first.
+    The caller may unite roots between two members."""
     for own, members, tree in trees(points, sizes):
         for i in own:
-            if (root[members] == root[i]).all():
-                continue
-            found, bound = tree.query(points[i].astype(np.int32), sizes[i], tree.boxes(root[members] != root[i]))
-            for j in members[found[np.argsort(-bound, kind="stable")]]:
-                if root[i] != root[j] and 7 * common(names[i], names[j]) >= 3 * (sizes[i] + sizes[j]):
-                    edges.append((int(node[i]), int(node[j])))
-                    root[root == root[j]] = root[i]
+            apart = root[members] != root[i]
+            if two:
+                apart &= side[members] != side[i]
+            if apart.any():
+                found, bound = tree.query(points[i].astype(np.int32), sizes[i], tree.boxes(apart))
+                yield i, members[found[np.argsort(-bound, kind="stable")]]
+
+
+def edge_table(edges: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
 
+def cut(rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``side, low, high``: a group of ``count`` members is cut into sides of some ``BLOCK``, and each two
+    sides (and each side with itself) are a block."""
+    parts = rows.join(counts.select(key, F.expr(f"cast(ceil(count / {BLOCK}) as int)").alias("cuts")), key)
+    parts = parts.withColumn("side", F.expr("cast(pmod(xxhash64(node), cuts) as int)")).withColumn("other", F.explode(F.expr("sequence(0, cuts - 1)")))
+    return parts.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("other", "cuts")
+
+
 def cheap_links(docs: DataFrame, ranks: np.ndarray, rows: DataFrame, classes: DataFrame) -> DataFrame:
     routed = rows.filter("sig is not null and doc_id is not null").select("sig", F.explode("routes").alias("route")).distinct()
     shared = routed.groupBy("route").count().filter("count > 1")
-    placed = routed.join(shared, "route").withColumn("chunk", F.expr(f"pmod(xxhash64(sig, route), cast(ceil(count / {CHUNK}) as long))")).join(classes, "sig")
+    placed = routed.join(shared, "route").withColumn("chunk", F.expr(f"pmod(xxhash64(sig, route), cast(ceil(count / {BLOCK}) as long))")).join(classes, "sig")
     placed = staged(placed.select("route", "chunk", "sig", "node"), "routes")
-    names = exact_sets(docs, ranks, placed.select("sig", "node").distinct())
-    return names.join(placed.select("sig", "route", "chunk"), "sig").groupBy("route", "chunk").applyInArrow(links_of_block, "a long, b long")
-
-
-def pairs_of_block(block: pa.Table, most: int | None) -> pa.Table:
-    """Pairs of a block whose components differ and whose points pass the bound. If there are more than ``most``, only
-    the one with the greatest bound for each member and component, and ``more`` is set."""
-    token = block.column("token")[0].as_py()
-    sig, node, comp, side, sizes = (np.asarray(block.column(c)) for c in ("sig", "node", "comp", "side", "n"))
-    two = block.column("low")[0].as_py() != block.column("high")[0].as_py()
-    points = [np.frombuffer(p, np.uint16) for p in block.column("point").to_pylist()]
-    every: list[tuple[int, int]] = []
-    first: set[tuple[int, int]] = set()
-    count = 0
-    for own, members, tree in trees(points, sizes):
-        for i in own:
-            apart = comp[members] != comp[i]
-            if two:
-                apart &= side[members] != side[i]
-            if not apart.any():
-                continue
-            found, bound = tree.query(points[i].astype(np.int32), sizes[i], tree.boxes(apart))
-            done: set[int] = set()
-            for j in members[found[np.argsort(-bound, kind="stable")]].tolist():
-                if comp[j] not in done:
-                    done.add(comp[j])
-                    first.add((min(i, j), max(i, j)))
-            count += len(found)
-            if most is None or count <= 2 * most:
-                every += [(min(i, j), max(i, j)) for j in members[found].tolist()]
-    more = most is not None and count > 2 * most
-    i, j = np.array(sorted(first if more else set(every)), np.int64).reshape(-1, 2).T
-    flags, tokens = pa.array(np.full(len(i), more)), pa.array(np.full(len(i), token, np.int64))
-    return pa.table({"token": tokens, "more": flags, "sig": pa.array(sig[i]), "node": pa.array(node[i]), "sig2": pa.array(sig[j]), "node2": pa.array(node[j])})
+    names = exact_sets(docs, ranks, placed.select("sig", "node").distinct()).join(placed.select("sig", "route", "chunk"), "sig")
+    whole = names.withColumn("comp", F.col("node")).withColumns({c: F.lit(0) for c in ("side", "low", "high")})
+    return whole.groupBy("route", "chunk").applyInArrow(links_of_block, "a long, b long")
 
 
 def met_in_tokens(rows: DataFrame, nodes: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
@@ -322,36 +327,27 @@ def met_in_tokens(rows: DataFrame, nodes: np.ndarray, wanted: np.ndarray | None
     return rows.select("doc_id", "prefix").mapInArrow(task, "token long, node long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    ends = pairs.select("sig", "node").union(pairs.select("sig2", "node2")).distinct()
-    names = staged(exact_sets(docs, ranks, ends).dropDuplicates(["sig"]), "names")
-    both = pairs.join(names.select("sig", "names"), "sig").join(names.select(F.col("sig").alias("sig2"), F.col("names").alias("names2")), "sig2")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("names").to_pylist(), batch.column("names2").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(7 * common(x, y) >= 3 * (len(x) + len(y)))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("node").filter(mask), batch.column("node2").filter(mask)], ["a", "b"])
-
-    return both.select("node", "node2", "names", "names2").mapInArrow(task, "a long, b long")
-
-
-def candidate_pairs(met: DataFrame, comps: DataFrame, shapes: DataFrame, most: int | None) -> DataFrame:
-    """Pairs of classes that share a token, aren't connected and pass the bound of their points."""
+def clusters_of(met: DataFrame, comps: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``comp, cluster``: components that may link, as far as shared tokens and the bound of their points can tell, are in
+    one cluster. A spanning set of edges is enough, so a block gives fewer edges than it has members."""
     placed = met.join(comps, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
-    # tokens with the same members would give the same pairs, so one of them is enough
-    members = [F.count("*").alias("members"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")]
+    # tokens with the same members give the same edges, so one of them is enough
+    members = [F.count("*").alias("count"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")]
     open_ = placed.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), *members).filter("one <> other")
-    open_ = open_.groupBy("members", "x", "y").agg(F.min("token").alias("token")).select("token", F.expr(f"cast(ceil(members / {BLOCK}) as int)").alias("cuts"))
-    parts = placed.join(open_, "token").withColumn("side", F.expr("cast(pmod(xxhash64(node), cuts) as int)"))
-    cells = parts.withColumn("other", F.explode(F.expr("sequence(0, cuts - 1)"))).select(
-        "token", "node", "comp", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high")
-    )
-    blocks = cells.join(shapes, "node").groupBy("token", "low", "high")
-    return blocks.applyInArrow(lambda block: pairs_of_block(block, most), "token long, more boolean, sig long, node long, sig2 long, node2 long")
+    open_ = open_.groupBy("count", "x", "y").agg(F.min("token").alias("token"))
+    blocks = cut(placed, open_, "token").join(shapes, "node").groupBy("token", "low", "high")
+    edges = blocks.applyInArrow(maybe_of_block, "a long, b long")
+    return components(edges).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+
+
+def cluster_links(docs: DataFrame, ranks: np.ndarray, classes: DataFrame, comps: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The links between the components of each cluster, by exact sets."""
+    placed = classes.join(comps, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp")).join(clusters, "comp")
+    placed = staged(placed, "clusters")
+    cells = cut(placed, placed.groupBy("cluster").count(), "cluster")
+    names = exact_sets(docs, ranks, placed.select("sig", "node").distinct())
+    blocks = names.join(cells.drop("node"), "sig").groupBy("cluster", "low", "high")
+    return blocks.applyInArrow(links_of_block, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -372,15 +368,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     met = met_in_tokens(known, ids, bit_table(many, "token")).join(classes.select("node").distinct(), "node").distinct()
     met = staged(met, "tokens")
     shapes = known.select("sig", F.col("doc_id").alias("node"), "n", "point")
-    for most in (PAIRS, None):
-        pairs = staged(candidate_pairs(met, comps, shapes, most), "pairs")
-        edges = staged(edges.union(verified(pairs.drop("token", "more").distinct(), docs, ranks)), "links")
-        comps = components(edges)
-        # from trees with more pairs only the best are decided now; what these leave apart is looked at once more
-        again = pairs.filter("more").select("token").distinct()
-        if again.isEmpty():
-            break
-        met = met.join(again, "token", "left_semi")
+    clusters = clusters_of(met, comps, shapes)
+    comps = components(edges.union(cluster_links(docs, ranks, classes, comps, clusters)))
 
     nodes = rows.select("doc_id", "n", "sig").join(classes, "sig", "left")
     linked = nodes.join(comps, "node", "left")
