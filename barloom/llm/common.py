@@ -24,14 +24,17 @@ __all__ = [
 ]
 
 #: Bytes of text that a task works on at once.
-SLICE = 3_000_000
+SLICE = 2_000_000
 #: Distinct words whose hashes a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # whole texts go to Python: fewer rows at once than the default, which is meant for short ones
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A document is the set of its features: words, and beginnings of words of 3 to 6 characters, in lower case, hashed to ``SLOTS`` places. A
+A document is the set of its features: words, and beginnings of words of 4 and 5 characters, in lower case, hashed to ``SLOTS`` places. A
 linear numpy classifier is fitted to confirmed toxic examples (positives) and to unlabelled documents, whose labels are not
 looked at. With the class prior p, the risk is ``p R(positive, as toxic) + max(0, R(unlabelled, as clean) - p R(positive,
 as clean))``: the second term estimates the risk of clean documents, and when it falls below zero, which only fitting the
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import crc_fold, held_out, slices
 
 SLOTS = 1 << 18
-POSITIVES = 3000
-UNLABELLED = 9000
+POSITIVES = 1500
+UNLABELLED = 4000
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 
 
@@ -47,7 +47,7 @@ class Features(dict):
         found = []
         for w in _WORD.findall(word.decode("utf-8", "replace").lower()):
             found.append(slot(w))
-            found += [slot(f"{w[:k]}-") for k in range(3, 7) if len(w) > k]
+            found += [slot(f"{w[:k]}-") for k in (4, 5) if len(w) > k]
         self[word] = got = tuple(found)
         return got
 
@@ -66,22 +66,22 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fitted(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.5, l1: float = 2e-4) -> ToxicModel:
+def fitted(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 800, rate: float = 0.5, l1: float = 4e-5) -> ToxicModel:
     """Proximal Adagrad steps on the non-negative risk with the logistic loss, over features in five documents or more."""
     prior = min(max(prior, 1e-3), 0.999)
     if not positive or not unlabelled:
         return ToxicModel({}, float(np.log(prior / (1 - prior))))
     both = positive + unlabelled
-    row = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    row = np.repeat(np.arange(len(both), dtype=np.int32), [len(x) for x in both])
     column = np.concatenate(both)
-    kinds, column, count = np.unique(column, return_inverse=True, return_counts=True)
+    count = np.bincount(column, minlength=SLOTS)
     # features that are no commoner in the positives can't raise a score
     n, p = len(both), len(positive)
-    in_positive = np.bincount(column[row < p], minlength=len(kinds))
+    in_positive = np.bincount(column[row < p], minlength=SLOTS)
     useful = (count >= 5) & (in_positive / p > 2 * (count - in_positive) / max(1, n - p))
     keep = useful[column]
     names = np.cumsum(useful) - 1
-    row, column, kinds = row[keep], names[column[keep]], kinds[useful]
+    row, column, kinds = row[keep], names[column[keep]], np.flatnonzero(useful)
     d = len(kinds)
     w, bias, past, past_bias = np.zeros(d), 0.0, np.full(d, 1e-8), 1e-8
     for _ in range(rounds):
@@ -118,7 +118,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES,
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Features()
         for batch, texts in slices(batches):
-            x = [features(t, words) for t in texts]
+            x: list[np.ndarray] = [features(t, words) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ys"), pa.array(x, pa.list_(pa.int32()))], ["doc_id", "ys", "x"])
 
     # bounded by the two limits
