@@ -100,9 +100,9 @@ def occurrences(docs: DataFrame, wanted: np.ndarray, window: int, seed: int) ->
             total = np.add.reduceat(count[there], heads)
             kept = there[heads]
             windows = [None if again[i] else whole[first[i] : first[i] + count[i]].view(np.int64) for i in kept]
-            rows = batch.take(pa.array(doc[kept]))
+            of = pa.array(doc[kept])
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), rows.column("row"), pa.array(anchor[kept].view(np.int64)), pa.array(content[kept].view(np.int64)), pa.array(start[kept]), pa.array(total), pa.array(windows, pa.list_(pa.int64()))],
+                [batch.column("doc_id").take(of), batch.column("row").take(of), pa.array(anchor[kept].view(np.int64)), pa.array(content[kept].view(np.int64)), pa.array(start[kept]), pa.array(total), pa.array(windows, pa.list_(pa.int64()))],
                 ["doc_id", "row", "anchor", "content", "start", "count", "windows"],
             )
 
