@@ -2,7 +2,8 @@
 
 A staged table cuts the lineage at a reliable place: the shared folder the cluster names in
 ``spark.checkpoint.dir``. Unlike an RDD checkpoint it stays columnar, so later scans prune
-columns and push filters. Without that setting (tests) a scratch folder is made per session.
+columns and push filters. Without that setting a scratch folder is made per session, in local mode only: executors of a
+cluster would each write to a disk of their own.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         _SCRATCH[app] = tempfile.mkdtemp(prefix="barloom-")
