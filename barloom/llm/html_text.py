@@ -232,7 +232,7 @@ class Page:
 class Boosted:
     """Boosted regression trees of depth ``depth`` for the logistic loss, on binned numbers."""
 
-    def __init__(self, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32):
+    def __init__(self, trees: int = 50, depth: int = 4, rate: float = 0.2, bins: int = 32):
         self.trees, self.depth, self.rate, self.bins = trees, depth, rate, bins
         self.base, self.cuts, self.found = 0.0, [], []
 
@@ -309,11 +309,11 @@ def lesson(rng: np.random.Generator) -> str:
         return f"<ul>{''.join(f'<li>{i}</li>' for i in items)}</ul>" if rng.random() < 0.7 else " | ".join(items)
 
     def box(tag: str, token: str, inner: str) -> str:
-        named = f' {one("class", "class", "id")}="{token}"' if token and rng.random() < 0.9 else ""
+        named = f' {one("class", "class", "id")}="{token}"' if token and (tag not in ("nav", "header", "footer", "aside") or rng.random() < 0.5) else ""
         return f"<{tag}{named}>{inner}</{tag}>"
 
     def paragraph() -> str:
-        n = int(rng.choice([1, 3, 8, 20, 60, 120]))
+        n = int(rng.choice([1, 3, 8, 20, 60, 120] if long else [1, 2, 4, 8]))
         text = words(n, True)
         if rng.random() < 0.3:
             text += f' <a href="#">{words(2)}</a> <b>{words(3)}</b>'
@@ -330,16 +330,16 @@ def lesson(rng: np.random.Generator) -> str:
     def form() -> str:
         return f'<form action="/s"><label>{words(2)}</label><input name=q><button>{words(1)}</button></form>'
 
-    body: list[str] = []
+    long = rng.random() < 0.7
     heading = f"<h1>{words(int(rng.integers(1, 9)), True)}</h1>"
     inside = [heading] if rng.random() < 0.85 else []
     for _ in range(int(rng.choice([1, 1, 2, 3, 5, 8, 12]))):
         inside.append(paragraph())
-        if rng.random() < 0.06:
-            inside.append(advert())
+        if rng.random() < 0.08:
+            inside.append(advert() if rng.random() < 0.5 else box("div", one("notice", "cookie-notice", "share", "comment", "widget"), words(int(rng.integers(2, 20)))))
         if rng.random() < 0.04:
             inside.append(box("aside", one("related", "share", "newsletter"), words(8) + links(2)))
-    tag, token = [("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article-body"), ("div", "entry"), ("div", ""), ("section", "story")][int(rng.integers(8))]
+    tag, token = [("article", ""), ("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article-body"), ("div", "entry"), ("div", ""), ("section", "story")][int(rng.integers(10))]
     main = box(tag, token, "".join(inside)) if rng.random() < 0.9 else "".join(inside)
     if rng.random() < 0.3:
         main = box(one("div", "main"), one("wrap", "container", "main", ""), main)
@@ -350,7 +350,7 @@ def lesson(rng: np.random.Generator) -> str:
         advert() if rng.random() < 0.6 else "",
         form() if rng.random() < 0.2 else "",
     ]
-    comment = "".join(box(one("div", "li", "article", "p"), one("comment", "reply", "comment-body"), f"<p>{words(int(rng.integers(2, 40)))}</p>") for _ in range(int(rng.integers(1, 6))))
+    comment = "".join(box(one("div", "div", "div", "li", "li", "p", "p", "article"), one("comment", "reply", "comment-body"), f"<p>{words(int(rng.integers(2, 40)))}</p>") for _ in range(int(rng.integers(1, 6))))
     after = [
         box(one("section", "div", "ol"), one("comments", "discussion", "responses", "comment-list"), (f"<h2>{words(1)}</h2>" if rng.random() < 0.5 else "") + comment) if rng.random() < 0.4 else "",
         box(one("aside", "aside", "div"), one("sidebar", "widget", "related-posts", "side"), f"<h3>{words(2)}</h3>" + (links(4) if rng.random() < 0.6 else f"<p>{words(int(rng.integers(4, 40)))}</p>")) if rng.random() < 0.5 else "",
