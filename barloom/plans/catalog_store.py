@@ -218,7 +218,7 @@ def _(i: Inputs) -> DataFrame:
     have = i.spark.createDataFrame([(n,) for n in ("CRYPTO_UNIVERSAL", "EQUITY_H20", "SECTOR_S1", "SECTOR_S2", "UNIVERSAL")], "name string")
     deep = i.spark.createDataFrame([("UNIVERSAL/2",), ("UNIVERSAL/1",)], "name string")
     c = rg.manifest_candidates(F.col("symbol"), F.col("horizon"), F.col("sector"), no)
-    out = rg.resolve(r.na.fill("none", ["sector"]), F.when(F.col("sector") == "none", F.filter(c, lambda x: x != "SECTOR_none")).otherwise(c), have)
+    out = rg.resolve(r, c, have)
     out = out.select("id", "symbol", "horizon", "resolved")
     d = rg.resolve(r.select("id", "symbol"), rg.deep_candidates(F.col("symbol"), no), deep)
     return out.join(d.select("id", F.col("resolved").alias("deep")), "id")

@@ -16,7 +16,14 @@ from barloom.streaming import stateful, windows
 
 def event_stream(i: Inputs) -> DataFrame:
     schema = i.spark.read.parquet(f"{i.dir}/events.parquet").schema
-    return topics.read_folder(i.spark, i.dir, schema, name_filter="events.parquet")
+    path = f"{i.dir}/events.parquet"
+    files = i.spark.read.parquet(path).inputFiles()
+    if not files:
+        raise ValueError(f"no event files in {path}")
+    # the table may be one file or a folder of part files
+    if len(files) == 1 and files[0].endswith("/events.parquet"):
+        return topics.read_folder(i.spark, i.dir, schema, name_filter="events.parquet")
+    return topics.read_folder(i.spark, path, schema)
 
 
 def drained(i: Inputs, stream: DataFrame, name: str) -> DataFrame:

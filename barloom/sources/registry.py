@@ -86,13 +86,15 @@ def enriched(manifests: DataFrame, summary: DataFrame, importances: DataFrame, n
 def resolve(requests: DataFrame, candidates: Column, available: DataFrame, name: str = "name") -> DataFrame:
     """First available candidate per request: ``candidates`` is the ordered array of names.
 
-    Candidates are exploded with their place, matched, and the smallest place wins.
+    Candidates are exploded with their place, matched, and the smallest place wins. Columns of a request may be NULL.
     """
     key = requests.columns
     tried = requests.select("*", F.posexplode(candidates).alias("place", name))
     hit = tried.join(available, name, "left_semi")
     best = hit.groupBy(*key).agg(F.min_by(name, "place").alias("resolved"))
-    return requests.join(best, key, "left")
+    asked, found = requests.alias("asked"), best.alias("found")
+    same = [F.col(f"asked.{c}").eqNullSafe(F.col(f"found.{c}")) for c in key]
+    return asked.join(found, same, "left").select("asked.*", "found.resolved")
 
 
 def manifest_candidates(symbol: Column, horizon: Column, sector: Column, crypto: Column) -> Column:
