@@ -107,7 +107,7 @@ class Page:
                 if name == "head":
                     end = re.compile(r"</head\s*>|<body", re.I).search(html, at)
                     at = end.start() if end and end.group().lower() == "<body" else end.end() if end else at
-                elif not m.group(0).endswith("/>"):
+                else:
                     end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
                     at = end.end() if end else len(html) if name in RAW else at
                 continue
@@ -133,8 +133,7 @@ class Page:
                 self.tags.append(1)
                 block = len(self.tag) - 1
             link += name == "a"
-            if not m.group(0).endswith("/>"):
-                open_.append((name, block))
+            open_.append((name, block))  # a slash at the end closes nothing in HTML
         if at < len(html):
             self._text(html[at:], open_[-1][1], link)
 

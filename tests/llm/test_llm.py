@@ -207,13 +207,12 @@ def test_classifiers_hold_out(spark):
 
 
 def test_html():
-    model = html_text.taught(200)
+    model = html_text.taught()
 
     def text(html):
         page = html_text.Page(html)
         return page.text(page.states(model.probability(page.features())))
 
-    # articles of a few words alone are often taken for chrome (see README); this one has paragraphs of usual length
     more = "and a sentence of the usual length follows here, as an article has it. " * 4
     page = f"<html><head><title>T</title></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class=ad>Buy now</div><article><h1>A &amp; B</h1><p><b>One\n two<br>three, {more}<p>Four &eacute; {more}</p><script>x</script><!-- c --></article><footer>&copy; me</footer>"
     assert text(page) == " ".join(f"A & B One two three, {more} Four é {more}".split())
