@@ -7,6 +7,7 @@ depend on the data, is brought to the driver and sent to the tasks.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -116,7 +117,7 @@ def tabulated(
     """Sum over all rows of ``df`` of what ``fill(batches, array)`` adds to an array of ``size`` numbers.
 
     ``kind`` is the dtype in a task and ``wide`` that of the total. The shuffle carries ``size`` numbers per task at
-    most, and blocks without a number are left out.
+    most, packed, and blocks without a number are left out.
     """
     parts = max(1, min(size // block, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
@@ -125,24 +126,24 @@ def tabulated(
         fill(batches, own)
         for at in range(0, size, block):
             if (cut := own[at : at + block]).any():
-                yield pa.RecordBatch.from_pydict({"at": [at], "data": [cut.astype(kind).tobytes()]})
+                yield pa.RecordBatch.from_pydict({"at": [at], "data": [zlib.compress(cut.tobytes(), 1)]})
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, data in zip(batch.column("at").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                cut = np.frombuffer(data, kind).astype(wide)
+                cut = np.frombuffer(zlib.decompress(data), kind).astype(wide)
                 if at in sums:
                     sums[at] += cut
                 else:
                     sums[at] = cut
         for at, cut in sums.items():
-            yield pa.RecordBatch.from_pydict({"at": [at], "data": [cut.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"at": [at], "data": [zlib.compress(cut.tobytes(), 1)]})
 
     found = df.mapInArrow(partial, "at long, data binary").repartition(parts, "at").mapInArrow(added, "at long, data binary")
     total = np.zeros(size, wide)
     for row in found.collect():  # ``size`` numbers at most
-        total[row["at"] : row["at"] + block] = np.frombuffer(bytes(row["data"]), wide)
+        total[row["at"] : row["at"] + block] = np.frombuffer(zlib.decompress(row["data"]), wide)
     return total
 
 

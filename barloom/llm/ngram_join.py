@@ -38,6 +38,8 @@ from barloom.llm.components import components
 
 WIDTH = 5
 ROUTES = 2
+#: Size of the table that orders shingles by rarity: 1 MB where it is sent, whatever the data. The more shingles share a
+#: slot, the less it tells passages of tens of documents from unique ones, and the more shingles stay open in step 3.
 SLOTS = 1 << 20
 #: Classes in a tree, or in each of two that are compared; larger groups are cut.
 BLOCK = 512
@@ -64,6 +66,11 @@ def shingles(texts: list[bytes], hashes: Hashes, width: int = WIDTH) -> tuple[np
     return np.concatenate(found), np.concatenate(of)
 
 
+def slot(found: np.ndarray) -> np.ndarray:
+    """Place of shingles in the table: the upper bits of their hash."""
+    return (found >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
+
+
 def shingle_ranks(docs: DataFrame) -> np.ndarray:
     """Class of frequency (quarter powers of two) of the shingles in each of ``SLOTS`` slots, over all documents."""
 
@@ -71,17 +78,17 @@ def shingle_ranks(docs: DataFrame) -> np.ndarray:
         hashes = Hashes()
         for _, texts in slices(batches):
             found, _ = shingles(texts, hashes)
-            own += np.bincount((found >> np.uint64(44)).astype(np.int64), minlength=SLOTS).astype(own.dtype)
+            np.add.at(own, slot(found), own.dtype.type(1))
 
     counts = tabulated(docs.select("text"), SLOTS, "uint32", fill, "uint64")
-    return np.minimum(4 * np.log2(counts + 1.0), 255).astype(np.uint8)
+    return np.concatenate([np.minimum(4 * np.log2(cut + 1.0), 255).astype(np.uint8) for cut in np.array_split(counts, 64)])
 
 
 def sets(texts: list[bytes], hashes: Hashes, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sets of all texts in a row, each in order of rarity, and where each begins. A shingle is named by its rank (8
     bits) and its hash (56 bits)."""
     found, doc = shingles(texts, hashes)
-    names = ranks[(found >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | found >> np.uint64(8)
+    names = ranks[slot(found)].astype(np.uint64) << np.uint64(56) | found >> np.uint64(8)
     order = np.lexsort((names, doc))
     names, doc = names[order], doc[order]
     new = np.ones(len(names), bool)
