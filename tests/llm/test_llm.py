@@ -183,6 +183,29 @@ def test_secrets():
         assert {i for a, b in secret_scan.high_entropy(run) for i in range(a, b)} == {i for k in high for i in range(k, k + 20)}
 
 
+def test_secret_classes():
+    def found(text):
+        return [text[a:b] for a, _, b in secret_scan.entropy_spans(text, [])]
+
+    # a class each: letters of one case, digits, hex after a prefix (its windows need 3.1 bits, not the 3.7 of a mixed run)
+    capitals = "QZXKVJWMPFHGTRBNYDLCXQJVKZWPMHGFBTNRDYLS"
+    for text in ("qzxkvjwmpfhgtrbnydlc", capitals, "Qzxkvjwmpfhgtrbnydlc", "83019274650918273645", "q8Kz-83019274650918273645"):
+        assert found(text) and text.endswith(found(text)[-1]), text
+    assert found("key=qzxkvjwmpfhgtrbnydlc")[0].endswith("qzxkvjwmpfhgtrbnydlc")
+    weak = "a7f3a0c7b3f1a0e7c3b1f0a"
+    assert secret_scan.character_class(weak) == "hex" and found(weak) == [weak]
+    assert all(found(p + weak)[0].endswith(weak) for p in ("hmac=", "sid-", "v1/")) and found("HMAC=" + weak.upper())[0].endswith(weak.upper())
+    assert {secret_scan.character_class(x) for x in ("12", "1f", "xy", "xY")} == set(secret_scan.BITS)
+    # words, rules, numbers and what counts on are none
+    plain = "counterrevolutionaries Donaudampfschifffahrtsgesellschaft anticonstitutionnellement electroencefalografista THE_MAXIMUM_NUMBER_OF_ITEMS"
+    assert found(plain + " path/to/some/folder/of/reports-2024 2024-01-31/2024-02-29_17 ====-----=====-----==== 98765432109876543210") == []
+    assert found("123e4567-e89b-12d3-a456-426614174000") == []
+    rng = random.Random(6)
+    for letters, least in (("abcdefghijklmnopqrstuvwxyz", 0.95), ("0123456789", 0.95), ("0123456789abcdef", 0.95)):
+        hits = [bool(found("id=" + "".join(rng.choice(letters) for _ in range(24)))) for _ in range(400)]
+        assert np.mean(hits) >= least, letters
+
+
 def test_secret_rows(spark):
     docs = table(spark, [(1, "x secret: abcdefgh99 y"), (2, None), (3, "clean"), (3, "clean")])
     assert {(r.doc_id, r.n_assign, r.spans) for r in secret_scan.secret_spans(docs).collect()} == {(1, 1, "assign:2:20"), (2, 0, ""), (3, 0, "")}
