@@ -18,6 +18,12 @@ them. So documents are first routed to trees by shingles that linked pairs must
 4. *All other links.* The components of a cluster are compared by trees and exact sets, again leaving out what is connected
    by then; a large cluster is cut into sides of ``BLOCK``, and each two sides are compared in a task of their own.
 
+5. *Counts of links* (``jaccard_links`` only). Every link lies inside a component. The classes of a component are cut into
+   sides like those of a cluster, and each two sides are compared in full: an inverted index over the shingles of the block
+   gives the exact size of every intersection. A block returns sums weighted by the documents of the linked classes, so
+   neither copies nor links become rows; only classes with a ``doc_id`` of several texts are listed as pairs, as its
+   documents must not be counted twice.
+
 Defined results: texts without words (null, empty, blank) are linked with nothing; a row without ``doc_id`` has no
 component; rows of one ``doc_id`` are one node, linked by any of its texts; repeated rows repeat; an empty table gives an
 empty result. Only ``doc_id`` and ``text`` are read.
@@ -357,8 +363,8 @@ def cluster_links(docs: DataFrame, ranks: np.ndarray, classes: DataFrame, comps:
     return blocks.applyInArrow(links_of_block, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
+def linked_classes(docs: DataFrame) -> tuple[np.ndarray, DataFrame, DataFrame, DataFrame]:
+    """The ranks, the rows (see ``class_rows``), the classes (``sig, node``) and the components of their nodes."""
     ranks = shingle_ranks(docs)
     rows = staged(class_rows(docs, ranks), "sets")
     known = rows.filter("sig is not null and doc_id is not null")
@@ -378,12 +384,96 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     clusters = clusters_of(met, comps, shapes)
     comps = components(edges.union(cluster_links(docs, ranks, classes, comps, clusters)))
 
+    return ranks, rows, classes, comps
+
+
+def with_component(rows: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
     nodes = rows.select("doc_id", "n", "sig").join(classes, "sig", "left")
     linked = nodes.join(comps, "node", "left")
     least = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return linked.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"))
 
 
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
+    _, rows, classes, comps = linked_classes(docs)
+    return with_component(rows, classes, comps)
+
+
+def counts_of_block(block: pa.Table) -> pa.Table:
+    """The links of a block (``sig, side, low, high, names, single, mixed``): for each class ``n``, the ``single``
+    documents of the classes that link with it, and as ``sig, other`` the links with or of a ``mixed`` class. In a block
+    of two sides only members of different sides are compared."""
+    sig, first = np.unique(np.asarray(block.column("sig")), return_index=True)
+    side, single, several = (np.asarray(block.column(c))[first] for c in ("side", "single", "mixed"))
+    names = [np.frombuffer(block.column("names")[int(i)].as_py(), np.uint64) for i in first]
+    sizes = np.array([len(x) for x in names], np.int64)
+    owner = np.repeat(np.arange(len(names)), sizes)
+    flat = np.unique(np.concatenate(names), return_inverse=True)[1].ravel()
+    order = np.argsort(flat, kind="stable")
+    begins = np.searchsorted(flat[order], np.arange(flat.max() + 2))
+    owner, ends = owner[order], np.cumsum(sizes)
+    two, total, pairs = two_sides(block), np.zeros(len(names), np.int64), []
+    for i in range(len(names)):
+        shared = np.zeros(len(names), np.int64)
+        own = flat[ends[i] - sizes[i] : ends[i]]
+        for at in range(0, len(own), 1 << 12):  # each shingle's list is at most the block
+            start, n = begins[own[at : at + (1 << 12)]], np.diff(begins)[own[at : at + (1 << 12)]]
+            place = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared += np.bincount(owner[place], minlength=len(names))
+        linked = 7 * shared >= 3 * (sizes + sizes[i])
+        linked[i] = False
+        if two:
+            linked &= side != side[i]
+        total[i] = single[linked].sum()
+        pairs += [(int(sig[i]), int(sig[j])) for j in np.flatnonzero(linked & (several | several[i]))]
+    some = np.flatnonzero(total)
+    none = len(some) + len(pairs)
+    return pa.table(
+        {
+            "sig": pa.array([int(x) for x in sig[some]] + [a for a, _ in pairs], pa.int64()),
+            "other": pa.array([None] * len(some) + [b for _, b in pairs], pa.int64()),
+            "n": pa.array([int(x) for x in total[some]] + [0] * (none - len(some)), pa.int64()),
+        }
+    )
+
+
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links`` for every row of ``docs``. ``n_links`` is the number of other
+    ``doc_id`` with a text that links with one of this ``doc_id`` (equal texts link); null without a ``doc_id``."""
+    ranks, rows, classes, comps = linked_classes(docs)
+    comps = staged(comps, "components")
+    members = rows.filter("sig is not null and doc_id is not null").select("doc_id", "sig").distinct()
+    several = staged(members.groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("mixed")), "several")
+    known = members.join(several, "doc_id", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
+    weights = staged(known.groupBy("sig").agg(F.count(F.when(~F.col("mixed"), 1)).alias("single"), F.max("mixed").alias("mixed")), "weights")
+
+    placed = staged(classes.join(comps, "node"), "members")
+    cells = cut(placed, placed.groupBy("component").count(), "component")
+    names = exact_sets(docs, ranks, placed.select("sig", "node").distinct())
+    blocks = names.join(cells.drop("node").join(weights, "sig"), "sig").groupBy("component", "low", "high")
+    found = staged(blocks.applyInArrow(counts_of_block, "sig long, other long, n long"), "counts")
+
+    own = weights.join(found.filter("other is null").groupBy("sig").agg(F.sum("n").alias("more")), "sig", "left")
+    own = own.select("sig", (F.col("single") + F.coalesce("more", F.lit(0))).alias("near"))
+    # documents with several texts, each counted once where its classes are reached
+    mixed_ids = known.filter("mixed").select("doc_id", "sig")
+    reach = found.filter("other is not null").select("sig", "other").union(mixed_ids.select("sig", F.col("sig").alias("other"))).distinct()
+    to_mixed = reach.join(mixed_ids.select(F.col("sig").alias("other"), F.col("doc_id").alias("id")), "other")
+    by_class = to_mixed.groupBy("sig").agg(F.countDistinct("id").alias("more"))
+    one_text = known.filter("not mixed").join(own, "sig").join(by_class, "sig", "left")
+    one_text = one_text.select("doc_id", (F.col("near") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    reached = mixed_ids.join(reach, "sig").select("doc_id", F.col("other").alias("sig")).distinct()
+    singles = reached.join(weights.drop("mixed"), "sig").groupBy("doc_id").agg(F.sum("single").alias("near"))
+    others = mixed_ids.join(to_mixed, "sig").groupBy("doc_id").agg(F.countDistinct("id").alias("more"))
+    many_texts = singles.join(others, "doc_id").select("doc_id", (F.col("near") + F.col("more") - 1).alias("n_links"))
+    links = one_text.union(many_texts)
+
+    every = with_component(rows, classes, comps).join(links, "doc_id", "left")
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0)).cast("long"))
+    return every.select("doc_id", "n_shingles", "component_id", n_links.alias("n_links"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, without those of a ``doc_id`` that isn't the smallest of its
     component. Rows without an id stay. Of rows that share an id, one stays: the first by text, then by all columns that

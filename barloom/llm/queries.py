@@ -12,7 +12,7 @@ from barloom.llm.bpe import token_digests
 from barloom.llm.common import table
 from barloom.llm.decontaminate import contaminated_words
 from barloom.llm.html_text import main_text
-from barloom.llm.ngram_join import jaccard_components
+from barloom.llm.ngram_join import jaccard_components, jaccard_links
 from barloom.llm.quality import quality_scores
 from barloom.llm.repeats import without_repeats
 from barloom.llm.secret_scan import secret_spans
@@ -27,6 +27,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,7 +68,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_ngram_join, op2_toxicity, op3_topk, op4_bpe, op5_url_filter, op6_repeats, op7_quality, op8_decontamination, op9_secrets,
+    op1_ngram_join, op1_ngram_links, op2_toxicity, op3_topk, op4_bpe, op5_url_filter, op6_repeats, op7_quality, op8_decontamination, op9_secrets,
     op10_html_text,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
@@ -86,6 +90,22 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.m AS componen
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) m ON m.a = d.doc_id
 """
 
+_OP1_LINKS = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format(text=_ASCII_LOWER.format(text="coalesce(text, '')"))} AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[k : k + 4], ' ') END AS g
+  FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS t(k) WHERE len(ws) > 0
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT c.a AS doc_id, count(*) AS n FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b
+  WHERE 100 * c.c >= 75 * (x.n + y.n - c.c) GROUP BY c.a
+)
+SELECT j.doc_id, j.n_shingles, j.component_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
+FROM ({_OP1}) j LEFT JOIN l ON l.doc_id = j.doc_id
+"""
+
 _OP3 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -151,4 +171,4 @@ SELECT p.page_id, p.url, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS
 FROM p LEFT JOIN m ON m.host = p.host AND m.path = p.path AND m.k = 1
 """
 
-SQL: dict[str, str] = {"op1_ngram_join": _OP1, "op3_topk": _OP3, "op5_url_filter": _OP5, "op6_repeats": _OP6, "op8_decontamination": _OP8}
+SQL: dict[str, str] = {"op1_ngram_join": _OP1, "op1_ngram_links": _OP1_LINKS, "op3_topk": _OP3, "op5_url_filter": _OP5, "op6_repeats": _OP6, "op8_decontamination": _OP8}

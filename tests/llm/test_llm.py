@@ -69,6 +69,29 @@ def test_components_match_all_pairs(spark, rows):
     assert kept.columns == SCHEMA.replace(",", " ").split()[::2]
 
 
+def test_links_match_all_pairs(spark, rows, monkeypatch):
+    def expected(of):
+        docs = [(i, frozenset(sets(t))) for i, t in of if i is not None]
+        near = {i: set() for i, _ in docs}
+        distinct = sorted({(i, x) for i, x in docs if x}, key=lambda d: (d[0], len(d[1])))
+        for a, x in distinct:
+            near[a] |= {b for b, y in distinct if b != a and 4 * len(x & y) >= 3 * len(x | y)}
+        return sorted([(i, len(x), len(near[i])) for i, x in docs])
+
+    def got(of):
+        return sorted((r.doc_id, r.n_shingles, r.n_links) for r in ngram_join.jaccard_links(table(spark, of)).collect() if r.doc_id is not None)
+
+    # ids of several texts that link with each other, with the same class, and with nothing
+    texts = {i: t for i, t in rows if i is not None}
+    more = rows + [(41, texts[44]), (3, texts[2]), (3, texts[42]), (201, texts[15]), (201, texts[16]), (202, texts[1]), (202, texts[43])]
+    assert got(rows) == expected(rows)
+    assert max(n for _, _, n in expected(rows)) > 4
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)  # many sides to a component
+    assert got(more) == expected(more)
+    assert ngram_join.jaccard_links(table(spark, rows).limit(0)).isEmpty()
+    assert [r.n_links for r in ngram_join.jaccard_links(table(spark, [(None, "a b c"), (None, "a b c"), (1, "a b c"), (2, "")])).orderBy("doc_id").collect()] == [None, None, 0, 0]
+
+
 def test_bound_of_the_tree_loses_nothing():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 300).astype(np.uint64)
