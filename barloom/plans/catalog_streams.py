@@ -14,16 +14,20 @@ from barloom.sources import topics
 from barloom.streaming import stateful, windows
 
 
-def event_stream(i: Inputs) -> DataFrame:
-    schema = i.spark.read.parquet(f"{i.dir}/events.parquet").schema
-    path = f"{i.dir}/events.parquet"
-    files = i.spark.read.parquet(path).inputFiles()
+def table_stream(i: Inputs, name: str) -> DataFrame:
+    path = f"{i.dir}/{name}.parquet"
+    stored = i.spark.read.parquet(path)
+    files = stored.inputFiles()
     if not files:
-        raise ValueError(f"no event files in {path}")
+        raise ValueError(f"no {name} files in {path}")
     # the table may be one file or a folder of part files
-    if len(files) == 1 and files[0].endswith("/events.parquet"):
-        return topics.read_folder(i.spark, i.dir, schema, name_filter="events.parquet")
-    return topics.read_folder(i.spark, path, schema)
+    if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):
+        return topics.read_folder(i.spark, i.dir, stored.schema, name_filter=f"{name}.parquet")
+    return topics.read_folder(i.spark, path, stored.schema)
+
+
+def event_stream(i: Inputs) -> DataFrame:
+    return table_stream(i, "events")
 
 
 def drained(i: Inputs, stream: DataFrame, name: str) -> DataFrame:
@@ -77,8 +81,7 @@ def _(i: Inputs) -> DataFrame:
 )
 def _(i: Inputs) -> DataFrame:
     """Every key arrives twice, far apart in event time, inside one remembered span."""
-    schema = i.spark.read.parquet(f"{i.dir}/orders.parquet").schema
-    o = topics.read_folder(i.spark, i.dir, schema, name_filter="orders.parquet")
+    o = table_stream(i, "orders")
     k = F.col("o_orderkey") - F.col("o_orderkey") % 2
     keyed = o.select(F.concat(F.lit("k"), k.cast("string")).alias("idempotency_key"), F.col("o_orderdate").alias("created_at"))
     first = windows.distinct_within(keyed, ["idempotency_key"], "created_at", "4000 days")

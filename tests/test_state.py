@@ -109,3 +109,13 @@ def test_every_catalogue_schema_parses(spark):
         fields = tables.schema_of(name).fieldNames()
         assert set(t.key) <= set(fields)
         assert not t.chunk_days or t.chunk_days[0] in fields
+
+
+def test_transfers_from_a_folder_of_part_files(spark, tmp_path):
+    from barloom.plans.registry import all_queries
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(60)
+    orders.repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r.idempotency_key, r.n) for r in all_queries()["stream_first_transfer"].run(spark, str(tmp_path)).collect()}
+    keys = {r.o_orderkey - r.o_orderkey % 2 for r in orders.select("o_orderkey").collect()}
+    assert got == {(f"k{k}", 1) for k in keys}
