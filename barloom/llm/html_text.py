@@ -33,7 +33,12 @@ LESSONS = 500
 
 # fixed values: kinds of tags and of tokens in attributes
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = set("script style noscript template svg head title iframe object canvas math select textarea option".split())
+UNSEEN = set("script style noscript template svg head title iframe object canvas select textarea option annotation annotation-xml".split())
+#: Elements of formulas: their text counts, but they are not markup that thins a text out.
+MATH = set(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts "
+    "mprescripts mtable mtr mtd maction semantics".split()
+)
 RAW = set("script style textarea title noscript iframe".split())
 BLOCKS = set(
     "html body article section main div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 header footer nav aside form fieldset table tbody thead tfoot tr td th "
@@ -101,7 +106,7 @@ class Page:
                         self.pieces.append((open_[-1][1], ""))
                 continue
             block = open_[-1][1]
-            self.tags[block] += 1
+            self.tags[block] += name not in MATH
             if name in RAW or name in UNSEEN:
                 self.fields[block] += name in ("select", "textarea")
                 if name == "head":
@@ -160,7 +165,7 @@ class Page:
                 marks[b] += t.count(".") + t.count(",")
         text, links, tags, fields = own.tolist(), list(map(float, self.links)), list(self.tags), list(self.fields)
         paras, stops, parent = [float(t == "p") for t in self.tag], marks.tolist(), self.parent
-        kids: list[list[int]] = [[] for _ in range(n)]
+        kids, place = [0] * n, [0] * n  # how many children, and how many siblings come later
         for i in range(n - 1, 0, -1):
             p = parent[i]
             text[p] += text[i]
@@ -169,15 +174,16 @@ class Page:
             fields[p] += fields[i]
             paras[p] += paras[i]
             stops[p] += stops[i]
-            kids[p].append(i)
+            place[i] = kids[p]
+            kids[p] += 1
         out = np.zeros((n, 30 + len(TAGS)), np.float32)
         for i in range(1, n):
             p, t = parent[i], text[i]
             near = kids[p]
             bits, above = self.bits[i], self.above[p]
             row = [
-                self.depth[i], np.log1p(t), links[i] / t if t else 0.0, t / tags[i], len(kids[i]), len(near), t / text[p] if text[p] else 0.0,
-                1 - near.index(i) / max(1, len(near) - 1) if len(near) < 200 else 0.5, paras[i], fields[i], stops[i] / t if t else 0.0, own[i] / t if t else 0.0,
+                self.depth[i], np.log1p(t), links[i] / t if t else 0.0, t / tags[i], kids[i], near, t / text[p] if text[p] else 0.0,
+                1 - place[i] / max(1, near - 1), paras[i], fields[i], stops[i] / t if t else 0.0, own[i] / t if t else 0.0,
             ]
             out[i, :12] = row
             for k in range(len(TOKENS)):
@@ -222,7 +228,7 @@ class Page:
             if not t or b != last:
                 blocks.append("".join(now))
                 now, last = [], b
-            if t and state[b] == 1:
+            if t and (state[b] == 1 or b == 0):  # no element says that text outside of all is something else
                 now.append(t)
         blocks.append("".join(now))
         return " ".join(x for x in (" ".join(b.split()) for b in blocks) if x)

@@ -266,6 +266,22 @@ def test_html():
     assert "reader" not in text("<article><h1>A title</h1><p>Some text of the article.</p><section class=comments><p>reader says</p></section></article>")
 
 
+def test_html_long_pages_bare_text_and_formulas():
+    model = html_text.taught()
+
+    def text(html):
+        page = html_text.Page(html)
+        return page.text(page.states(model.probability(page.features())))
+
+    # the place among siblings holds at every size
+    page = html_text.Page("<article>" + "<p>Some words.</p>" * 301 + "</article>")
+    assert np.allclose(page.features()[2:, 7], np.arange(301) / 300)
+    assert text("Plain words only.\n") == "Plain words only." and text("Bare <b>bold</b> words <!-- c -->") == "Bare bold words"
+    more = "and a sentence of the usual length follows here, as an article has it. " * 4
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>TeX</annotation></semantics></math>"
+    assert text(f"<html><body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>One {formula} {more}</p></article></body></html>") == f"Title One x=2 {more}".strip()
+
+
 def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
