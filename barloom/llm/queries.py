@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from barloom.llm.bpe import token_digests
 from barloom.llm.common import table
 from barloom.llm.decontaminate import contaminated_words
+from barloom.llm.hard_negatives import hard_negatives
 from barloom.llm.html_text import main_text
+from barloom.llm.neighbours import nearest_neighbours
 from barloom.llm.ngram_join import jaccard_components, jaccard_links
 from barloom.llm.quality import quality_scores
 from barloom.llm.repeats import without_repeats
@@ -19,6 +21,7 @@ from barloom.llm.secret_scan import secret_spans
 from barloom.llm.topk_search import top_k
 from barloom.llm.toxicity import toxicity_scores
 from barloom.llm.url_filter import url_verdicts
+from barloom.llm.vector_codes import vector_codes
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -67,9 +70,22 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 50 == 0)
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 _ALL = (
     op1_ngram_join, op1_ngram_links, op2_toxicity, op3_topk, op4_bpe, op5_url_filter, op6_repeats, op7_quality, op8_decontamination, op9_secrets,
-    op10_html_text,
+    op10_html_text, op11_hard_negatives, op12_neighbours, op13_codes,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -171,4 +187,73 @@ SELECT p.page_id, p.url, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS
 FROM p LEFT JOIN m ON m.host = p.host AND m.path = p.path AND m.k = 1
 """
 
-SQL: dict[str, str] = {"op1_ngram_join": _OP1, "op1_ngram_links": _OP1_LINKS, "op3_topk": _OP3, "op5_url_filter": _OP5, "op6_repeats": _OP6, "op8_decontamination": _OP8}
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+_OP11 = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE}
+),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id AND len(c.v) = len(a.v)
+),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+),
+n AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS k
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS "rank", negative_id, positive_score, negative_score FROM n WHERE k <= 3
+"""
+
+
+def _op13(rounds: int = 4) -> str:
+    """Squared distances are whole numbers below 2^53, so double precision is exact."""
+    steps = [
+        f"""
+v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {_FINITE}
+),
+x AS MATERIALIZED (
+  SELECT vec_id, j, v[len(v) // 4 * j + 1 : len(v) // 4 * (j + 1)] AS x FROM v, unnest(range(4)) AS t(j)
+),
+c0 AS MATERIALIZED (
+  SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS e, x AS c FROM x
+  WHERE vec_id IN (SELECT vec_id FROM v WHERE vec_id IS NOT NULL ORDER BY vec_id LIMIT 256)
+)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""
+a{i} AS MATERIALIZED (
+  SELECT vec_id, j, any_value(x) AS x, min({{'d': d, 'e': e}}) AS m FROM (
+    SELECT vec_id, x.j, x, e, list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c) AS d FROM x JOIN c{i} c ON c.j = x.j
+  ) GROUP BY vec_id, j
+)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""
+m{i} AS MATERIALIZED (
+  SELECT j, e, list(f ORDER BY k) AS c FROM (
+    SELECT j, m.e AS e, k, floor(sum(x[k + 1]) / count(*)) AS f FROM a{i}, unnest(range(len(x))) AS t(k) GROUP BY j, m.e, k
+  ) GROUP BY j, e
+),
+c{i + 1} AS MATERIALIZED (SELECT c.j, c.e, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN m{i} m ON m.j = c.j AND m.e = c.e)"""
+            )
+    return f"""
+WITH {",".join(steps)},
+k AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY j, e)) AS h FROM c{rounds}),
+r AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY j) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT r.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, k.h AS codebooks_sha256
+FROM r JOIN v ON v.vec_id = r.vec_id, k
+"""
+
+
+SQL: dict[str, str] = {
+    "op1_ngram_join": _OP1, "op1_ngram_links": _OP1_LINKS, "op3_topk": _OP3, "op5_url_filter": _OP5, "op6_repeats": _OP6, "op8_decontamination": _OP8,
+    "op11_hard_negatives": _OP11, "op13_codes": _op13(),
+}
