@@ -118,42 +118,6 @@ def _fit_one(n, sums, products, m: int, max_order: int, n_extra: int):
     return best
 
 
-def lag_correlations(panel: DataFrame, max_lag: int = 10, keys: Sequence[str] = ("symbol",), price: str = "close") -> DataFrame:
-    """Autocorrelations of log returns, Ljung-Box Q and its p-value per key."""
-    d = _with_lags(panel, F.col(price), max_lag, keys).where("__x is not null")
-    mean = d.groupBy(*keys).agg(F.avg("__x").alias("__mu"))
-    d = d.join(mean, list(keys))
-    e = F.col("__x") - F.col("__mu")
-    agg = d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(e * e).alias("__v"),
-        *[F.sum(e * (F.col(f"__x{k}") - F.col("__mu"))).alias(f"__g{k}") for k in range(1, max_lag + 1)],
-    )
-    q = F.lit(0.0)
-    for k in range(1, max_lag + 1):
-        q = q + F.pow(sdiv(f"__g{k}", "__v"), 2) / (F.col("n") - k)
-    q = F.col("n") * (F.col("n") + 2) * q
-    # chi-square tail with an even number of degrees of freedom: a finite sum
-    half, term, tail = F.col("q") / 2.0, F.lit(1.0), F.lit(1.0)
-    for k in range(1, max_lag // 2):
-        term = term * half / k
-        tail = tail + term
-    p = F.exp(-half) * tail
-    return agg.select(*keys, "n", q.alias("q")).select("*", p.alias("p_value")).withColumn("white", (F.col("p_value") > 0.05).cast("int"))
-
-
-def holdout_path_error(panel: DataFrame, fits: DataFrame, train_share: float = 0.8, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """RMSE of the price path after the train part: forecast log returns cumulated from the last
-    train price against the actual closes. The forecast is the fitted unconditional mean."""
-    size = panel.groupBy(*keys).agg(F.max("rn").alias("n_all"), F.floor(F.max("rn") * train_share).alias("cut"))
-    base = panel.join(size, list(keys))
-    anchor = base.where(F.col("rn") == F.col("cut")).select(*keys, F.col("close").alias("p0"))
-    mu = F.col("const") / (1 - F.aggregate("coef", F.lit(0.0), lambda a, x: a + x))
-    j = base.where(F.col("rn") > F.col("cut")).join(anchor, list(keys)).join(fits.select(*keys, mu.alias("mu")), list(keys))
-    err = F.col("p0") * F.exp(F.col("mu") * (F.col("rn") - F.col("cut"))) - F.col("close")
-    return j.groupBy(*keys).agg(F.sqrt(F.avg(err * err)).alias("path_rmse"), F.count(F.lit(1)).alias("n"))
-
-
 def garch_grid(
     panel: DataFrame,
     alphas: Sequence[float] = (0.03, 0.06, 0.1, 0.15, 0.2),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import features as ft
 from barloom.operators import forecast as fc
-from barloom.operators import learn, metrics, splits
+from barloom.operators import arma, hidden_markov, learn, metrics, splits
 from barloom.plans.catalog_indicators import full, lag
 from barloom.plans.fixtures import WEEK, Inputs
 from barloom.plans.registry import query
@@ -31,16 +31,48 @@ def _(i: Inputs) -> DataFrame:
     return ar1(i).withColumn("phi", F.aggregate("coef", F.lit(0.0), lambda a, x: a + x))
 
 
+# the fitted recursion from the last train return on, one step after the other
+_path = f"""WITH RECURSIVE f AS ({_ar}),
+  b AS (SELECT symbol, close, lr, rn, floor(max(rn) OVER (PARTITION BY symbol) * 0.8) AS cut FROM rbars),
+  z AS (SELECT b.symbol, 0 AS step, b.lr AS r, CAST(0 AS DOUBLE) AS total, b.close AS p0, f.const, f.phi,
+      (SELECT max(c.rn - c.cut) FROM b c WHERE c.symbol = b.symbol) AS last FROM b JOIN f ON f.symbol = b.symbol WHERE rn = cut
+    UNION ALL SELECT symbol, step + 1, const + phi * r, total + const + phi * r, p0, const, phi, last FROM z WHERE step < last),
+  t AS (SELECT b.symbol, b.rn, z.step, b.lr AS y_true, z.r AS y_pred, b.close AS price, z.p0 * exp(z.total) AS price_pred
+    FROM b JOIN z ON z.symbol = b.symbol AND b.rn - b.cut = z.step WHERE z.step > 0)"""
+
+
 @query(
-    "price_path_error", "A-23 M-10",
-    f"""SELECT symbol, sqrt(avg((p0 * exp(mu * (rn - cut)) - close) ** 2)) AS path_rmse, count(*) AS n FROM (
-        SELECT b.*, f.const / (1 - f.phi) AS mu, arg_max(close, rn) FILTER (WHERE rn <= cut) OVER (PARTITION BY b.symbol) AS p0
-        FROM (SELECT symbol, close, rn, floor(max(rn) OVER (PARTITION BY symbol) * 0.8) AS cut FROM rbars) b JOIN ({_ar}) f ON f.symbol = b.symbol)
-        WHERE rn > cut GROUP BY symbol""",
+    "price_path_error", "A-23 M-10", _path + " SELECT symbol, sqrt(avg((price_pred - price) ** 2)) AS path_rmse, count(*) AS n FROM t GROUP BY symbol",
     ["rbars"], (), {"path_rmse": 4}, ["symbol", "n"],
 )
 def _(i: Inputs) -> DataFrame:
-    return fc.holdout_path_error(i.panel(), ar1(i))
+    return arma.path_errors(arma.forecast_paths(i.panel(), arma.as_arma(ar1(i)), 1))
+
+
+@query(
+    "return_forecast_paths", "A-23 M-10", _path + " SELECT symbol, rn, CAST(step AS BIGINT) AS step, y_true, y_pred, price, price_pred FROM t",
+    ["rbars"], (), {"y_true": 9, "y_pred": 9, "price": 4, "price_pred": 4}, ["symbol", "rn", "step"],
+)
+def _(i: Inputs) -> DataFrame:
+    return arma.forecast_paths(i.panel(), arma.as_arma(ar1(i)), 1)
+
+
+ARMA = {"max_p": 5, "max_q": 5, "long_order": 12}
+
+
+@query("arma_by_aic", "M-10 A-24", None)
+def _(i: Inputs) -> DataFrame:
+    """ARMA fits with the white-noise test of their residuals and the error of their price path."""
+    fits = i.once("arma_fits", lambda: arma.two_stage(i.panel(), **ARMA))
+    white = arma.residual_white_noise(i.panel(), fits, **ARMA).drop("n")
+    path = arma.path_errors(arma.forecast_paths(i.panel(), fits, **ARMA)).drop("n")
+    return fits.join(white, "symbol").join(path, "symbol", "left")
+
+
+@query("arma_forecast_metrics", "M-10 A-4", None)
+def _(i: Inputs) -> DataFrame:
+    fits = i.once("arma_fits", lambda: arma.two_stage(i.panel(), **ARMA))
+    return metrics.prediction_metrics(arma.forecast_paths(i.panel(), fits, **ARMA), ["symbol"])
 
 
 @query("autoregression_by_aic", "M-10", None)
@@ -60,20 +92,22 @@ def _(i: Inputs) -> DataFrame:
     return fc.autoregression(known, max_order=2, extra=["season", "volume_before", "rsi_before"])
 
 
-_lb = ", ".join(f"sum((lr - mu) * (l{k} - mu)) / sum((lr - mu) ** 2) AS r{k}" for k in range(1, 11))
+_lb = ", ".join(f"sum((e - mu) * (l{k} - mu)) / sum((e - mu) ** 2) AS r{k}" for k in range(1, 11))
+_resid = f"""SELECT t.symbol, t.time, t.rn, t.lr - f.const - f.phi * t.lr1 AS e FROM ({_train}) t JOIN ({_ar}) f ON f.symbol = t.symbol
+    WHERE t.rn <= t.cut AND t.lr IS NOT NULL AND t.lr1 IS NOT NULL"""
 
 
 @query(
     "residual_white_noise", "A-24",
-    f"""SELECT symbol, n, q, exp(-q / 2) * (1 + q / 2 + (q / 2) ** 2 / 2 + (q / 2) ** 3 / 6 + (q / 2) ** 4 / 24) AS p_value,
+    f"""SELECT symbol, n, q AS q_stat, exp(-q / 2) * (1 + q / 2 + (q / 2) ** 2 / 2 + (q / 2) ** 3 / 6 + (q / 2) ** 4 / 24) AS p_value,
         CAST(exp(-q / 2) * (1 + q / 2 + (q / 2) ** 2 / 2 + (q / 2) ** 3 / 6 + (q / 2) ** 4 / 24) > 0.05 AS INTEGER) AS white FROM (
         SELECT symbol, n, n * (n + 2) * ({" + ".join(f"r{k} ** 2 / (n - {k})" for k in range(1, 11))}) AS q FROM (
-        SELECT symbol, count(*) AS n, {_lb} FROM (SELECT symbol, lr, avg(lr) OVER (PARTITION BY symbol) AS mu, {", ".join(f"{lag('lr', k)} AS l{k}" for k in range(1, 11))}
-        FROM rbars) WHERE lr IS NOT NULL GROUP BY symbol))""",
-    ["rbars"], (), ["q", "p_value"], ["symbol", "n", "white"],
+        SELECT symbol, count(*) AS n, {_lb} FROM (SELECT symbol, e, avg(e) OVER (PARTITION BY symbol) AS mu, {", ".join(f"{lag('e', k)} AS l{k}" for k in range(1, 11))}
+        FROM ({_resid})) GROUP BY symbol))""",
+    ["rbars"], (), ["q_stat", "p_value"], ["symbol", "n", "white"],
 )
 def _(i: Inputs) -> DataFrame:
-    return fc.lag_correlations(i.panel())
+    return arma.residual_white_noise(i.panel(), arma.as_arma(ar1(i)), 1)
 
 
 _A, _B = (0.05, 0.1, 0.2), (0.6, 0.75, 0.85)
@@ -158,6 +192,63 @@ def _(i: Inputs) -> DataFrame:
     return learn.current_window_stats(regime_rows(i))
 
 
+REGIME = ["ret5", "vol20", "vol_ratio", "rsi_norm", "atr_ratio"]
+
+
+def hidden_states(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    made: list[tuple[DataFrame, DataFrame]] = []
+
+    def build(which: int) -> DataFrame:
+        if not made:
+            made.append(hidden_markov.market_states(regime_rows(i), REGIME))
+        return made[0][which]
+
+    return i.once("hidden_states", lambda: build(0)), i.once("hidden_models", lambda: build(1))
+
+
+@query("hidden_market_states", "M-13", None)
+def _(i: Inputs) -> DataFrame:
+    return hidden_states(i)[0]
+
+
+@query("hidden_state_summary", "M-13 A-13 A-29", None)
+def _(i: Inputs) -> DataFrame:
+    return hidden_markov.current_states(*hidden_states(i))
+
+
+# a given two-state model of standardised returns: calm and wild, staying nine times in ten
+_TWO = [0.5, 0.5, 0.9, 0.1, 0.1, 0.9, 0.2, -0.2, 0.5, 2.0]
+_dens = "exp(-0.5 * (x - {m}) ** 2 / {v}) / sqrt(2 * pi() * {v})"
+_hidden = f"""WITH RECURSIVE s AS (SELECT symbol, rn, row_number() OVER (PARTITION BY symbol ORDER BY rn) AS k, row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) AS j,
+    (lr - avg(lr) OVER (PARTITION BY symbol)) / stddev_pop(lr) OVER (PARTITION BY symbol) AS x FROM rbars WHERE lr IS NOT NULL),
+  e AS (SELECT *, {_dens.format(m=0.2, v=0.5)} AS e0, {_dens.format(m=-0.2, v=2.0)} AS e1 FROM s),
+  a AS (SELECT symbol, rn, k, e0 * 0.5 / (0.5 * (e0 + e1)) AS a0, e1 * 0.5 / (0.5 * (e0 + e1)) AS a1, ln(0.5) + ln(e0) AS d0, ln(0.5) + ln(e1) AS d1, 0 AS c0, 1 AS c1 FROM e WHERE k = 1
+    UNION ALL SELECT symbol, rn, k, f0 / (f0 + f1), f1 / (f0 + f1), greatest(d0 + ln(0.9), d1 + ln(0.1)) + ln(e0), greatest(d0 + ln(0.1), d1 + ln(0.9)) + ln(e1),
+      CASE WHEN d0 + ln(0.9) >= d1 + ln(0.1) THEN 0 ELSE 1 END, CASE WHEN d0 + ln(0.1) >= d1 + ln(0.9) THEN 0 ELSE 1 END
+    FROM (SELECT e.symbol, e.rn, e.k, e.e0, e.e1, p.d0, p.d1, e.e0 * (0.9 * p.a0 + 0.1 * p.a1) AS f0, e.e1 * (0.1 * p.a0 + 0.9 * p.a1) AS f1
+      FROM a p JOIN e ON e.symbol = p.symbol AND e.k = p.k + 1)),
+  b AS (SELECT symbol, k, j, CAST(1 AS DOUBLE) AS b0, CAST(1 AS DOUBLE) AS b1, e0, e1 FROM e WHERE j = 1
+    UNION ALL SELECT symbol, k, j, g0 / (g0 + g1), g1 / (g0 + g1), e0, e1 FROM (SELECT e.symbol, e.k, e.j, e.e0, e.e1,
+      0.9 * p.e0 * p.b0 + 0.1 * p.e1 * p.b1 AS g0, 0.1 * p.e0 * p.b0 + 0.9 * p.e1 * p.b1 AS g1 FROM b p JOIN e ON e.symbol = p.symbol AND e.j = p.j + 1)),
+  v AS (SELECT a.symbol, a.k, CASE WHEN d0 >= d1 THEN 0 ELSE 1 END AS state, c0, c1 FROM a JOIN e ON e.symbol = a.symbol AND e.k = a.k WHERE e.j = 1
+    UNION ALL SELECT a.symbol, a.k, CASE WHEN p.state = 0 THEN p.c0 ELSE p.c1 END, a.c0, a.c1 FROM v p JOIN a ON a.symbol = p.symbol AND a.k = p.k - 1)"""
+
+
+@query(
+    "given_model_states", "M-13",
+    _hidden + """ SELECT a.symbol, a.rn, CAST(v.state AS INTEGER) AS state, a0 * b0 / (a0 * b0 + a1 * b1) AS probability
+      FROM a JOIN b ON b.symbol = a.symbol AND b.k = a.k JOIN v ON v.symbol = a.symbol AND v.k = a.k""",
+    ["rbars"], (), ["probability"], ["symbol", "rn", "state"],
+)
+def _(i: Inputs) -> DataFrame:
+    """Posteriors and best path under a model that is given, in chunks of 64 rows."""
+    f = ft.build_features(i.panel(), ["price_action"], keep=["symbol", "rn"]).select("symbol", "rn", F.col("log_return_1d").alias("x"))
+    chunks = hidden_markov.packed(f, ["x"], chunk_rows=64)
+    theta = chunks.where("first").select("symbol", F.lit(_TWO).cast("array<double>").alias("theta"))
+    found = hidden_markov.decode(chunks, theta, ["symbol"], 2, 1, fan=4)
+    return found.withColumn("probability", F.element_at("probabilities", 1))
+
+
 @query("regime_clusters", "M-13 A-13", None)
 def _(i: Inputs) -> DataFrame:
     rows = regime_rows(i).select("symbol", "time", "ret5", "vol20", "vol_ratio", "rsi_norm", "atr_ratio")

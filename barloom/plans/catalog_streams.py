@@ -89,11 +89,42 @@ def _(i: Inputs) -> DataFrame:
     return rows.groupBy("idempotency_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def request_stream(i: Inputs) -> DataFrame:
-    e = event_stream(i).where("event_type <> 'signup'")
+#: Files in which the derived streams land, and how far they are out of order as a share of the whole span.
+SLICES = 6
+
+
+def arriving(i: Inputs, rows: DataFrame, name: str, ends: str | None = None) -> tuple[DataFrame, str]:
+    """Rows (``id``, ``ts``) as a stream of several batches that are out of order, and the delay that covers it.
+
+    A row lands late by up to one slice of the whole time span. The last file holds a heartbeat (no id), so that all rows are passed
+    by the watermark: far behind the last row, or such that the watermark stands at ``ends``.
+    """
+
+    def build() -> str:
+        path = new_path(i.spark, f"{name}-arriving")
+        span = rows.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+        width = max(1, (span["b"] - span["a"]) // SLICES + 1) if span["a"] is not None else 1
+        late = F.pmod(F.xxhash64("id"), F.lit(width))
+        landed = rows.withColumn("__slice", F.floor((F.unix_micros("ts") - F.lit(span["a"] or 0) + late) / width))
+        delay = 2 * width // 1_000_000 + 60
+        for n in range(SLICES + 1):  # a fixed number of files, one after the other as in a landing folder
+            landed.where(F.col("__slice") == n).drop("__slice").coalesce(4).write.mode("append").parquet(path)
+        end = F.timestamp_micros(F.lit((span["b"] or 0) + delay * 1_000_000 + 400 * 86400 * 1_000_000))
+        if ends is not None:
+            end = F.timestamp_micros(F.unix_micros(F.lit(ends).cast("timestamp")) + delay * 1_000_000)
+        beat = i.spark.range(1).select(*[end.alias("ts") if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
+        beat.write.mode("append").parquet(path)
+        return f"{path} {delay} seconds"
+
+    path, delay = build().split(" ", 1)
+    return topics.read_folder(i.spark, path, rows.schema, files_per_batch=4), delay
+
+
+def request_rows(i: Inputs) -> DataFrame:
+    e = i.table("events").where("event_type <> 'signup'")
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
-        F.col("event_id").alias("id"), "user_id", F.unix_micros("ts").alias("micros"), month_key("ts").alias("month"),
+        F.col("event_id").alias("id"), "user_id", "ts", month_key("ts").alias("month"),
         F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("symbol"),
         pick(k % 3, {0: "tree", 1: "lstm"}, "arima").alias("model"),
         pick(k % 4, {0: 1, 1: 5, 2: 10}, 20).alias("horizon"),
@@ -106,7 +137,8 @@ def request_stream(i: Inputs) -> DataFrame:
     ["requests"], (), (), ["id", "user_id", "window_start", "place"],
 )
 def _(i: Inputs) -> DataFrame:
-    return drained(i, stateful.request_windows(request_stream(i), ["user_id"], 14400), "rate_limit")
+    stream, delay = arriving(i, request_rows(i), "requests")
+    return drained(i, stateful.request_windows(stream, ["user_id"], 14400, delay), "rate_limit")
 
 
 @query(
@@ -115,7 +147,8 @@ def _(i: Inputs) -> DataFrame:
     ["requests"], (), (), ["id", "symbol", "model", "horizon", "hit"],
 )
 def _(i: Inputs) -> DataFrame:
-    g = stateful.request_windows(request_stream(i), ["symbol", "model", "horizon"], 1800)
+    stream, delay = arriving(i, request_rows(i), "requests")
+    g = stateful.request_windows(stream, ["symbol", "model", "horizon"], 1800, delay)
     return drained(i, g, "result_reuse").withColumn("hit", (F.col("place") > 1).cast("int"))
 
 
@@ -125,7 +158,8 @@ def _(i: Inputs) -> DataFrame:
     ["requests"], (), (), ["id", "user_id", "month", "used"],
 )
 def _(i: Inputs) -> DataFrame:
-    return drained(i, stateful.monthly_use(request_stream(i), ["user_id", "month"]), "monthly_use")
+    stream, delay = arriving(i, request_rows(i), "requests")
+    return drained(i, stateful.monthly_use(stream, ["user_id", "month"], delay), "monthly_use")
 
 
 _lock_step = """CASE WHEN p.until IS NOT NULL AND b.ts <= p.until THEN {same} ELSE {new} END"""
@@ -146,9 +180,31 @@ _lock = f"""WITH RECURSIVE src AS (SELECT id, user_id, created_at AS ts, action
 )
 def _(i: Inputs) -> DataFrame:
     # logins are sparse here: a two-day lock stands in for fifteen minutes
-    e = event_stream(i).where("event_type in ('error', 'click')")
-    rows = e.select(F.col("event_id").alias("id"), "user_id", F.unix_micros("ts").alias("micros"), (F.col("event_type") == "error").alias("failed"))
-    return drained(i, stateful.lockouts(rows, 5, 2 * 86400), "lockout")
+    e = i.table("events").where("event_type in ('error', 'click')")
+    rows = e.select(F.col("event_id").alias("id"), "user_id", "ts", (F.col("event_type") == "error").alias("failed"))
+    stream, delay = arriving(i, rows, "logins")
+    return drained(i, stateful.lockouts(stream, 5, 2 * 86400, delay), "lockout")
+
+
+@query(
+    "stream_decision_context", "T-11 J-1",
+    """SELECT d.id, d.symbol, d.ts AS decided_at, coalesce(s.generated_at, TIMESTAMP '1970-01-01') AS generated_at, s.prediction, s.signal_confidence FROM
+       (SELECT event_id AS id, 'Brand#' || (user_id % 25 + 1) AS symbol, ts FROM events WHERE event_type IN ('click', 'purchase')) d
+       ASOF LEFT JOIN (SELECT symbol, generated_at, arg_max(prediction, id) AS prediction, arg_max(confidence, id) AS signal_confidence
+         FROM signals WHERE model_name = 'm0' GROUP BY ALL) s
+       ON s.symbol = d.symbol AND d.ts >= s.generated_at""",
+    ["signals"], ["decided_at", "generated_at"], ["prediction", "signal_confidence"], ["id", "symbol"],
+)
+def _(i: Inputs) -> DataFrame:
+    """Two topics, each in several batches out of order, met in event time."""
+    d = i.table("events").where("event_type in ('click', 'purchase')")
+    decisions = d.select(F.col("event_id").alias("id"), F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("symbol"), "ts")
+    signals = i.signals().where("model_name = 'm0'").select("id", "symbol", F.col("generated_at").alias("ts"), "prediction", "confidence")
+    left, delay = arriving(i, decisions, "decisions")
+    right, other = arriving(i, signals, "signals")
+    delay = max(delay, other, key=lambda x: int(x.split()[0]))
+    rows = drained(i, stateful.signal_for_decision(left, right, ["symbol"], None, delay), "decision_context")
+    return rows.withColumnRenamed("ts", "decided_at").withColumn("generated_at", F.coalesce("generated_at", F.timestamp_seconds(F.lit(0))))
 
 
 @query(
@@ -158,12 +214,9 @@ def _(i: Inputs) -> DataFrame:
     ["event_ticks"], ["written_at"], ["price"], ["symbol"],
 )
 def _(i: Inputs) -> DataFrame:
-    """Latest value per key, merged batch by batch into a keyed table; expired keys are left out."""
-    path, check = new_path(i.spark, "vectors"), new_path(i.spark, "vectors-checkpoint")
-    latest = windows.latest_per_key(tick_stream(i), ["symbol"], ["ts", "event_id"])
-    # every batch writes its own folder, named by the batch, so a repeated batch replaces itself
-    topics.merge_into(latest, check, lambda b, n: b.write.mode("overwrite").parquet(f"{path}/batch={n}")).awaitTermination()
-    table = i.spark.read.parquet(path)
-    newest = table.groupBy("symbol").agg(F.max_by(F.struct("ts", "price"), F.struct("ts", "event_id")).alias("r"))
-    rows = newest.select("symbol", "r.price", F.col("r.ts").alias("written_at"))
-    return windows.active_at(rows, "written_at", 3600, "2024-01-31 00:00:00")
+    """Latest value per key in state with a lifetime: the stream tells of newer values and of expired keys."""
+    ticks = i.event_ticks().select(F.col("event_id").alias("id"), "symbol", "ts", "price")
+    stream, delay = arriving(i, ticks, "ticks", ends="2024-01-31 00:00:00")
+    told = drained(i, stateful.fresh_values(stream, ["symbol"], "price", 3600, delay), "fresh_vectors")
+    newest = told.groupBy("symbol").agg(F.max_by(F.struct("price", "expired"), F.struct("written_at", "expired")).alias("r"), F.max("written_at").alias("written_at"))
+    return newest.where("not r.expired").select("symbol", "r.price", "written_at")

@@ -1,149 +1,261 @@
-"""Keyed state: request windows, result reuse, monthly quota, login lockout.
+"""Keyed state in event order: request windows, result reuse, monthly quota, login lockout, signals for decisions, fresh values.
 
-One state row per active key. A micro-batch hands a key's new events to the processor, which sorts
-them by event time and folds them; the state has a time to live where the rule has one.
+Events reach a stream in any order within the watermark's delay. A key keeps the events that the watermark has not
+passed in a buffer; an event-time timer wakes the key when it has, and the events then go through the rule
+in the order of their time, whatever batch brought them. A rule says when its state no longer matters: then a timer
+removes it, so state is held only for keys in use. Events later than the delay are dropped and counted in the
+query's progress. What is buffered of a busy key is bounded by its events within the delay.
+
+Rows without an id are heartbeats: they move the watermark and do nothing else.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
+#: What a buffered event consists of: its instant, its side (smaller first among equal instants), id and the rule's fields.
+EVENT = ("micros", "side", "id", "mark", "a", "b")
+BUFFER = "micros long, side int, id long, mark boolean, a double, b double"
+
 
 def use_rocks(spark: SparkSession) -> None:
-    """Keyed state with several variables and expiry needs the RocksDB provider."""
+    """Keyed state with several variables and timers needs the RocksDB provider."""
     spark.conf.set(PROVIDER, ROCKS)
 
 
-def _rows(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """New events of one key in one micro-batch, in event order."""
-    got = [b for b in batches if len(b)]
-    pdf = pd.concat(got, ignore_index=True) if got else pd.DataFrame()
-    return pdf.sort_values(["micros", "id"], kind="stable") if len(pdf) else pdf
+class Rule:
+    """A fold over the events of one key. ``state`` and ``out`` are schemas; a state is a tuple or None."""
+
+    state: str
+    out: str
+
+    def step(self, state: tuple | None, event: tuple) -> tuple[tuple | None, tuple | None]:
+        """State after the event, and the row to put out (or None)."""
+        raise NotImplementedError
+
+    def ends(self, state: tuple) -> int | None:
+        """Instant after which the state says nothing about later events; None if it holds for good."""
+        return None
+
+    def gone(self, state: tuple) -> tuple | None:
+        """Row to put out when the state is removed at its end."""
+        return None
 
 
-class FirstOpened(StatefulProcessor):
+class FirstOpened(Rule):
     """Windows opened by the first event: request limits (place > limit) and result reuse."""
 
-    def __init__(self, ttl_seconds: int, key_fields: Sequence[str]):
-        self.ttl, self.key_fields = ttl_seconds * 1_000_000, list(key_fields)
+    state, out = "start long, place long", "id long, window_start long, place long"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("open", "start long, place long")
+    def __init__(self, ttl_seconds: int):
+        self.ttl = ttl_seconds * 1_000_000
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = _rows(rows)
-        if not len(pdf):
-            return
-        start, place = self.state.get() if self.state.exists() else (None, 0)
-        starts, places = [], []
-        for t in pdf["micros"]:
-            if start is None or t >= start + self.ttl:
-                start, place = int(t), 0
-            place += 1
-            starts.append(start)
-            places.append(place)
-        self.state.update((start, place))
-        out = pdf[["id"]].assign(window_start=starts, place=places)
-        for name, value in zip(self.key_fields, key, strict=True):
-            out[name] = value
-        yield out
+    def step(self, state, event):
+        start, place = state or (None, 0)
+        if start is None or event[0] >= start + self.ttl:
+            start, place = event[0], 0
+        return (start, place + 1), (event[2], start, place + 1)
+
+    def ends(self, state):
+        return state[0] + self.ttl
 
-    def close(self) -> None:
-        pass
 
+class Lockout(Rule):
+    """``limit`` failures in a row lock the account; success and the end of the lock reset. ``mark`` is a failure."""
 
-class Lockout(StatefulProcessor):
-    """``limit`` failures in a row lock the account; success and the end of the lock reset."""
+    state, out = "fails int, until long", "id long, outcome string, failed_attempts int"
 
     def __init__(self, limit: int, lock_seconds: int):
         self.limit, self.lock = limit, lock_seconds * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("login", "fails int, until long")
+    def step(self, state, event):
+        fails, until = state or (0, None)
+        if until is not None and event[0] <= until:
+            return (fails, until), (event[2], "rejected", fails)
+        fails = (0 if until is not None else fails) + 1 if event[3] else 0
+        until = event[0] + self.lock if fails >= self.limit else None
+        outcome = "locked" if until is not None else "failed" if fails else "ok"
+        return ((fails, until) if fails else None), (event[2], outcome, fails)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = _rows(rows)
-        if not len(pdf):
-            return
-        fails, until = self.state.get() if self.state.exists() else (0, None)
-        outcome, counts = [], []
-        for t, failed in zip(pdf["micros"], pdf["failed"], strict=True):
-            if until is not None and t <= until:
-                outcome.append("rejected")
-            else:
-                if until is not None:
-                    fails, until = 0, None
-                if failed:
-                    fails += 1
-                    if fails >= self.limit:
-                        until = int(t) + self.lock
-                    outcome.append("locked" if until is not None else "failed")
-                else:
-                    fails = 0
-                    outcome.append("ok")
-            counts.append(fails)
-        self.state.update((fails, until))
-        yield pdf[["id"]].assign(user_id=key[0], outcome=outcome, failed_attempts=counts)
+    def ends(self, state):
+        return state[1]
 
-    def close(self) -> None:
-        pass
 
+class MonthlyCount(Rule):
+    """Running use of a key that includes the month; every call counts, also rejected ones."""
+
+    state, out = "n long, until long", "id long, used long"
+
+    def step(self, state, event):
+        if state is None:
+            at = datetime.fromtimestamp(event[0] // 1_000_000, UTC)
+            after = datetime(at.year + at.month // 12, at.month % 12 + 1, 1, tzinfo=UTC)
+            state = 0, int(after.timestamp()) * 1_000_000
+        return (state[0] + 1, state[1]), (event[2], state[0] + 1)
+
+    def ends(self, state):
+        return state[1]
+
+
+class AsOf(Rule):
+    """The last event of side 0 (values ``a``, ``b``) at or before each event of side 1, if it is not too old."""
+
+    state, out = "micros long, a double, b double", "id long, micros long, seen_micros long, a double, b double"
 
-class MonthlyCount(StatefulProcessor):
-    """Running use per key (user and month); every call counts, also rejected ones."""
+    def __init__(self, keep_seconds: int | None):
+        self.keep = None if keep_seconds is None else keep_seconds * 1_000_000
 
-    def __init__(self, key_fields: Sequence[str]):
-        self.key_fields = list(key_fields)
+    def step(self, state, event):
+        if event[1] == 0:
+            return (event[0], event[4], event[5]), None
+        if state is not None and self.keep is not None and event[0] > state[0] + self.keep:
+            state = None
+        return state, (event[2], event[0], *(state or (None, None, None)))
+
+    def ends(self, state):
+        return None if self.keep is None else state[0] + self.keep
+
+
+class Freshest(Rule):
+    """Newest value ``a`` of a key, put out again with ``expired`` when it has not been renewed in time."""
+
+    state, out = "micros long, a double", "micros long, a double, expired boolean"
+
+    def __init__(self, ttl_seconds: int):
+        self.ttl = ttl_seconds * 1_000_000
+
+    def step(self, state, event):
+        return (event[0], event[4]), (event[0], event[4], False)
+
+    def ends(self, state):
+        return state[0] + self.ttl - 1000  # gone once the watermark is at the end of the lifetime
+
+    def gone(self, state):
+        return (*state, True)
+
+
+class EventOrdered(StatefulProcessor):
+    """Runs a rule over the events of each key in the order of their time."""
+
+    def __init__(self, rule: Rule, keys: Sequence[str]):
+        self.rule, self.keys = rule, list(keys)
+        self.columns = [field.split()[0] for field in rule.out.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("used", "n long")
+        self.handle = handle
+        self.fold = handle.getValueState("fold", self.rule.state)
+        self.early = handle.getListState("early", BUFFER)
+        self.timer = handle.getValueState("timer", "due long")
+
+    def wake(self, micros: int) -> None:
+        """One timer for each key, at the first millisecond after the instant that it waits for."""
+        due = micros // 1000 + 1
+        if self.timer.exists():
+            if (now := self.timer.get()[0]) <= due:
+                return
+            self.handle.deleteTimer(now)
+        self.handle.registerTimer(due)
+        self.timer.update((due,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = _rows(rows)
-        if not len(pdf):
-            return
-        n = self.state.get()[0] if self.state.exists() else 0
-        out = pdf[["id"]].assign(used=range(n + 1, n + 1 + len(pdf)))
-        self.state.update((n + len(pdf),))
-        for name, value in zip(self.key_fields, key, strict=True):
-            out[name] = value
-        yield out
+        new = []
+        for batch in rows:
+            values = [[None if pd.isna(x) else x for x in batch[c].tolist()] for c in EVENT]
+            new += [(int(m), int(s), int(i), *rest) for m, s, i, *rest in zip(*values, strict=True)]
+        if new:
+            self.early.appendList(new)
+            self.wake(min(new)[0])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.timer.clear()
+        mark = timerValues.getCurrentWatermarkInMs()
+        events = sorted(self.early.get(), key=lambda e: e[:3]) if self.early.exists() else []
+        passed = sum(e[0] // 1000 < mark for e in events)
+        state = tuple(self.fold.get()) if self.fold.exists() else None
+        out = []
+        for event in events[:passed]:
+            state, row = self.rule.step(state, event)
+            if row is not None:
+                out.append(row)
+        if passed:
+            if passed < len(events):
+                self.early.put(events[passed:])
+            else:
+                self.early.clear()
+        ends = None if state is None else self.rule.ends(state)
+        if ends is not None and ends // 1000 < mark:
+            if (row := self.rule.gone(state)) is not None:
+                out.append(row)
+            state = None
+        if state is not None:
+            self.fold.update(state)
+        elif self.fold.exists():
+            self.fold.clear()
+        if passed < len(events):
+            self.wake(events[passed][0])
+        if state is not None and ends is not None:
+            self.wake(ends)
+        if out:
+            frame = pd.DataFrame(out, columns=self.columns, dtype=object)
+            yield frame.assign(**dict(zip(self.keys, key, strict=True)))
 
     def close(self) -> None:
         pass
 
 
-def _schema(stream: DataFrame, keys: Sequence[str]) -> str:
+def in_event_order(
+    stream: DataFrame, keys: Sequence[str], rule: Rule, time: str = "ts", delay: str = "10 minutes",
+    mark: Column | None = None, side: Column | None = None, a: Column | None = None, b: Column | None = None,
+) -> DataFrame:
+    """What ``rule`` puts out for the events (``id``, ``time``) of a stream, with the keys."""
+    use_rocks(stream.sparkSession)
+    given = {"side": (side, "int"), "mark": (mark, "boolean"), "a": (a, "double"), "b": (b, "double")}
+    fields = [(F.lit(0 if n == "side" else None) if c is None else c).cast(t).alias(n) for n, (c, t) in given.items()]
+    watched = stream.withWatermark(time, delay)
+    # heartbeats go after the watermark has seen them: a condition that names the time is not moved before it
+    real = watched.where(F.col("id").isNotNull() | F.col(time).isNull()).where(F.col(time).isNotNull())
+    events = real.select(*keys, "id", F.col(time), F.unix_micros(time).alias("micros"), *fields)
     types = dict(stream.dtypes)
-    return ", ".join(f"{k} {types[k]}" for k in keys)
+    schema = f"{rule.out}, " + ", ".join(f"{k} {types[k]}" for k in keys)
+    return events.groupBy(*keys).transformWithStateInPandas(EventOrdered(rule, keys), schema, "append", "EventTime")
 
 
-def request_windows(stream: DataFrame, keys: Sequence[str], ttl_seconds: int) -> DataFrame:
-    """(id, window_start, place, keys): needs ``id`` and ``micros`` (event time)."""
-    use_rocks(stream.sparkSession)
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        FirstOpened(ttl_seconds, keys), f"id long, window_start long, place long, {_schema(stream, keys)}", "append", "None"
-    )
+def request_windows(stream: DataFrame, keys: Sequence[str], ttl_seconds: int, delay: str = "10 minutes") -> DataFrame:
+    """(id, window_start, place, keys)."""
+    return in_event_order(stream, keys, FirstOpened(ttl_seconds), delay=delay)
 
 
-def lockouts(stream: DataFrame, limit: int = 5, lock_seconds: int = 900) -> DataFrame:
-    """Outcome per login event: ok, failed, locked (this failure locks) or rejected."""
-    use_rocks(stream.sparkSession)
-    types = dict(stream.dtypes)
-    return stream.groupBy("user_id").transformWithStateInPandas(
-        Lockout(limit, lock_seconds), f"id long, user_id {types['user_id']}, outcome string, failed_attempts int", "append", "None"
-    )
+def lockouts(stream: DataFrame, limit: int = 5, lock_seconds: int = 900, delay: str = "10 minutes") -> DataFrame:
+    """Outcome per login event (``failed``): ok, failed, locked (this failure locks) or rejected."""
+    return in_event_order(stream, ["user_id"], Lockout(limit, lock_seconds), delay=delay, mark=F.col("failed"))
 
 
-def monthly_use(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
-    use_rocks(stream.sparkSession)
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        MonthlyCount(keys), f"id long, used long, {_schema(stream, keys)}", "append", "None"
-    )
+def monthly_use(stream: DataFrame, keys: Sequence[str], delay: str = "10 minutes") -> DataFrame:
+    return in_event_order(stream, keys, MonthlyCount(), delay=delay)
+
+
+def signal_for_decision(decisions: DataFrame, signals: DataFrame, keys: Sequence[str], keep_seconds: int | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Each decision (``id``, ``ts``) with the last signal (``ts``, ``prediction``, ``confidence``) of its keys at or before
+    it. Both streams share one watermark, so a decision waits until earlier signals can no longer come."""
+    left = decisions.select(*keys, "id", "ts", F.lit(1).alias("side"), F.lit(None).cast("double").alias("prediction"), F.lit(None).cast("double").alias("confidence"))
+    right = signals.select(*keys, "id", "ts", F.lit(0).alias("side"), "prediction", "confidence")
+    both = left.unionByName(right)
+    found = in_event_order(both, keys, AsOf(keep_seconds), delay=delay, side=F.col("side"), a=F.col("prediction"), b=F.col("confidence"))
+    at = [F.timestamp_micros("micros").alias("ts"), F.timestamp_micros("seen_micros").alias("generated_at")]
+    return found.select(*keys, "id", *at, F.col("a").alias("prediction"), F.col("b").alias("signal_confidence"))
+
+
+def fresh_values(stream: DataFrame, keys: Sequence[str], value: str, ttl_seconds: int, delay: str = "10 minutes") -> DataFrame:
+    """Changes of a table of newest values: a row for each newer value, and one with ``expired`` when its lifetime is over."""
+    found = in_event_order(stream, keys, Freshest(ttl_seconds), delay=delay, a=F.col(value))
+    return found.select(*keys, F.timestamp_micros("micros").alias("written_at"), F.col("a").alias(value), "expired")

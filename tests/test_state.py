@@ -38,19 +38,114 @@ def test_request_windows_match_a_loop(spark, gap):
         assert list(zip(start, g["place"], strict=True)) == want
 
 
-def test_fifth_failure_locks_and_success_resets(spark, tmp_path):
-    base = 1_700_000_000
-    plan = [(0, True), (10, True), (20, False), (30, True), (40, True), (50, True), (60, True), (70, True), (80, False), (1200, True)]
-    pdf = pd.DataFrame({"id": range(len(plan)), "user_id": 1, "micros": [(base + s) * 1_000_000 for s, _ in plan], "failed": [f for _, f in plan]})
+def landed(spark, tmp_path, pdf, delay, beat=10_000_000, files=5):
+    """A stream of several files that are out of order by less than ``delay`` seconds, then a heartbeat; and the list of progress."""
     src = str(tmp_path / "in")
-    # two files, one per micro-batch: the state carries over
-    for part in (pdf.iloc[:5], pdf.iloc[5:]):
+    rng = np.random.default_rng(3)
+    late = pdf["s"] + rng.integers(0, delay // 3, len(pdf))
+    width = (late.max() - late.min()) // files + 1
+    assert width <= delay // 2, "the delay must cover a file's span"
+    full = pdf.assign(ts=pd.to_datetime(pdf["s"], unit="s", utc=True))
+    for n in range(files):
+        part = full[(late - late.min()) // width == n].sample(frac=1, random_state=n)
         spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(src)
-    stream = topics.read_folder(spark, src, spark.read.parquet(src).schema, files_per_batch=1)
-    out = topics.drain(stateful.lockouts(stream, 5, 900), str(tmp_path / "out"), str(tmp_path / "check"))
-    got = out.orderBy("id").toPandas()
-    assert got["outcome"].tolist() == ["failed", "failed", "ok", "failed", "failed", "failed", "failed", "locked", "rejected", "failed"]
-    assert got["failed_attempts"].tolist() == [1, 2, 0, 1, 2, 3, 4, 5, 5, 1]
+    schema = spark.read.parquet(src).schema
+    last = dict.fromkeys(schema.fieldNames()) | {"ts": full["ts"].max().to_pydatetime() + dt.timedelta(seconds=delay + beat)}
+    spark.createDataFrame([tuple(last.values())], schema).coalesce(1).write.mode("append").parquet(src)
+    return topics.read_folder(spark, src, schema, files_per_batch=1)
+
+
+def run_out(stream, tmp_path):
+    """What the stream wrote, and how many rows of state it keeps at the end."""
+    query = topics.append_to(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+    query.awaitTermination()
+    assert query.exception() is None
+    kept = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    dropped = sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in query.recentProgress if p["stateOperators"])
+    assert dropped == 0
+    return stream.sparkSession.read.schema(stream.schema).parquet(str(tmp_path / "out")).toPandas(), kept
+
+
+def events(seed, users=4, n=300, gap=60):
+    rng = np.random.default_rng(seed)
+    rows = [(u, int(s)) for u in range(users) for s in 1_700_000_000 + np.cumsum(rng.integers(0, gap, n))]
+    pdf = pd.DataFrame(rows, columns=["user_id", "s"])
+    return pdf.assign(id=np.arange(len(pdf)) + (1 << 60), failed=rng.random(len(pdf)) < 0.8)  # ids beyond a double's whole numbers
+
+
+def test_windows_over_late_files_equal_a_loop_and_leave_no_state(spark, tmp_path):
+    pdf = events(1)
+    stream = landed(spark, tmp_path, pdf, 9000)
+    got, kept = run_out(stateful.request_windows(stream, ["user_id"], 120, "9000 seconds"), tmp_path)
+    got = got.set_index("id")
+    for _, g in pdf.groupby("user_id"):
+        g = g.sort_values(["s", "id"])
+        want = brute(g["s"].tolist(), 120)
+        assert list(zip(got.loc[g["id"], "window_start"] // 1_000_000, got.loc[g["id"], "place"], strict=True)) == want
+    assert len(got) == len(pdf) and kept == 0
+
+
+def test_lockout_over_late_files_equals_a_loop(spark, tmp_path):
+    pdf = events(2)
+    stream = landed(spark, tmp_path, pdf, 9000)
+    got, _ = run_out(stateful.lockouts(stream, 5, 900, "9000 seconds"), tmp_path)
+    got = got.set_index("id")
+    for _, g in pdf.groupby("user_id"):
+        fails, until = 0, None
+        for r in g.sort_values(["s", "id"]).itertuples():
+            if until is not None and r.s <= until:
+                want = "rejected"
+            else:
+                fails, until = (0 if until is not None else fails), None
+                fails = fails + 1 if r.failed else 0
+                until = r.s + 900 if fails >= 5 else None
+                want = "locked" if until is not None else "failed" if fails else "ok"
+            assert (got.loc[r.id, "outcome"], got.loc[r.id, "failed_attempts"]) == (want, fails)
+    assert set(got["outcome"]) == {"ok", "failed", "locked", "rejected"}
+
+
+def test_monthly_use_over_late_files_and_months(spark, tmp_path):
+    pdf = events(5, n=600, gap=20_000)
+    pdf["month"] = pd.to_datetime(pdf["s"], unit="s").dt.strftime("%Y:%m")
+    stream = landed(spark, tmp_path, pdf, 3_000_000, beat=40_000_000)
+    got, kept = run_out(stateful.monthly_use(stream, ["user_id", "month"], "3000000 seconds"), tmp_path)
+    want = pdf.sort_values(["s", "id"]).assign(used=lambda d: d.groupby(["user_id", "month"]).cumcount() + 1)
+    assert dict(zip(got["id"], got["used"], strict=True)) == dict(zip(want["id"], want["used"], strict=True))
+    assert kept == 0 and want["month"].nunique() > 2
+
+
+def test_signal_for_decision_over_late_files(spark, tmp_path):
+    pdf = events(7).rename(columns={"user_id": "symbol"})
+    rng = np.random.default_rng(0)
+    pdf = pdf.assign(prediction=rng.normal(size=len(pdf)), confidence=rng.random(len(pdf)), is_signal=rng.random(len(pdf)) < 0.3)
+    stream = landed(spark, tmp_path, pdf, 9000)
+    # one stream is split after its watermark has been set for both sides
+    decisions = stream.where("is_signal is null or not is_signal").select("symbol", "id", "ts")
+    signals = stream.where("is_signal is null or is_signal").select("symbol", "id", "ts", "prediction", "confidence")
+    out = stateful.signal_for_decision(decisions, signals, ["symbol"], 300, "9000 seconds")
+    got, kept = run_out(out, tmp_path)
+    got = got.set_index("id")
+    seen = 0
+    for _, g in pdf.groupby("symbol"):
+        s = g[g.is_signal].sort_values(["s", "id"])
+        for r in g[~g.is_signal].itertuples():
+            before = s[(s.s <= r.s) & (s.s >= r.s - 300)]
+            have = got.loc[r.id]
+            if len(before):
+                seen += 1
+                assert have["prediction"] == before.iloc[-1]["prediction"] and have["signal_confidence"] == before.iloc[-1]["confidence"]
+            else:
+                assert pd.isna(have["prediction"])
+    assert kept == 0 and seen > 100 and len(got) == (~pdf.is_signal).sum()
+
+
+def test_values_that_are_not_renewed_expire(spark, tmp_path):
+    pdf = pd.DataFrame({"k": ["a", "a", "b", "a"], "s": [1_700_000_000 + x for x in (0, 10, 20, 4000)], "v": [1.0, 2.0, 3.0, 4.0], "id": [1, 2, 3, 4]})
+    stream = landed(spark, tmp_path, pdf, 9000, beat=5000, files=2)
+    got, kept = run_out(stateful.fresh_values(stream, ["k"], "v", 3600, "9000 seconds"), tmp_path)
+    told = {(r.k, r.v, bool(r.expired)) for r in got.itertuples()}
+    assert told == {("a", 1.0, False), ("a", 2.0, False), ("b", 3.0, False), ("a", 4.0, False), ("b", 3.0, True), ("a", 4.0, True)}
+    assert kept == 0
 
 
 def test_late_ticks_are_dropped(spark, tmp_path):
