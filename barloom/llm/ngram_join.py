@@ -12,7 +12,8 @@ them. So documents are first routed to trees by shingles that linked pairs must
    many classes is cut into chunks of some ``BLOCK``. Classes that are already connected are not compared, so in a large
    group of near copies most members need a few comparisons. Most links are found here; none has to be.
 3. *Clusters.* A set of n shingles that links with another shares one of its n - ceil(0.75 n) + 1 rarest shingles (rare by
-   a count table of a fixed size over all documents). Shingles whose classes are all connected by now are dropped, and of
+   a count table of a fixed size over all documents); the smaller of two linked sets has it among its n - ceil(6/7 n) + 1 rarest. Classes
+   meet by such a shingle and a band of sizes. Shingles whose classes are all connected by now are dropped, and of
    shingles with the same classes one is enough; the classes of each form a tree. Components that hold classes whose
    points pass the bound get into one cluster. That takes a spanning set of edges, never all pairs.
 4. *All other links.* The components of a cluster are compared by trees and exact sets, again leaving out what is connected
@@ -265,14 +266,16 @@ def links_of_block(block: pa.Table) -> pa.Table:
 
 
 def maybe_of_block(block: pa.Table) -> pa.Table:
-    """Edges between components that connect all whose points pass the bound in a block (``comp, side, low, high, n,
+    """Edges between components that connect all whose points pass the bound in a block (``comp, lead, side, low, high, n,
     point``)."""
-    comp, side, sizes = (np.asarray(block.column(c)) for c in ("comp", "side", "n"))
+    comp, side, sizes, lead = (np.asarray(block.column(c)) for c in ("comp", "side", "n", "lead"))
     points = [np.frombuffer(p, np.uint16) for p in block.column("point").to_pylist()]
     edges: list[tuple[int, int]] = []
     root = np.unique(comp, return_inverse=True)[1]
     for i, found in near_members(points, sizes, root, side, two_sides(block)):
-        for j in found:
+        # the smaller of two sets must lead here
+        led = np.where(sizes[found] < sizes[i], lead[found], np.where(sizes[found] > sizes[i], lead[i], lead[found] | lead[i]))
+        for j in found[led]:
             if root[j] != root[i]:
                 edges.append((int(comp[i]), int(comp[j])))
                 root[root == root[j]] = root[i]
@@ -318,38 +321,78 @@ def cheap_links(docs: DataFrame, ranks: np.ndarray, rows: DataFrame, classes: Da
     return whole.groupBy("route", "chunk").applyInArrow(links_of_block, "a long, b long")
 
 
-def met_in_tokens(rows: DataFrame, nodes: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
-    """``token, node``: the join keys of the rows whose id is a node (and some others), or those with a bit in ``wanted``."""
-    sent = rows.sparkSession.sparkContext.broadcast((nodes, wanted))
+def only_nodes(rows: DataFrame, nodes: np.ndarray) -> DataFrame:
+    """``doc_id, n, prefix`` of the rows whose id has a bit in ``nodes``."""
+    sent = rows.sparkSession.sparkContext.broadcast(nodes)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, bits = sent.value
         for batch in batches:
-            some = batch.filter(pa.array(has_bit(ids, np.asarray(batch.column("doc_id"), np.int64))))
-            keys = [unpacked(k) for k in some.column("prefix").to_pylist()]
-            if not keys:
+            yield batch.filter(pa.array(has_bit(sent.value, np.asarray(batch.column("doc_id"), np.int64))))
+
+    return rows.select("doc_id", "n", "prefix").mapInArrow(task, "doc_id long, n long, prefix binary")
+
+
+def lead_of(n: int) -> int:
+    """Rarest shingles of a set of ``n`` of which it shares one with any set that links and is not smaller: such two share
+    6/7 of the smaller one at least."""
+    return n - (6 * n + 6) // 7 + 1
+
+
+def token_keys(names: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of a set of ``n`` by its prefix ``names`` (rarest first), and whether each leads.
+
+    A key is a shingle and a size band (bits of the size), so sets of unlike size do not meet. The larger set of a pair looks under its own
+    band; the smaller one leads: its ``lead_of`` rarest shingles also stand in the next band if a set a third larger lies there.
+    """
+    leads = np.arange(len(names)) < lead_of(n)
+    own, above = int(n).bit_length(), int(4 * n // 3).bit_length()
+    keys = names | np.int64(own) << np.int64(48)
+    if above == own:
+        return keys, leads
+    more = names[leads] | np.int64(above) << np.int64(48)
+    return np.concatenate([keys, more]), np.concatenate([leads, np.ones(len(more), bool)])
+
+
+def met_in_tokens(rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """``token, node, comp, lead``: the join keys of the rows (``node, comp, n, prefix``), or those with a bit in ``wanted``."""
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            found = [token_keys(unpacked(k), n) for k, n in zip(batch.column("prefix").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+            if not found:
                 continue
-            token = np.concatenate(keys)
-            node = np.repeat(np.asarray(some.column("doc_id")), [len(k) for k in keys])
+            token, lead = (np.concatenate(c) for c in zip(*found, strict=True))
+            row = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
             if bits is not None:
                 there = has_bit(bits, token)
-                token, node = token[there], node[there]
+                token, lead, row = token[there], lead[there], row[there]
+            node, comp = (np.asarray(batch.column(c)) for c in ("node", "comp"))
             for at in range(0, len(token), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(token[at : at + (1 << 17)]), pa.array(node[at : at + (1 << 17)])], ["token", "node"])
+                some = slice(at, at + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[some], node[row[some]], comp[row[some]], lead[some])], ["token", "node", "comp", "lead"])
 
-    return rows.select("doc_id", "prefix").mapInArrow(task, "token long, node long")
+    return rows.mapInArrow(task, "token long, node long, comp long, lead boolean")
 
 
-def clusters_of(met: DataFrame, comps: DataFrame, shapes: DataFrame) -> DataFrame:
+def clusters_of(met: DataFrame, shapes: DataFrame) -> DataFrame:
     """``comp, cluster``: components that may link, as far as shared tokens and the bound of their points can tell, are in
     one cluster. A spanning set of edges is enough, so a block gives fewer edges than it has members."""
-    placed = met.join(comps, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
     # tokens with the same members give the same edges, so one of them is enough
-    members = [F.count("*").alias("count"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")]
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), *members).filter("one <> other")
-    open_ = open_.groupBy("count", "x", "y").agg(F.min("token").alias("token"))
-    blocks = cut(placed, open_, "token").join(shapes, "node").groupBy("token", "low", "high")
-    edges = blocks.applyInArrow(maybe_of_block, "a long, b long")
+    members = [F.count("*").alias("count"), F.expr("bit_xor(xxhash64(node, lead))").alias("x"), F.expr("bit_xor(xxhash64(node, lead, 1))").alias("y")]
+    open_ = met.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), F.max("lead").alias("led"), *members)
+    open_ = staged(open_.filter("one <> other and led").groupBy("count", "x", "y").agg(F.min("token").alias("token")), "open")
+    placed = staged(cut(met, open_, "token"), "blocks")
+    there = bit_table(placed, "node")
+    sent = met.sparkSession.sparkContext.broadcast(there)
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has_bit(sent.value, np.asarray(batch.column("node"), np.int64))))
+
+    few = shapes.mapInArrow(needed, shapes.schema)
+    edges = placed.join(few, "node").groupBy("token", "low", "high").applyInArrow(maybe_of_block, "a long, b long")
     return components(edges).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
 
 
@@ -375,13 +418,13 @@ def linked_classes(docs: DataFrame) -> tuple[np.ndarray, DataFrame, DataFrame, D
     edges = staged(edges.union(cheap_links(docs, ranks, rows, classes)), "links")
     comps = components(edges)
 
-    # shingles that several classes must share
-    ids = bit_table(classes, "node")
-    many = met_in_tokens(known, ids).groupBy("token").agg(F.min("node").alias("one"), F.max("node").alias("other")).filter("one <> other")
-    met = met_in_tokens(known, ids, bit_table(many, "token")).join(classes.select("node").distinct(), "node").distinct()
-    met = staged(met, "tokens")
-    shapes = known.select("sig", F.col("doc_id").alias("node"), "n", "point")
-    clusters = clusters_of(met, comps, shapes)
+    # shingles that classes of several components must share
+    nodes = classes.select("node").distinct().join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
+    prefixes = only_nodes(known, bit_table(classes, "node")).join(nodes, F.col("doc_id") == F.col("node")).select("node", "comp", "n", "prefix")
+    prefixes = staged(prefixes, "prefixes")
+    many = met_in_tokens(prefixes).groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), F.max("lead").alias("led"))
+    met = staged(met_in_tokens(prefixes, bit_table(many.filter("one <> other and led"), "token")).distinct(), "tokens")
+    clusters = clusters_of(met, known.select(F.col("doc_id").alias("node"), "n", "point"))
     comps = components(edges.union(cluster_links(docs, ranks, classes, comps, clusters)))
 
     return ranks, rows, classes, comps
