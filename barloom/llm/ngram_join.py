@@ -32,6 +32,7 @@ empty result. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ from barloom.llm.common import Hashes, bit_table, gram_hashes, has_bit, hashed_w
 from barloom.llm.components import components
 
 WIDTH = 5
-ROUTES = 2
+ROUTES = 1
 #: Size of the table that orders shingles by rarity: 1 MB where it is sent, whatever the data. The more shingles share a
 #: slot, the less it tells passages of tens of documents from unique ones, and the more shingles stay open in step 3.
 SLOTS = 1 << 20
@@ -136,7 +137,7 @@ def class_rows(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                 out["sig"][i] = signature(own)
                 out["routes"][i] = routes[k].view(np.int64)
                 out["prefix"][i] = packed(own[: prefix[i]])
-                out["point"][i] = point(own).tobytes()
+                out["point"][i] = zlib.compress(point(own).tobytes(), 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size), pa.array(out["sig"], pa.int64()), pa.array(out["routes"], longs), pa.array(out["prefix"], pa.binary()), pa.array(out["point"], pa.binary())],
                 ["doc_id", "n", "sig", "routes", "prefix", "point"],
@@ -269,7 +270,7 @@ def maybe_of_block(block: pa.Table) -> pa.Table:
     """Edges between components that connect all whose points pass the bound in a block (``comp, lead, side, low, high, n,
     point``)."""
     comp, side, sizes, lead = (np.asarray(block.column(c)) for c in ("comp", "side", "n", "lead"))
-    points = [np.frombuffer(p, np.uint16) for p in block.column("point").to_pylist()]
+    points = [np.frombuffer(zlib.decompress(p), np.uint16) for p in block.column("point").to_pylist()]
     edges: list[tuple[int, int]] = []
     root = np.unique(comp, return_inverse=True)[1]
     for i, found in near_members(points, sizes, root, side, two_sides(block)):
