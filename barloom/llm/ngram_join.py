@@ -164,7 +164,7 @@ def signature(names: np.ndarray) -> int:
 
 
 def exact_sets(docs: DataFrame, ranks: np.ndarray, wanted: DataFrame) -> DataFrame:
-    """``sig, node, names`` of the rows of ``wanted`` (``sig, node``), from the text of the document ``node``."""
+    """The rows of ``wanted`` (``sig, node`` and others) with ``names``, from the text of the document ``node``."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((ranks, bit_table(wanted, "node")))
 
@@ -317,20 +317,19 @@ def cheap_links(docs: DataFrame, ranks: np.ndarray, rows: DataFrame, classes: Da
     shared = routed.groupBy("route").count().filter("count > 1")
     placed = routed.join(shared, "route").withColumn("chunk", F.expr(f"pmod(xxhash64(sig, route), cast(ceil(count / {BLOCK}) as long))")).join(classes, "sig")
     placed = staged(placed.select("route", "chunk", "sig", "node"), "routes")
-    names = exact_sets(docs, ranks, placed.select("sig", "node").distinct()).join(placed.select("sig", "route", "chunk"), "sig")
-    whole = names.withColumn("comp", F.col("node")).withColumns({c: F.lit(0) for c in ("side", "low", "high")})
+    whole = exact_sets(docs, ranks, placed).withColumn("comp", F.col("node")).withColumns({c: F.lit(0) for c in ("side", "low", "high")})
     return whole.groupBy("route", "chunk").applyInArrow(links_of_block, "a long, b long")
 
 
 def only_nodes(rows: DataFrame, nodes: np.ndarray) -> DataFrame:
-    """``doc_id, n, prefix`` of the rows whose id has a bit in ``nodes``."""
+    """``doc_id, sig, n, prefix`` of the rows whose id has a bit in ``nodes``."""
     sent = rows.sparkSession.sparkContext.broadcast(nodes)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(has_bit(sent.value, np.asarray(batch.column("doc_id"), np.int64))))
 
-    return rows.select("doc_id", "n", "prefix").mapInArrow(task, "doc_id long, n long, prefix binary")
+    return rows.select("doc_id", "sig", "n", "prefix").mapInArrow(task, "doc_id long, sig long, n long, prefix binary")
 
 
 def lead_of(n: int) -> int:
@@ -401,10 +400,8 @@ def cluster_links(docs: DataFrame, ranks: np.ndarray, classes: DataFrame, comps:
     """The links between the components of each cluster, by exact sets."""
     placed = classes.join(comps, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp")).join(clusters, "comp")
     placed = staged(placed, "clusters")
-    cells = cut(placed, placed.groupBy("cluster").count(), "cluster")
-    names = exact_sets(docs, ranks, placed.select("sig", "node").distinct())
-    blocks = names.join(cells.drop("node"), "sig").groupBy("cluster", "low", "high")
-    return blocks.applyInArrow(links_of_block, "a long, b long")
+    cells = staged(cut(placed, placed.groupBy("cluster").count(), "cluster"), "cluster-sides")
+    return exact_sets(docs, ranks, cells).groupBy("cluster", "low", "high").applyInArrow(links_of_block, "a long, b long")
 
 
 def linked_classes(docs: DataFrame) -> tuple[np.ndarray, DataFrame, DataFrame, DataFrame]:
@@ -420,11 +417,11 @@ def linked_classes(docs: DataFrame) -> tuple[np.ndarray, DataFrame, DataFrame, D
     comps = components(edges)
 
     # shingles that classes of several components must share
-    nodes = classes.select("node").distinct().join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
-    prefixes = only_nodes(known, bit_table(classes, "node")).join(nodes, F.col("doc_id") == F.col("node")).select("node", "comp", "n", "prefix")
-    prefixes = staged(prefixes, "prefixes")
+    nodes = classes.join(comps, "node", "left").select(F.col("node").alias("doc_id"), "sig", F.coalesce("component", "node").alias("comp"))
+    prefixes = only_nodes(known, bit_table(classes, "node")).join(nodes, ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"])
+    prefixes = staged(prefixes.select(F.col("doc_id").alias("node"), "comp", "n", "prefix"), "prefixes")
     many = met_in_tokens(prefixes).groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), F.max("lead").alias("led"))
-    met = staged(met_in_tokens(prefixes, bit_table(many.filter("one <> other and led"), "token")).distinct(), "tokens")
+    met = staged(met_in_tokens(prefixes, bit_table(many.filter("one <> other and led"), "token")), "tokens")
     clusters = clusters_of(met, known.select(F.col("doc_id").alias("node"), "n", "point"))
     comps = components(edges.union(cluster_links(docs, ranks, classes, comps, clusters)))
 
@@ -493,9 +490,8 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     weights = staged(known.groupBy("sig").agg(F.count(F.when(~F.col("mixed"), 1)).alias("single"), F.max("mixed").alias("mixed")), "weights")
 
     placed = staged(classes.join(comps, "node"), "members")
-    cells = cut(placed, placed.groupBy("component").count(), "component")
-    names = exact_sets(docs, ranks, placed.select("sig", "node").distinct())
-    blocks = names.join(cells.drop("node").join(weights, "sig"), "sig").groupBy("component", "low", "high")
+    cells = staged(cut(placed, placed.groupBy("component").count(), "component").join(weights, "sig"), "sides")
+    blocks = exact_sets(docs, ranks, cells).groupBy("component", "low", "high")
     found = staged(blocks.applyInArrow(counts_of_block, "sig long, other long, n long"), "counts")
 
     own = weights.join(found.filter("other is null").groupBy("sig").agg(F.sum("n").alias("more")), "sig", "left")

@@ -40,9 +40,10 @@ WINDOW = 20
 BITS = {"digits": 2.6, "hex": 3.1, "one case": 3.4, "mixed": 3.7}
 #: Whole runs that look random but are no secrets: UUIDs.
 ALLOWED = (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",)
-#: Runs of digits and separators (numbers, rules), and of plain or capitalised words (also joined ones).
+#: Runs of digits and separators (numbers, rules), and of plain or capitalised words (also joined ones). Nothing that has matched
+#: is given back, so a run takes time in proportion to its length.
 NUMBERS = r"[0-9_+/=-]+"
-WORDS = r"(?:[A-Za-z]?[a-z]+|[A-Z]+)(?:[_/+=-]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[_/+=-]*"
+WORDS = r"(?:[A-Z]?[a-z]++|[A-Z]++)(?:[_/+=-]++(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+))*+[_/+=-]*+"
 #: Letter pairs that are common in English, German, French or Spanish words: a first letter, then all its seconds.
 #: They are 304 of 676, so few windows of random letters (2.5 of 100) have ``COMMON`` of their pairs among them.
 PAIRS = frozenset(
