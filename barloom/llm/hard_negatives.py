@@ -69,7 +69,7 @@ class SortedLists:
         low, high = windows[:, 0], windows[:, 1]
         exact, met, seen = self.exact(q), np.zeros(len(self.x), bool), 0
         if not exact:
-            t = t + np.abs(t) * 1e-9 + 1
+            t = np.where(t > -np.inf, t + np.abs(np.maximum(t, -1e300)) * 1e-9 + 1, t)
         up = q > 0
         rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         kth = low.copy()

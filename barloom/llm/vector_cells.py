@@ -76,7 +76,8 @@ def boxes(rows: DataFrame, column: str = "vec") -> DataFrame:
                 low, high = found.get((d, c), (np.inf, -np.inf))
                 found[(d, c)] = np.minimum(low, x.min(0)), np.maximum(high, x.max(0))
         for (d, c), (low, high) in found.items():
-            yield pa.RecordBatch.from_pydict({"dim": pa.array([d], pa.int32()), "cell": pa.array([c], pa.int32()), "low": [low.tolist()], "high": [high.tolist()]})
+            ends = [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (low, high)]
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([c], pa.int32()), *ends], ["dim", "cell", "low", "high"])
 
     schema = "dim int, cell int, low array<double>, high array<double>"
     each = rows.select("dim", "cell", column).mapInArrow(partial, schema)
