@@ -7,14 +7,13 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.layout import carry_scan
 from barloom.operators.metrics import error_metrics, inverse_error_weights
 
 
@@ -93,24 +92,21 @@ def better_of(scored: DataFrame, label: str, a: str, b: str, split: str = "test"
     return r.withColumn("chosen", F.when(F.col(f"rmse_{b}") < F.col(f"rmse_{a}"), b).otherwise(a))
 
 
-def permutation_importance(df: DataFrame, model, features: Sequence[str], label: str, keys: Sequence[str], bucket_rows: int = 100_000) -> DataFrame:
-    """Rise of RMSE when one feature is replaced by another row's value.
+def permutation_importance(df: DataFrame, model, features: Sequence[str], label: str, keys: Sequence[str]) -> DataFrame:
+    """Rise of RMSE when one feature is replaced by another row's value: that of the row before in the order of a hash of ``keys``.
 
-    The replacement shifts the column by one place in hash order inside hash buckets of about
-    ``bucket_rows`` rows, which keeps the column's distribution and needs no global sort.
+    This keeps the column's distribution. The order is cut into a fixed number of hash ranges and the last values carried over them, so
+    no task sees all rows; the first row takes its own value.
     """
     h = F.xxhash64(*keys)
-    bucket = F.pmod(h, F.lit(max(1, df.count() // bucket_rows)))
-    w = Window.partitionBy("__b").orderBy("__h")
-    base = df.select(*keys, *features, label, h.alias("__h"), bucket.alias("__b"))
-    wrap = Window.partitionBy("__b")
-    shifted = base.select(
-        *keys, *features, label,
-        *[F.coalesce(F.lag(f).over(w), F.max_by(f, "__h").over(wrap)).alias(f"__p_{f}") for f in features],
+    base = df.select(*keys, *features, label, h.alias("__h"))
+    shifted = carry_scan(
+        base, [], ["__h", *keys], F.shiftright("__h", 52), {f"__p_{f}": ("prev", F.col(f)) for f in features}
     )
+    shifted = shifted.select("*", *[F.coalesce(f"__p_{f}", F.col(f)).alias(f"__q_{f}") for f in features])
     variants = [F.struct(F.lit("").alias("shuffled"), *[F.col(f) for f in features])]
     for s in features:
-        variants.append(F.struct(F.lit(s).alias("shuffled"), *[(F.col(f"__p_{f}") if f == s else F.col(f)).alias(f) for f in features]))
+        variants.append(F.struct(F.lit(s).alias("shuffled"), *[(F.col(f"__q_{f}") if f == s else F.col(f)).alias(f) for f in features]))
     long = shifted.select(label, F.inline(F.array(*variants)))
     scored = model.transform(assemble(long, features))
     rmse = scored.groupBy("shuffled").agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col(label), 2))).alias("rmse"))
@@ -118,42 +114,6 @@ def permutation_importance(df: DataFrame, model, features: Sequence[str], label:
     return rmse.where("shuffled <> ''").select(F.col("shuffled").alias("feature"), (F.col("rmse") - base_rmse).alias("importance"))
 
 
-def tree_importance(model, features: Sequence[str], spark) -> DataFrame:
-    values = model.featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(zip(features, values, strict=True)), "feature string, importance double")
-
-
-def search(df: DataFrame, label: str, depths: Sequence[int], steps: Sequence[float], trees: int = 10) -> DataFrame:
-    """Validation RMSE of every parameter combination (each fit is a distributed job)."""
-    est = GBTRegressor(labelCol=label, maxIter=trees, seed=7)
-    grid = ParamGridBuilder().addGrid(est.maxDepth, list(depths)).addGrid(est.stepSize, list(steps)).build()
-    train, val = df.where("split = 'train'"), df.where("split = 'val'")
-    ev = RegressionEvaluator(labelCol=label, metricName="rmse")
-    rows = []
-    for p in grid:
-        rmse = ev.evaluate(est.copy(p).fit(train).transform(val))
-        rows.append((int(p[est.maxDepth]), float(p[est.stepSize]), float(rmse)))
-    return df.sparkSession.createDataFrame(rows, "max_depth int, step_size double, rmse double")
-
-
-def walk_forward_predictions(
-    df: DataFrame, axis: DataFrame, folds: DataFrame, label: str, estimator: Callable[[], Estimator], keep: Sequence[str]
-) -> DataFrame:
-    """Fit per fold on the rows before its train end, forecast its test rows.
-
-    The loop runs over folds (a handful); fitting and scoring are distributed, and no fold's train
-    rows are copied: a fold is a range filter on the time number.
-    """
-    timed = df.join(axis.select("time", "t"), "time")
-    out = None
-    for f in folds.orderBy("fold").collect():
-        model = estimator().fit(timed.where((F.col("t") < f["train_end"]) & F.col(label).isNotNull()))
-        test = timed.where((F.col("t") >= f["test_start"]) & (F.col("t") < f["test_end"]))
-        part = model.transform(test).select(*keep, F.lit(f["fold"]).cast("long").alias("fold"), F.col("prediction").alias("y_pred"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def score_batches(
     df: DataFrame, keep: Sequence[str], features: Sequence[str], load: Callable[[], Callable], out: str = "prediction"
 ) -> DataFrame:

@@ -283,9 +283,9 @@ def bootstrap_rank_correlation(
     """
     rows = finite_pairs(df, y, p).select(*groups, row, y, p)
     rep = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicas))).alias("replica"))
-    u = F.pmod(F.xxhash64(*groups, row, "replica"), F.lit(1_000_003)) / 1_000_003.0
+    u = F.shiftrightunsigned(F.xxhash64(*groups, row, "replica"), 11) / float(1 << 53)
     k, acc, prob = F.lit(0), 0.0, math.exp(-1)
-    for i in range(8):
+    for i in range(18):  # what is left of the tail is below the resolution of ``u``
         acc += prob
         k = k + (u >= acc).cast("int")
         prob /= i + 1

@@ -91,3 +91,19 @@ def regime_weights(states: DataFrame, table: dict[str, dict[str, float]] | None
     lookup = F.create_map(*[x for r, ws in table.items() for x in (F.lit(r), entries(ws))])
     chosen = F.coalesce(F.try_element_at(lookup, F.col("regime")), entries(EQUAL_WEIGHTS))
     return states.select("time", "regime", F.inline(chosen))
+
+
+def weighted_forecasts(predictions: DataFrame, states: DataFrame, table: dict[str, dict[str, float]] | None = None, pred: str = "y_pred") -> DataFrame:
+    """(symbol, time, regime, y_pred, n_models): the forecasts of each row weighted by the regime of the last state at or before
+    its time. Weights of models without a forecast are left out and the others scaled up; models without a weight do not count."""
+    from barloom.operators.macro import asof_global
+
+    table = REGIME_WEIGHTS if table is None else table
+    times = predictions.select("time").distinct()
+    known = asof_global(times, states.select("time", "regime"))
+    weights = regime_weights(known, table)
+    joined = predictions.join(weights, ["time", "model"])
+    w, p = F.col("weight"), F.col(pred)
+    return joined.groupBy("symbol", "time").agg(
+        F.first("regime").alias("regime"), F.try_divide(F.sum(w * p), F.sum(F.when(p.isNotNull(), w))).alias("y_pred"), F.count(p).alias("n_models")
+    )

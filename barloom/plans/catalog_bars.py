@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import cleaning, resample, validate
 from barloom.operators.layout import chunk_of, with_ordinal
-from barloom.plans.fixtures import TICK_ORDER, WEEK, Inputs
+from barloom.plans.fixtures import SERIES, TICK_ORDER, WEEK, Inputs
 from barloom.plans.registry import query
 from barloom.sources.staging import new_path
 from barloom.sources import tables
@@ -116,19 +116,17 @@ def _(i: Inputs) -> DataFrame:
 
 @query(
     "macro_back_filled", "P-5 P-6",
-    """SELECT time, coalesce(last_value(vix IGNORE NULLS) OVER p, first_value(vix IGNORE NULLS) OVER n) AS vix,
-       first_value(oil IGNORE NULLS) OVER n AS oil FROM macro_raw
-       WINDOW p AS (ORDER BY time ROWS UNBOUNDED PRECEDING),
-              n AS (ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
-    ["macro_raw"], ["time"], ["vix", "oil"],
+    "SELECT time, " + ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER p, first_value({c} IGNORE NULLS) OVER n) AS {c}" for c in SERIES)
+    + """ FROM macro_raw WINDOW p AS (ORDER BY time ROWS UNBOUNDED PRECEDING), n AS (ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
+    ["macro_raw"], ["time"], list(SERIES),
 )
 def _(i: Inputs) -> DataFrame:
     from barloom.operators.macro import pivot_series
 
-    wide = pivot_series(i.macro_long(), ("vix", "oil")).withColumn("all", F.lit(1))
+    wide = pivot_series(i.macro_long(), SERIES).withColumn("all", F.lit(1))
     cut = chunk_of("time", 365 * 86400)
-    wide = cleaning.forward_fill(wide, ["vix"], ["all"], ["time"], cut)
-    return cleaning.backward_fill(wide, ["vix", "oil"], ["all"], ["time"], cut)
+    wide = cleaning.forward_fill(wide, list(SERIES), ["all"], ["time"], cut)
+    return cleaning.backward_fill(wide, list(SERIES), ["all"], ["time"], cut)
 
 
 @query(
@@ -193,21 +191,40 @@ def _(i: Inputs) -> DataFrame:
 
 
 @query(
-    "null_report", "P-12 P-13",
+    "null_report", "P-12",
     " UNION ALL ".join(
         f"""SELECT '{c}' AS series, count(*) AS rows, count(*) - count({c}) AS nulls,
         (count(*) - count({c})) / count(*) AS null_ratio, CAST(count({c}) = 0 AS INTEGER) AS all_null FROM macro_raw"""
-        for c in ("vix", "nasdaq", "gold", "sp500")
+        for c in SERIES
     ),
     ["macro_raw"], (), ["null_ratio"], ["series", "rows", "nulls", "all_null"],
 )
 def _(i: Inputs) -> DataFrame:
     from barloom.operators.macro import pivot_series
 
-    report = cleaning.null_counts(pivot_series(i.macro_long()), ["vix", "nasdaq", "gold", "sp500"])
+    report = cleaning.null_counts(pivot_series(i.macro_long()), list(SERIES))
     return report.withColumnRenamed("column", "series")
 
 
+_nulls = " + ".join(f"avg(CAST({c} IS NULL AS DOUBLE))" for c in SERIES)
+
+
+@query(
+    "null_gate", "P-12 P-13",
+    f"""SELECT r AS null_ratio, CASE WHEN r > 0.9 THEN 'reject' WHEN r > 0.5 THEN 'warn' ELSE 'ok' END AS verdict, CAST({len(SERIES)} AS BIGINT) AS n_columns
+        FROM (SELECT ({_nulls}) / {len(SERIES)} AS r FROM macro_raw)""",
+    ["macro_raw"], (), ["null_ratio"], ["verdict", "n_columns"],
+)
+def _(i: Inputs) -> DataFrame:
+    """A column without any value goes first, then the share of nulls in the others decides."""
+    from barloom.operators.macro import pivot_series
+
+    wide = pivot_series(i.macro_long()).withColumn("empty", F.lit(None).cast("double"))
+    left = cleaning.drop_all_null_columns(wide, [*SERIES, "empty"])
+    names = [c for c in left.columns if c != "time"]
+    return cleaning.null_ratio_gate(left, names).withColumn("n_columns", F.lit(len(names)).cast("long"))
+
+
 @query(
     "enough_history_symbols", "P-20 P-16",
     """SELECT symbol, time, close FROM event_bars QUALIFY count(*) OVER (PARTITION BY symbol) >= 677 AND close > 0"""

@@ -11,7 +11,7 @@ from barloom.operators import splits
 from barloom.operators.ranks import small_group_rank_correlation
 from barloom.plans.catalog_indicators import ALL, full, pct
 from barloom.plans.fixtures import Inputs
-from barloom.plans.registry import query
+from barloom.plans.registry import query, registered
 
 
 def crank(x: str, minimum: int = 5) -> str:
@@ -39,7 +39,13 @@ _base = {
     "volatility_5d": f"({full('lr', 5, 'stddev_samp')}) * sqrt(252)",
 }
 _feat = "SELECT symbol, time, " + ", ".join(f"{e} AS {c}" for c, e in _base.items()) + " FROM rbars"
-_ranked = list(_base)
+# features whose SQL is that of their own query
+_own = {"rsi_14": "features_rsi", "adx": "features_directional_movement", "bb_position": "features_bollinger"}
+_feat = (
+    f"SELECT p.*, {', '.join(f'{n}.{c}' for c, n in _own.items())} FROM ({_feat}) p "
+    + " ".join(f"LEFT JOIN ({registered()[n].sql}) {n} ON {n}.symbol = p.symbol AND {n}.time = p.time" for n in _own.values())
+)
+_ranked = [*_base, *_own]
 _out = [f"cs_{k}_{c}" for c in _ranked for k in ("rank", "zscore")]
 
 
@@ -49,7 +55,8 @@ _out = [f"cs_{k}_{c}" for c in _ranked for k in ("rank", "zscore")]
     ["rbars"], ["time"], _out, ["symbol"],
 )
 def _(i: Inputs) -> DataFrame:
-    f = ft.build_features(i.panel(), ["price_action", "volume_ratios", "microstructure"], keep=["symbol", "time"])
+    families = ["price_action", "volume_ratios", "microstructure", "relative_strength", "directional_movement", "bollinger"]
+    f = ft.build_features(i.panel(), families, keep=["symbol", "time"])
     return cs.add_ranks(f.select("symbol", "time", *_ranked), _ranked)
 
 

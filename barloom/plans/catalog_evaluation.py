@@ -249,5 +249,5 @@ def _(i: Inputs) -> DataFrame:
 
 @query("bootstrap_rank_correlation", "A-10", None)
 def _(i: Inputs) -> DataFrame:
-    rows = i.predictions().where("model <> 'flat'").withColumn("row", F.concat_ws("/", "symbol", F.col("time").cast("string")))
-    return mt.bootstrap_rank_correlation(rows, ["model"], "row", 40)
+    rows = i.predictions().withColumn("row", F.concat_ws("/", "symbol", F.col("time").cast("string")))
+    return mt.bootstrap_rank_correlation(rows, ["model"], "row")

@@ -382,14 +382,14 @@ def _(i: Inputs) -> DataFrame:
 
 @query(
     "forecast_sequences", "W-REC-4",
-    f"""SELECT symbol, time, y, len(xs) AS steps, list_sum(list_transform(xs, lambda v: v)) AS total, xs[1] AS oldest, xs[12] AS newest
+    f"""SELECT symbol, time, y, len(xs) AS steps, list_sum(list_transform(xs, lambda v: v)) AS total, xs[1] AS oldest, xs[120] AS newest
         FROM (SELECT symbol, time, rn, lead(close, 1) OVER {ALL} / close - 1 AS y,
-          list(close) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS xs FROM rbars) WHERE rn > 12""",
+          list(close) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING) AS xs FROM rbars) WHERE rn > 120""",
     ["rbars"], ["time"], {"y": 6, "total": 4, "oldest": 6, "newest": 6}, [*KEYS, "steps"],
 )
 def _(i: Inputs) -> DataFrame:
     f = ft.build_features(i.panel(), ["targets"], keep=["symbol", "time", "rn", "close"])
-    s = forecast_sequences(f, ["close"], "target_1", 12)
+    s = forecast_sequences(f, ["close"], "target_1", 120)
     flat = F.flatten("x")
     return s.select(
         "symbol", "time", F.col("y"), F.size("x").cast("long").alias("steps"),

@@ -204,17 +204,17 @@ def _(i: Inputs) -> DataFrame:
 
 def statements(i: Inputs) -> tuple[DataFrame, list[str]]:
     long = i.brand_years().unpivot(["symbol", "y"], ["units", "revenue", "tax"], "metric", "value")
-    years = [str(y) for y in range(1995, 2003)]
     named = long.withColumn("d", F.concat(F.col("y").cast("string"), F.lit("-12-31 00:00:00")))
-    dates = [f"{y}-12-31 00:00:00" for y in years]
-    return named.groupBy("symbol", "metric").pivot("d", dates).agg(F.first("value")), dates
+    # a column for each year that there is
+    wide = named.groupBy("symbol", "metric").pivot("d").agg(F.first("value"))
+    return wide, [c for c in wide.columns if c not in ("symbol", "metric")]
 
 
 @query(
     "statement_rows", "S-6 P-24",
     """SELECT s.symbol, 'income' AS statement, 'yearly' AS freq, m.metric, y.y || '-12-31' AS period,
         CASE m.metric WHEN 'units' THEN CAST(b.units AS DOUBLE) WHEN 'revenue' THEN b.revenue ELSE b.tax END AS value
-       FROM (SELECT DISTINCT symbol FROM brand_years) s, (VALUES ('units'), ('revenue'), ('tax')) m(metric), (SELECT unnest(range(1995, 2003)) AS y) y
+       FROM (SELECT DISTINCT symbol FROM brand_years) s, (VALUES ('units'), ('revenue'), ('tax')) m(metric), (SELECT DISTINCT y FROM brand_years) y
        LEFT JOIN brand_years b ON b.symbol = s.symbol AND b.y = y.y""",
     ["brand_years"], (), {"value": 3}, ["symbol", "statement", "freq", "metric", "period"],
 )

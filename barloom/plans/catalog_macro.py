@@ -83,12 +83,12 @@ def _(i: Inputs) -> DataFrame:
 
 @query(
     "panel_with_macro_asof", "J-1 J-3",
-    f"SELECT b.symbol, b.time, b.close, m.vix_level, m.yield_curve_spread, m.sp500_return_5d FROM bars b ASOF LEFT JOIN ({_macro_sql}) m ON b.time >= m.time",
-    ["bars", "macro"], ["time"], ["close", "vix_level", "yield_curve_spread", "sp500_return_5d"], ["symbol"],
+    f"SELECT b.symbol, b.close, m.* EXCLUDE (time), b.time FROM bars b ASOF LEFT JOIN ({_macro_sql}) m ON b.time >= m.time",
+    ["bars", "macro"], ["time"], ["close", *mc.macro_feature_names()], ["symbol"],
 )
 def _(i: Inputs) -> DataFrame:
-    m = mc.macro_features(i.macro()).select("time", "vix_level", "yield_curve_spread", "sp500_return_5d")
-    return mc.asof_global(i.bars(), m)
+    m = mc.macro_features(i.macro())
+    return mc.asof_global(i.bars(), m.select("time", *mc.macro_feature_names()))
 
 
 @query(
@@ -175,10 +175,33 @@ _w_rows += [(r, m, v) for r in ("bull_high_vol", "bear_low_vol") for m, v in reg
 
 
 @query(
-    "regime_weights", "J-9 M-14",
+    "regime_weights", "J-9",
     f"""SELECT r.time, r.regime, m.model, m.weight FROM ({_regime_smooth}) r
         JOIN (VALUES {", ".join(f"('{r}', '{m}', {v})" for r, m, v in _w_rows)}) m(regime, model, weight) USING (regime)""",
     ["macro"], ["time"], ["weight"], ["regime", "model"],
 )
 def _(i: Inputs) -> DataFrame:
     return regime.regime_weights(regimes(i))
+
+
+# the given forecasters stand for the members of the weight table
+_MEMBERS = {
+    "bull_low_vol": {"momentum": 0.5, "reversal": 0.3, "flat": 0.2},
+    "bear_high_vol": {"reversal": 0.6, "flat": 0.4},
+    "crisis": {"flat": 1.0},
+}
+_m_rows = [(r, m, v) for r, ws in _MEMBERS.items() for m, v in ws.items()]
+_m_rows += [(r, m, 1 / 3) for r in ("bull_high_vol", "bear_low_vol") for m in ("momentum", "reversal", "flat")]
+
+
+@query(
+    "regime_weighted_forecasts", "M-14 J-9",
+    f"""SELECT p.symbol, p.time, any_value(g.regime) AS regime, sum(m.weight * p.y_pred) / sum(m.weight) AS y_pred, count(*) AS n_models FROM predictions p
+        JOIN (SELECT t.time, r.regime FROM (SELECT DISTINCT time FROM predictions) t ASOF JOIN (SELECT time, regime FROM ({_regime_smooth})) r ON t.time >= r.time) g ON g.time = p.time
+        JOIN (VALUES {", ".join(f"('{r}', '{m}', {v})" for r, m, v in _m_rows)}) m(regime, model, weight) ON m.regime = g.regime AND m.model = p.model GROUP BY p.symbol, p.time""",
+    ["macro", "predictions"], ["time"], {"y_pred": 9}, ["symbol", "regime", "n_models"],
+)
+def _(i: Inputs) -> DataFrame:
+    third = dict.fromkeys(("momentum", "reversal", "flat"), 1 / 3)
+    table = _MEMBERS | {"bull_high_vol": third, "bear_low_vol": third}
+    return regime.weighted_forecasts(i.predictions(), regimes(i), table)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -9,10 +11,11 @@ from pyspark.sql import functions as F
 
 from barloom.operators import features as ft
 from barloom.operators import forecast as fc
-from barloom.operators import arma, hidden_markov, learn, metrics, splits
+from barloom.operators import arma, folds, garch, hidden_markov, learn, metrics, shapley, splits, trials
 from barloom.plans.catalog_indicators import full, lag
 from barloom.plans.fixtures import WEEK, Inputs
 from barloom.plans.registry import query
+from barloom.sources.staging import shared_folder
 
 _lags = f"SELECT *, {lag('lr', 1)} AS lr1 FROM rbars"
 _train = f"""SELECT *, floor(max(rn) OVER (PARTITION BY symbol) * 0.8) AS cut FROM ({_lags})"""
@@ -110,7 +113,7 @@ def _(i: Inputs) -> DataFrame:
     return arma.residual_white_noise(i.panel(), arma.as_arma(ar1(i)), 1)
 
 
-_A, _B = (0.05, 0.1, 0.2), (0.6, 0.75, 0.85)
+_A, _B = (0.03, 0.06, 0.1, 0.15, 0.2), (0.6, 0.7, 0.8, 0.85, 0.9)
 _garch = f"""WITH RECURSIVE st AS (SELECT symbol, regr_slope(lr, lr1) AS phi, regr_intercept(lr, lr1) AS c FROM ({_lags}) GROUP BY symbol),
   e AS (SELECT l.symbol, l.rn - 1 AS rn, l.lr - st.c - st.phi * coalesce(l.lr1, 0) AS e FROM ({_lags}) l JOIN st USING (symbol) WHERE l.lr IS NOT NULL),
   v AS (SELECT symbol, avg(e * e) AS v FROM e GROUP BY symbol),
@@ -127,7 +130,12 @@ _garch = f"""WITH RECURSIVE st AS (SELECT symbol, regr_slope(lr, lr1) AS phi, re
     ["rbars"], (), {"alpha": 6, "beta": 6, "persistence": 6, "phi": 6, "loglik": 4, "aic": 4, "bic": 4, "last_variance": 6}, ["symbol", "n"],
 )
 def _(i: Inputs) -> DataFrame:
-    return fc.garch_grid(i.panel(), _A, _B)
+    return fc.garch_grid(i.panel())
+
+
+@query("garch_likelihood", "M-12", None)
+def _(i: Inputs) -> DataFrame:
+    return garch.garch(i.panel())
 
 
 @query(
@@ -270,7 +278,7 @@ def learning_rows(i: Inputs) -> DataFrame:
 
 def fitted(i: Inputs) -> tuple[DataFrame, list[str], dict]:
     d = learn.assemble(learning_rows(i), FEATURES)
-    models = learn.fit_members(d, "target_1", trees=8, depth=3)
+    models = learn.fit_members(d, "target_1")
     wide = learn.predict_members(d, models, ["symbol", "time", "rn", "split", "target_1"])
     return wide, list(models), models
 
@@ -298,20 +306,54 @@ def _(i: Inputs) -> DataFrame:
     return learn.permutation_importance(d.where("split = 'test'"), model, FEATURES, "target_1", ["symbol", "time"])
 
 
-@query("parameter_search", "M-9", None)
+@query("tree_contributions", "M-8 K-5", None)
 def _(i: Inputs) -> DataFrame:
-    return learn.search(learn.assemble(learning_rows(i), FEATURES), "target_1", [2, 3], [0.1, 0.3], trees=4)
+    """Mean absolute Shapley values of the boosted trees over the test rows."""
+    d = learning_rows(i)
+    models = fitted(i)[2]
+    return shapley.mean_importance(d.where("split = 'test'"), models["boosted"], FEATURES)
 
 
-@query("walk_forward_fitted", "M-4 X-1", None)
+@query("parameter_search", "M-9", None)
 def _(i: Inputs) -> DataFrame:
-    d = learn.assemble(learning_rows(i), FEATURES)
+    """Fifty trials; the table stays in the shared folder of the session, so asking again fits nothing anew."""
+    path = f"{shared_folder(i.spark)}/barloom/trials-{uuid.uuid5(uuid.NAMESPACE_URL, i.dir).hex}-{i.spark.sparkContext.applicationId}"
+    return trials.search(learn.assemble(learning_rows(i), FEATURES), "target_1", path)
+
+
+def fold_plan(i: Inputs) -> tuple[DataFrame, DataFrame]:
     axis = splits.time_axis(i.bars())
-    folds = splits.walk_forward_folds(axis, 150, 63)
-    p = learn.walk_forward_predictions(d, axis, folds, "target_1", lambda: LinearRegression(labelCol="target_1", regParam=0.01), ["symbol", "time", "target_1"])
+    return axis, splits.walk_forward_folds(axis, 150, 63)
+
+
+@query("walk_forward_fitted", "M-4 M-5 X-1", None)
+def _(i: Inputs) -> DataFrame:
+    """A ridge line of eight features for every fold, and its errors on the fold's test rows."""
+    axis, plan = fold_plan(i)
+    p = folds.fold_forecasts(learning_rows(i), axis, plan, "target_1", FEATURES, ["symbol", "time", "target_1"])
     return metrics.prediction_metrics(p.withColumn("y_true", F.col("target_1")), ["fold"])
 
 
+_one = f"""WITH x AS (SELECT symbol, time, {lag('close', -1)} / close - 1 AS y, close / c1 - 1 AS x FROM rbars),
+  axis AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS t, count(*) OVER () AS n FROM (SELECT DISTINCT time FROM bars)),
+  f AS (SELECT k AS fold, 150 + k * 63 AS test_start, 150 + k * 63 - 1 AS train_end FROM (SELECT max(n) AS n FROM axis) m, unnest(range(CAST(floor((m.n - 213) / 63) AS BIGINT) + 1)) AS u(k)),
+  r AS (SELECT x.*, axis.t FROM x JOIN axis ON axis.time = x.time WHERE x IS NOT NULL),
+  l AS (SELECT fold, count(*) AS n_train, covar_pop(y, x) / (var_pop(x) * 1.01) AS slope, avg(y) AS my, avg(x) AS mx FROM r JOIN f ON t < train_end WHERE y IS NOT NULL GROUP BY fold)"""
+
+
+@query(
+    "walk_forward_one_feature", "M-4 X-1",
+    _one + """ SELECT r.symbol, r.time, f.fold, l.my + l.slope * (r.x - l.mx) AS y_pred, l.n_train FROM r JOIN f ON r.t >= f.test_start AND r.t < f.test_start + 63 JOIN l ON l.fold = f.fold""",
+    ["rbars"], ["time"], {"y_pred": 9}, ["symbol", "fold", "n_train"],
+)
+def _(i: Inputs) -> DataFrame:
+    """The next return by the last one, fitted for each fold."""
+    axis, plan = fold_plan(i)
+    f = ft.build_features(i.panel(), ["price_action", "targets"], keep=["symbol", "time", "rn"]).select("symbol", "time", "target_1", "return_1d")
+    p = folds.fold_forecasts(f, axis, plan, "target_1", ["return_1d"], ["symbol", "time"])
+    return p.join(folds.fold_lines(f, axis, plan, "target_1", ["return_1d"]).select("fold", "n_train"), "fold")
+
+
 def _load_linear():
     weights = np.array([0.5, -0.1])
     return lambda x: x @ weights + 0.01

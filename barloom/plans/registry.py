@@ -74,6 +74,11 @@ def query(
     return add
 
 
+def registered() -> dict[str, Query]:
+    """The queries of the catalogues imported so far."""
+    return _QUERIES
+
+
 def all_queries() -> dict[str, Query]:
     from importlib import import_module
 

@@ -154,6 +154,27 @@ def column_stats(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("
     return df.groupBy(*keys).agg(*aggs).select(*keys, F.col("__n").alias("rows"), F.inline(F.array(*packed)))
 
 
+def store_summary(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("symbol",), time: str = "time") -> DataFrame:
+    """(keys, rows, first_time, last_time, n_columns, null_share) of a feature table."""
+    nulls = F.lit(0)
+    for c in columns:
+        nulls = nulls + F.col(c).isNull().cast("int")
+    n = len(columns)
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(time).alias("first_time"), F.max(time).alias("last_time"), F.lit(n).cast("long").alias("n_columns"),
+        (F.sum(nulls) / (F.count(F.lit(1)) * n)).alias("null_share"),
+    )
+
+
+def drift(online: DataFrame, views: DataFrame) -> DataFrame:
+    """(symbol, view, missing, extra, match_rate, n_found): the features that each stored vector has against its view's list."""
+    named = views.select(F.col("name").alias("view"), F.col("features").alias("__want"))
+    have = F.map_keys(F.map_filter(F.from_json("features", "map<string, double>"), lambda _, v: v.isNotNull()))
+    d = online.select("symbol", "view", have.alias("__have")).join(named, "view")
+    m = match_features(F.col("__have"), F.col("__want"))
+    return d.select("symbol", "view", *[c.alias(n) for n, c in m.items()], F.array_size(F.array_intersect("__want", "__have")).alias("n_found"))
+
+
 def materialize(
     features: DataFrame, symbol_codes: DataFrame, columns: Sequence[str], period: str, minimum: int = 30
 ) -> DataFrame:
