@@ -40,12 +40,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm.common import Hashes, bit_table, gram_hashes, has_bit, hashed_words, mixed, slices, staged, tabulated
 from barloom.llm.components import components
 
 WIDTH = 5
-ROUTES = 1
 #: Size of the table that orders shingles by rarity: 1 MB where it is sent, whatever the data. The more shingles share a
 #: slot, the less it tells passages of tens of documents from unique ones, and the more shingles stay open in step 3.
 SLOTS = 1 << 20
@@ -115,36 +115,33 @@ def point(names: np.ndarray) -> np.ndarray:
     return np.bincount((names & np.uint64(g - 1)).astype(np.int64), minlength=g).astype(np.uint16)
 
 
+def prefix_of(n: int) -> int:
+    """Rarest shingles of a set of ``n`` of which it shares one with any set that links: those two share 3/4 of the larger one."""
+    return n - (3 * n + 3) // 4 + 1
+
+
 def class_rows(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """``doc_id, n, sig, routes, prefix, point`` of every row; sig and the rest are null or empty without words."""
+    """``doc_id, n, sig, route, prefix, point`` of every row; sig and the rest are null or empty without words."""
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
-    longs = pa.list_(pa.int64())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch, texts in slices(batches):
             names, begins = sets(texts, hashes, sent.value)
             size = np.diff(begins)
-            full = np.flatnonzero(size)
-            prefix = size - (3 * size + 3) // 4 + 1
-            rare = np.arange(len(names)) - np.repeat(begins[:-1], size) < np.repeat(prefix, size)
-            starts = np.cumsum(np.concatenate([[0], prefix[full][:-1]])).astype(np.int64)
-            keys = names[rare]
-            routes = np.stack([np.minimum.reduceat(mixed(keys ^ np.uint64(k * 0x51ED270B7F4A7C15 & (1 << 64) - 1)), starts) for k in range(1, ROUTES + 1)], 1) if len(full) else None
-            out: dict[str, list] = {"sig": [None] * len(texts), "routes": [None] * len(texts), "prefix": [None] * len(texts), "point": [None] * len(texts)}
-            for k, i in enumerate(full):
+            out: dict[str, list] = {c: [None] * len(texts) for c in ("sig", "route", "prefix", "point")}
+            for i in np.flatnonzero(size):
                 own = names[begins[i] : begins[i + 1]]
-                out["sig"][i] = signature(own)
-                out["routes"][i] = routes[k].view(np.int64)
-                out["prefix"][i] = packed(own[: prefix[i]])
-                out["point"][i] = zlib.compress(point(own).tobytes(), 1)
+                rare = own[: prefix_of(len(own))]
+                out["sig"][i], out["route"][i] = signature(own), route_of(rare)
+                out["prefix"][i], out["point"][i] = packed(rare), zlib.compress(point(own).tobytes(), 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), pa.array(out["sig"], pa.int64()), pa.array(out["routes"], longs), pa.array(out["prefix"], pa.binary()), pa.array(out["point"], pa.binary())],
-                ["doc_id", "n", "sig", "routes", "prefix", "point"],
+                [batch.column("doc_id"), pa.array(size), pa.array(out["sig"], pa.int64()), pa.array(out["route"], pa.int64()), pa.array(out["prefix"], pa.binary()), pa.array(out["point"], pa.binary())],
+                ["doc_id", "n", "sig", "route", "prefix", "point"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(task, "doc_id long, n long, sig long, routes array<long>, prefix binary, point binary")
+    return rows.mapInArrow(task, "doc_id long, n long, sig long, route long, prefix binary, point binary")
 
 
 def packed(names: np.ndarray) -> bytes:
@@ -158,15 +155,32 @@ def unpacked(data: bytes) -> np.ndarray:
     return wide.view("<i8").ravel()
 
 
+def shipped(names: np.ndarray) -> bytes:
+    """A set in seven bytes a shingle: the rank in the upper byte follows from the hash."""
+    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def received(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 7, 8), np.uint8)
+    wide[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
+    return wide.view("<u8").ravel()
+
+
 def signature(names: np.ndarray) -> int:
     h = xxhash.xxh3_64_intdigest(names.tobytes())
     return h - (1 << 64) if h >> 63 else h
 
 
-def exact_sets(docs: DataFrame, ranks: np.ndarray, wanted: DataFrame) -> DataFrame:
-    """The rows of ``wanted`` (``sig, node`` and others) with ``names``, from the text of the document ``node``."""
+def route_of(keys: np.ndarray) -> int:
+    """The tree that a class goes to: the least of its rarest shingles in another order."""
+    least = mixed(keys ^ np.uint64(0x51ED270B7F4A7C15)).min()
+    return int(least.view(np.int64))
+
+
+def node_sets(docs: DataFrame, ranks: np.ndarray, wanted: np.ndarray) -> DataFrame:
+    """``sig, node, route, names`` of the documents whose id (``node``) has a bit in ``wanted``."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((ranks, bit_table(wanted, "node")))
+    sent = spark.sparkContext.broadcast((ranks, wanted))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (rank, bits) = Hashes(), sent.value
@@ -175,13 +189,23 @@ def exact_sets(docs: DataFrame, ranks: np.ndarray, wanted: DataFrame) -> DataFra
             for batch, texts in slices(iter([near])):
                 names, begins = sets(texts, hashes, rank)
                 own = [names[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
+                full = np.flatnonzero([len(x) for x in own])
+                own = [own[i] for i in full]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([signature(x) for x in own], pa.int64()), batch.column("doc_id"), pa.array([x.tobytes() for x in own], pa.binary())],
-                    ["sig", "node", "names"],
-                )
+                    [
+                        pa.array([signature(x) for x in own], pa.int64()), batch.column("doc_id").take(pa.array(full)),
+                        pa.array([route_of(x[: prefix_of(len(x))]) for x in own], pa.int64()), pa.array([shipped(x) for x in own], pa.binary()),
+                    ],
+                    ["sig", "node", "route", "names"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    return rows.mapInArrow(task, "sig long, node long, names binary").join(wanted, ["sig", "node"])
+    return rows.mapInArrow(task, "sig long, node long, route long, names binary")
+
+
+def exact_sets(docs: DataFrame, ranks: np.ndarray, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (``sig, node`` and others) with ``names``, from the text of the document ``node``."""
+    return node_sets(docs, ranks, bit_table(wanted, "node")).drop("route").join(wanted, ["sig", "node"])
 
 
 class RTree:
@@ -251,9 +275,10 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 def links_of_block(block: pa.Table) -> pa.Table:
     """Edges that connect what links in a block (``sig, node, comp, side, low, high, names``); connected members aren't
     compared. In a block of two sides only members of different sides are."""
-    first = np.unique(np.asarray(block.column("sig")), return_index=True)[1]
+    order = np.lexsort((np.asarray(block.column("node")), np.asarray(block.column("sig"))))  # a class counts with its least document
+    first = order[np.unique(np.asarray(block.column("sig"))[order], return_index=True)[1]]
     node, comp, side = (np.asarray(block.column(c))[first] for c in ("node", "comp", "side"))
-    names = [np.frombuffer(block.column("names")[int(i)].as_py(), np.uint64) for i in first]
+    names = [received(block.column("names")[int(i)].as_py()) for i in first]
     sizes = np.array([len(x) for x in names], np.int64)
     points = [point(x) for x in names]
     edges: list[tuple[int, int]] = []
@@ -313,23 +338,35 @@ def cut(rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
 
 
 def cheap_links(docs: DataFrame, ranks: np.ndarray, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    routed = rows.filter("sig is not null and doc_id is not null").select("sig", F.explode("routes").alias("route")).distinct()
-    shared = routed.groupBy("route").count().filter("count > 1")
-    placed = routed.join(shared, "route").withColumn("chunk", F.expr(f"pmod(xxhash64(sig, route), cast(ceil(count / {BLOCK}) as long))")).join(classes, "sig")
-    placed = staged(placed.select("route", "chunk", "sig", "node"), "routes")
-    whole = exact_sets(docs, ranks, placed).withColumn("comp", F.col("node")).withColumns({c: F.lit(0) for c in ("side", "low", "high")})
+    """Links of classes that one tree holds. A class's documents all pass if one does, so its least one is its node."""
+    routed = rows.filter("sig is not null and doc_id is not null").select("sig", "route").distinct()
+    shared = staged(routed.groupBy("route").count().filter("count > 1"), "routes")
+    nodes = routed.join(shared, "route").join(classes, "sig").select("node")
+    large = shared.filter(F.col("count") > BLOCK).select("route", F.expr(f"cast(ceil(count / {BLOCK}) as long)").alias("chunks"))
+    names = node_sets(docs, ranks, bit_table(nodes, "node")).join(large, "route", "left")
+    whole = names.withColumn("chunk", F.expr("pmod(xxhash64(sig, route), coalesce(chunks, 1))")).drop("chunks")
+    whole = whole.withColumn("comp", F.col("node")).withColumns({c: F.lit(0) for c in ("side", "low", "high")})
     return whole.groupBy("route", "chunk").applyInArrow(links_of_block, "a long, b long")
 
 
-def only_nodes(rows: DataFrame, nodes: np.ndarray) -> DataFrame:
-    """``doc_id, sig, n, prefix`` of the rows whose id has a bit in ``nodes``."""
-    sent = rows.sparkSession.sparkContext.broadcast(nodes)
+def prefixes_of(known: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """``node, comp, n, prefix`` of each class. Only rows of classes with several documents, or of a component, meet the tables of
+    classes and components; any other row is its class's only one and a component by itself."""
+    spark = known.sparkSession
+    sent = spark.sparkContext.broadcast((bit_table(classes.filter("copies > 1"), "sig"), bit_table(comps, "node")))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        several, joined = sent.value
         for batch in batches:
-            yield batch.filter(pa.array(has_bit(sent.value, np.asarray(batch.column("doc_id"), np.int64))))
+            alone = ~(has_bit(several, np.asarray(batch.column("sig"), np.int64)) | has_bit(joined, np.asarray(batch.column("doc_id"), np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(alone)], [*batch.schema.names, "alone"])
 
-    return rows.select("doc_id", "sig", "n", "prefix").mapInArrow(task, "doc_id long, sig long, n long, prefix binary")
+    rows = known.select("doc_id", "sig", "n", "prefix").mapInArrow(task, "doc_id long, sig long, n long, prefix binary, alone boolean")
+    rows = staged(rows, "prefixes", ("alone",))
+    nodes = classes.join(comps, "node", "left").select(F.col("node").alias("doc_id"), "sig", F.coalesce("component", "node").alias("comp"))
+    some = rows.filter("not alone").join(nodes, ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"])
+    some = staged(some.select(F.col("doc_id").alias("node"), "comp", "n", "prefix"), "joined")
+    return rows.filter("alone").select(F.col("doc_id").alias("node"), F.col("doc_id").alias("comp"), "n", "prefix").union(some)
 
 
 def lead_of(n: int) -> int:
@@ -379,8 +416,8 @@ def met_in_tokens(rows: DataFrame, wanted: np.ndarray | None = None) -> DataFram
 def clusters_of(met: DataFrame, shapes: DataFrame) -> DataFrame:
     """``comp, cluster``: components that may link, as far as shared tokens and the bound of their points can tell, are in
     one cluster. A spanning set of edges is enough, so a block gives fewer edges than it has members."""
-    # tokens with the same members give the same edges, so one of them is enough
-    members = [F.count("*").alias("count"), F.expr("bit_xor(xxhash64(node, lead))").alias("x"), F.expr("bit_xor(xxhash64(node, lead, 1))").alias("y")]
+    # tokens with the same members give the same edges, so one of them is enough; a node may stand twice, hence a sum too
+    members = [F.count("*").alias("count"), F.expr("bit_xor(xxhash64(node, lead))").alias("x"), F.expr("sum(shiftrightunsigned(xxhash64(node, lead, 1), 36))").alias("y")]
     open_ = met.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), F.max("lead").alias("led"), *members)
     open_ = staged(open_.filter("one <> other and led").groupBy("count", "x", "y").agg(F.min("token").alias("token")), "open")
     placed = staged(cut(met, open_, "token"), "blocks")
@@ -409,7 +446,7 @@ def linked_classes(docs: DataFrame) -> tuple[np.ndarray, DataFrame, DataFrame, D
     ranks = shingle_ranks(docs)
     rows = staged(class_rows(docs, ranks), "sets")
     known = rows.filter("sig is not null and doc_id is not null")
-    classes = staged(known.groupBy("sig").agg(F.min("doc_id").alias("node")), "classes")
+    classes = staged(known.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
     # texts of one id are one node
     several = known.select("doc_id", "sig").distinct().join(known.groupBy("doc_id").agg(F.min("sig").alias("one"), F.max("sig").alias("other")).filter("one <> other"), "doc_id")
     edges = several.join(classes, "sig").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -417,9 +454,7 @@ def linked_classes(docs: DataFrame) -> tuple[np.ndarray, DataFrame, DataFrame, D
     comps = components(edges)
 
     # shingles that classes of several components must share
-    nodes = classes.join(comps, "node", "left").select(F.col("node").alias("doc_id"), "sig", F.coalesce("component", "node").alias("comp"))
-    prefixes = only_nodes(known, bit_table(classes, "node")).join(nodes, ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"])
-    prefixes = staged(prefixes.select(F.col("doc_id").alias("node"), "comp", "n", "prefix"), "prefixes")
+    prefixes = prefixes_of(known, classes, comps)
     many = met_in_tokens(prefixes).groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), F.max("lead").alias("led"))
     met = staged(met_in_tokens(prefixes, bit_table(many.filter("one <> other and led"), "token")), "tokens")
     clusters = clusters_of(met, known.select(F.col("doc_id").alias("node"), "n", "point"))
@@ -447,7 +482,7 @@ def counts_of_block(block: pa.Table) -> pa.Table:
     of two sides only members of different sides are compared."""
     sig, first = np.unique(np.asarray(block.column("sig")), return_index=True)
     side, single, several = (np.asarray(block.column(c))[first] for c in ("side", "single", "mixed"))
-    names = [np.frombuffer(block.column("names")[int(i)].as_py(), np.uint64) for i in first]
+    names = [received(block.column("names")[int(i)].as_py()) for i in first]
     sizes = np.array([len(x) for x in names], np.int64)
     owner = np.repeat(np.arange(len(names)), sizes)
     flat = np.unique(np.concatenate(names), return_inverse=True)[1].ravel()
@@ -514,15 +549,24 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     return every.select("doc_id", "n_shingles", "component_id", n_links.alias("n_links"))
 
 
+def orderable(t: T.DataType) -> bool:
+    if isinstance(t, T.ArrayType):
+        return orderable(t.elementType)
+    if isinstance(t, T.StructType):
+        return all(orderable(f.dataType) for f in t.fields)
+    return not isinstance(t, (T.MapType, T.VariantType))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, without those of a ``doc_id`` that isn't the smallest of its
     component. Rows without an id stay. Of rows that share an id, one stays: the first by text, then by all columns that
-    can be ordered."""
+    can be ordered (a map can't)."""
     found = jaccard_components(docs)
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
     left = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
     again = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__id"))
     single = left.join(again, left["doc_id"] == again["__id"], "left_anti")
     several = left.join(again, left["doc_id"] == again["__id"], "left_semi")
-    firsts = several.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("__text"), *docs.columns)).alias("__row")).select("__row.*").drop("__text")
+    order = F.struct(F.coalesce("text", F.lit("")).alias("__text"), *[f.name for f in docs.schema if orderable(f.dataType)])
+    firsts = several.groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(F.struct(*docs.columns), order).alias("__row")).select("__row.*")
     return single.unionByName(firsts)
