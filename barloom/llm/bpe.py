@@ -11,6 +11,7 @@ ones are merged together as rows of one array of trees.
 
 Defined results: null and empty texts have no tokens and decode to nothing; repeated rows repeat; an empty table gives an
 empty result. Only ``doc_id`` and ``text`` are read. Nothing is shuffled.
+Bytes of a text that are no UTF-8 count as the replacement character U+FFFD.
 """
 
 from __future__ import annotations
@@ -231,7 +232,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(path, pattern)
         for batch, texts in slices(batches):
-            ids = [[int(i) for i in x.split()] for x in coder.encode_all([t.decode() for t in texts])]
+            ids = [[int(i) for i in x.split()] for x in coder.encode_all([t.decode("utf-8", "replace") for t in texts])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
 
     return kept.mapInArrow(task, kept.withColumn("ids", F.lit(None).cast("array<int>")).schema)
@@ -256,7 +257,7 @@ def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(path, pattern)
         for batch, texts in slices(batches):
-            ids = coder.encode_all([t.decode() for t in texts])
+            ids = coder.encode_all([t.decode("utf-8", "replace") for t in texts])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
