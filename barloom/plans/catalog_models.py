@@ -14,7 +14,7 @@ from barloom.operators import forecast as fc
 from barloom.operators import arma, folds, garch, hidden_markov, learn, metrics, shapley, splits, trials
 from barloom.plans.catalog_indicators import full, lag
 from barloom.plans.fixtures import WEEK, Inputs
-from barloom.plans.registry import query
+from barloom.plans.registry import query, registered
 from barloom.sources.staging import shared_folder
 
 _lags = f"SELECT *, {lag('lr', 1)} AS lr1 FROM rbars"
@@ -185,16 +185,22 @@ _inputs = f"""SELECT symbol, time, rn, coalesce({full('lr0', 5, 'sum')}, 0) AS r
    greatest(0.1, least(10, coalesce(({full('volume', 5, 'avg')}) / ({full('volume', 20, 'avg')}), 1))) AS vol_ratio FROM ({_lr0})"""
 
 
-@query("regime_model_inputs", "W-REC-8", _inputs, ["rbars"], ["time"], ["ret5", "vol20", "vol_ratio"], ["symbol"])
+_inputs = f"""SELECT i.*, greatest(-1, least(1, (coalesce(r.rsi_14, 50) - 50) / 50)) AS rsi_norm, coalesce(a.atr_14 / b.close, 0) AS atr_ratio FROM ({_inputs}) i
+   JOIN rbars b ON b.symbol = i.symbol AND b.time = i.time LEFT JOIN ({registered()["features_rsi"].sql}) r ON r.symbol = i.symbol AND r.time = i.time
+   LEFT JOIN ({registered()["features_average_true_range"].sql}) a ON a.symbol = i.symbol AND a.time = i.time"""
+
+
+@query("regime_model_inputs", "W-REC-8", _inputs, ["rbars"], ["time"], ["ret5", "vol20", "vol_ratio", "rsi_norm", "atr_ratio"], ["symbol"])
 def _(i: Inputs) -> DataFrame:
     return regime_rows(i)
 
 
 @query(
     "regime_window_stats", "A-29",
-    f"""SELECT symbol, arg_max(ret5, rn) AS return_5bar, avg(vol20) AS volatility_20, arg_max(vol_ratio, rn) AS volume_ratio FROM (
+    f"""SELECT symbol, arg_max(ret5, rn) AS return_5bar, avg(vol20) AS volatility_20, arg_max(vol_ratio, rn) AS volume_ratio,
+        arg_max(rsi_norm, rn) * 50 + 50 AS rsi, arg_max(atr_ratio, rn) AS atr_pct FROM (
         SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS k FROM ({_inputs})) WHERE k <= 20 GROUP BY symbol""",
-    ["rbars"], (), ["return_5bar", "volatility_20", "volume_ratio"], ["symbol"],
+    ["rbars"], (), ["return_5bar", "volatility_20", "volume_ratio", "rsi", "atr_pct"], ["symbol"],
 )
 def _(i: Inputs) -> DataFrame:
     return learn.current_window_stats(regime_rows(i))

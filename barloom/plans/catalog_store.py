@@ -283,20 +283,20 @@ def _(i: Inputs) -> DataFrame:
     "manifest_resolution", "J-10 J-11",
     f"""SELECT id, symbol, horizon, CASE WHEN id % 11 = 0 THEN 'CRYPTO_UNIVERSAL' WHEN horizon >= 20 AND id % 11 <> 0 THEN 'EQUITY_H20'
          WHEN sector IN (SELECT 'S' || k FROM (VALUES ('1'), ('2')) v(k)) THEN 'SECTOR_' || sector ELSE 'UNIVERSAL' END AS resolved,
-         CASE WHEN id % 11 = 0 THEN NULL ELSE 'UNIVERSAL/2' END AS deep
+         CASE WHEN id % 11 = 0 THEN NULL ELSE 'UNIVERSAL/' || (SELECT max(version) FROM ({_slices})) END AS deep
         FROM (SELECT id, CASE WHEN id % 11 = 0 THEN 'BTC-USD' ELSE symbol END AS symbol, horizon FROM requests) r LEFT JOIN sector USING (symbol)""",
-    ["requests", "sector"], (), (), ["id", "symbol", "horizon", "resolved", "deep"],
+    ["requests", "sector", "predictions"], (), (), ["id", "symbol", "horizon", "resolved", "deep"],
 )
 def _(i: Inputs) -> DataFrame:
     r = i.requests().select("id", F.when(F.col("id") % 11 == 0, "BTC-USD").otherwise(F.col("symbol")).alias("symbol"), "horizon")
     r = r.join(i.sector(), "symbol", "left")
     no = F.lit(False)
     have = i.spark.createDataFrame([(n,) for n in ("CRYPTO_UNIVERSAL", "EQUITY_H20", "SECTOR_S1", "SECTOR_S2", "UNIVERSAL")], "name string")
-    deep = i.spark.createDataFrame([("UNIVERSAL/2",), ("UNIVERSAL/1",)], "name string")
+    deep = backtests(i).select(F.lit("UNIVERSAL").alias("name"), "version")
     c = rg.manifest_candidates(F.col("symbol"), F.col("horizon"), F.col("sector"), no)
     out = rg.resolve(r, c, have)
     out = out.select("id", "symbol", "horizon", "resolved")
-    d = rg.resolve(r.select("id", "symbol"), rg.deep_candidates(F.col("symbol"), no), deep)
+    d = rg.resolve_newest(r.select("id", "symbol"), rg.deep_candidates(F.col("symbol"), no), deep)
     return out.join(d.select("id", F.col("resolved").alias("deep")), "id")
 
 

@@ -108,11 +108,15 @@ def manifest_candidates(symbol: Column, horizon: Column, sector: Column, crypto:
 
 
 def deep_candidates(symbol: Column, crypto: Column) -> Column:
-    """Ordered (name/version) fallbacks of the sequence models, newest first."""
+    """Ordered fallbacks of the sequence models."""
+    coin, stock = F.array(F.lit("CRYPTO_UNIVERSAL")), F.array(F.lit("EQUITY_UNIVERSAL"), F.lit("UNIVERSAL"))
+    return F.when(crypto | F.upper(symbol).endswith("-USD"), coin).otherwise(stock)
 
-    def entries(*names: str) -> Column:
-        return F.array(*[F.lit(n) for n in names])
 
-    coin = entries("CRYPTO_UNIVERSAL/3", "CRYPTO_UNIVERSAL/2", "CRYPTO_UNIVERSAL/1")
-    stock = entries("EQUITY_UNIVERSAL/3", "EQUITY_UNIVERSAL/2", "UNIVERSAL/3", "UNIVERSAL/2", "UNIVERSAL/1")
-    return F.when(crypto | F.upper(symbol).endswith("-USD"), coin).otherwise(stock)
+def resolve_newest(requests: DataFrame, candidates: Column, available: DataFrame) -> DataFrame:
+    """First candidate that the registry (``name, version``) has, in its newest version, as ``name/version``."""
+    newest = available.groupBy("name").agg(F.max("version").alias("__v"))
+    found = resolve(requests, candidates, newest.select("name")).join(newest.withColumnRenamed("name", "resolved"), "resolved", "left")
+    return found.select(*requests.columns, F.concat_ws("/", "resolved", F.col("__v").cast("string")).alias("__r")).select(
+        *requests.columns, F.nullif("__r", F.lit("")).alias("resolved")
+    )
