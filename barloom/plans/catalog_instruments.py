@@ -223,13 +223,23 @@ def _(i: Inputs) -> DataFrame:
     return pl.statement_long(wide, ["symbol"], "metric", dates, "income", "yearly")
 
 
+_texts, _numbers = list(pl.PROFILE_TEXTS), list(pl.PROFILE_NUMBERS)
+
+
+def _held(k: int) -> str:
+    """Every profile lacks some fields: field ``k`` where ``n`` divides by ``k % 7 + 2``."""
+    return f"n % {k % 7 + 2} <> 0"
+
+
 @query(
     "company_profiles", "P-26 F-15 K-12 K-13 F-10",
-    """SELECT symbol, CASE WHEN n % 2 = 0 THEN symbol || ' Inc' ELSE 'Short ' || symbol END AS name, CAST(units AS DOUBLE) AS volume, 'Chief ' || symbol AS ceo,
-        CAST(DATE '2001-01-01' + CAST(n % 300 + CASE WHEN n % 300 < 100 THEN 200 ELSE 0 END AS INTEGER) AS VARCHAR) AS next_event
-       FROM (SELECT symbol, sum(units) AS units, max(y) + sum(units) AS n FROM brand_years GROUP BY symbol)""",
-    ["brand_years"], (), ["volume"], ["symbol", "name", "ceo", "next_event"],
-)
+    """SELECT symbol, CASE WHEN n % 2 = 0 THEN symbol || ' Inc' ELSE 'Short ' || symbol END AS name, 'Chief ' || symbol AS ceo, substr(repeat(symbol || ' ', 100), 1, 500) AS description,
+        CAST(DATE '2001-01-01' + CAST(n % 300 + CASE WHEN n % 300 < 100 THEN 200 ELSE 0 END AS INTEGER) AS VARCHAR) AS next_event, """
+    + ", ".join(f"CASE WHEN {_held(k)} THEN symbol || ' {f}' END AS {f}" for k, f in enumerate(_texts)) + ", "
+    + ", ".join(f'CASE WHEN {_held(k)} THEN units * {k + 1} / 16 END AS "{f}"' for k, f in enumerate(_numbers))
+    + " FROM (SELECT symbol, sum(units) AS units, max(y) + sum(units) AS n FROM brand_years GROUP BY symbol)",
+    ["brand_years"], (), (), ["symbol", "name", "ceo", "next_event", "description", *_texts, *[f'"{f}"' for f in _numbers]],
+)
 def _(i: Inputs) -> DataFrame:
     g = i.brand_years().groupBy("symbol").agg(F.sum("units").alias("units"), (F.max("y") + F.sum("units")).alias("n"))
     day = F.date_add(F.lit("2001-01-01").cast("date"), (F.col("n") % 300).cast("int"))
@@ -237,37 +247,48 @@ def _(i: Inputs) -> DataFrame:
         F.struct(F.lit("Head of Sales").alias("title"), F.lit("x").alias("name")),
         F.struct(F.lit("President & CEO").alias("title"), F.concat(F.lit("Chief "), "symbol").alias("name")),
     )
+    texts = [F.when(F.expr(_held(k)), F.concat("symbol", F.lit(f" {f}"))).alias(key) for k, (f, key) in enumerate(pl.PROFILE_TEXTS.items())]
+    numbers = [F.when(F.expr(_held(k)), F.col("units") * (k + 1) / 16).cast("string").alias(key) for k, key in enumerate(pl.PROFILE_NUMBERS.values())]
     info = F.to_json(F.struct(
         F.when(F.col("n") % 2 == 0, F.concat("symbol", F.lit(" Inc"))).otherwise("").alias("longName"),
-        F.concat(F.lit("Short "), "symbol").alias("shortName"), F.col("units").cast("string").alias("volume"),
-        officers.alias("officers"), F.array(day, F.date_add(day, 200)).alias("dates"),
+        F.concat(F.lit("Short "), "symbol").alias("shortName"), F.repeat(F.concat("symbol", F.lit(" ")), 100).alias("longBusinessSummary"),
+        officers.alias("officers"), F.array(day, F.date_add(day, 200)).alias("dates"), *texts, *numbers,
     ))
     raw = g.select("symbol", info.alias("info"))
     known = F.from_json("info", "officers array<struct<title: string, name: string>>, dates array<date>")
     return raw.select(
-        "symbol",
-        *pl.profile(F.col("info"), {"name": ["longName", "shortName"], "volume": ["volume"]}, ["volume"]),
+        "symbol", *pl.whole_profile(F.col("info")),
         pl.first_officer(known["officers"], "ceo").alias("ceo"),
         pl.next_event(known["dates"], F.lit(None).cast("date"), F.lit("2001-04-11").cast("date")).cast("string").alias("next_event"),
-    )
+    )
 
 
 @query(
     "full_profiles", "J-17",
-    """SELECT b.symbol, CAST(b.bars AS BIGINT) AS bars, sector, CAST(c.total AS BIGINT) AS open_interest FROM (SELECT symbol, count(*) AS bars FROM bars GROUP BY symbol) b
-       LEFT JOIN sector USING (symbol) LEFT JOIN (SELECT symbol, sum(open_interest) AS total FROM chain WHERE symbol <> 'Brand#9' GROUP BY symbol) c USING (symbol)""",
-    ["bars", "sector", "chain"], (), ["open_interest"], ["symbol", "bars", "sector"],
+    """SELECT b.symbol, CAST(b.bars AS BIGINT) AS overview, CAST(f.units AS BIGINT) AS financials, CAST(g.n AS BIGINT) AS analyst, CAST(h.n AS BIGINT) AS holders,
+        CAST(h.last AS BIGINT) AS insider, CAST(f.y AS BIGINT) AS earnings, CAST(c.total AS BIGINT) AS options, CAST(n.n AS BIGINT) AS news, sector AS esg
+       FROM (SELECT symbol, count(*) AS bars FROM bars GROUP BY symbol) b LEFT JOIN sector USING (symbol)
+       LEFT JOIN (SELECT symbol, sum(units) AS units, max(y) AS y FROM brand_years GROUP BY symbol) f USING (symbol)
+       LEFT JOIN (SELECT symbol, count(*) AS n FROM signals GROUP BY symbol) g USING (symbol)
+       LEFT JOIN (SELECT symbol, count(DISTINCT user_id) AS n, max(id) AS last FROM requests GROUP BY symbol) h USING (symbol)
+       LEFT JOIN (SELECT symbol, sum(open_interest) AS total FROM chain GROUP BY symbol) c USING (symbol)
+       LEFT JOIN (SELECT symbol, count(*) AS n FROM news GROUP BY symbol) n USING (symbol)""",
+    ["bars", "sector", "brand_years", "signals", "requests", "chain", "news"], (), (),
+    ["symbol", "overview", "financials", "analyst", "holders", "insider", "earnings", "options", "news", "esg"],
 )
 def _(i: Inputs) -> DataFrame:
-    chain = i.option_chain().where("symbol <> 'Brand#9'").groupBy("symbol").agg(F.sum("open_interest").alias("total"))
-    counts = i.bars().groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"))
-    full = pl.assemble(i.bars().select("symbol").distinct(), {"history": counts, "sector": i.sector(), "options": chain})
-    return full.select(
-        "symbol",
-        F.get_json_object("history", "$.bars").cast("long").alias("bars"),
-        F.get_json_object("sector", "$.sector").alias("sector"),
-        F.get_json_object("options", "$.total").cast("long").alias("open_interest"),
-    )
+    """All nine sections, each from its own table; a symbol may lack some."""
+    n = F.count(F.lit(1)).alias("v")
+    years, asked = i.brand_years().groupBy("symbol"), i.requests().groupBy("symbol")
+    sections = {
+        "overview": i.bars().groupBy("symbol").agg(n), "financials": years.agg(F.sum("units").alias("v")), "analyst": i.signals().groupBy("symbol").agg(n),
+        "holders": asked.agg(F.count_distinct("user_id").alias("v")), "insider": asked.agg(F.max("id").alias("v")), "earnings": years.agg(F.max("y").alias("v")),
+        "options": i.option_chain().groupBy("symbol").agg(F.sum("open_interest").alias("v")), "news": i.news().groupBy("symbol").agg(n),
+        "esg": i.sector().withColumnRenamed("sector", "v"),
+    }
+    full = pl.assemble(i.bars().select("symbol").distinct(), sections)
+    values = [F.get_json_object(s, "$.v").cast("string" if s == "esg" else "long").alias(s) for s in sections]
+    return full.select("symbol", *values)
 
 
 @query(

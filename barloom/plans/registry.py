@@ -32,7 +32,7 @@ class Query:
         return df.select(
             *[F.unix_seconds(F.col(t).cast("timestamp")).alias(t) for t in self.times],
             *[_rounded(c, d).alias(c) for c, d in self.doubles.items()],
-            *self.plain,
+            *[c.strip('"') for c in self.plain],
         )
 
     def oracle(self) -> str | None:

@@ -83,6 +83,34 @@ def news_rows(payloads: DataFrame, keep: Sequence[str], column: str = "payload")
     return rows.where(F.length("title") > 0)
 
 
+# Fields of a company profile and the keys of the payload that they are read from (fixed values). Texts, then numbers.
+PROFILE_TEXTS = {
+    "sector": "sector", "industry": "industry", "country": "country", "website": "website", "exchange": "exchange", "currency": "currency",
+    "analyst_rating": "recommendationKey",
+}
+PROFILE_NUMBERS = {
+    "employees": "fullTimeEmployees", "market_cap": "marketCap", "enterprise_value": "enterpriseValue", "beta": "beta", "pe_ratio": "trailingPE",
+    "forward_pe": "forwardPE", "peg_ratio": "pegRatio", "price_to_book": "priceToBook", "price_to_sales": "priceToSalesTrailing12Months",
+    "ev_to_ebitda": "enterpriseToEbitda", "ev_to_revenue": "enterpriseToRevenue", "eps": "trailingEps", "forward_eps": "forwardEps",
+    "book_value": "bookValue", "dividend_yield": "dividendYield", "dividend_rate": "dividendRate", "payout_ratio": "payoutRatio",
+    "ex_dividend_date": "exDividendDate", "profit_margin": "profitMargins", "operating_margin": "operatingMargins", "gross_margin": "grossMargins",
+    "roe": "returnOnEquity", "roa": "returnOnAssets", "roic": "returnOnCapital", "debt_to_equity": "debtToEquity", "current_ratio": "currentRatio",
+    "quick_ratio": "quickRatio", "revenue_growth": "revenueGrowth", "earnings_growth": "earningsGrowth",
+    "earnings_quarterly_growth": "earningsQuarterlyGrowth", "free_cashflow": "freeCashflow", "operating_cashflow": "operatingCashflow",
+    "total_revenue": "totalRevenue", "revenue_per_share": "revenuePerShare", "ebitda": "ebitda", "shares_outstanding": "sharesOutstanding",
+    "float_shares": "floatShares", "shares_short": "sharesShort", "short_ratio": "shortRatio", "short_percent_float": "shortPercentOfFloat",
+    "52w_high": "fiftyTwoWeekHigh", "52w_low": "fiftyTwoWeekLow", "50d_avg": "fiftyDayAverage", "200d_avg": "twoHundredDayAverage",
+    "target_mean": "targetMeanPrice", "target_high": "targetHighPrice", "target_low": "targetLowPrice", "num_analysts": "numberOfAnalystOpinions",
+}
+
+
+def whole_profile(info: Column) -> list[Column]:
+    """Every field of a company profile from its payload; the description keeps 500 characters."""
+    aliases = {"name": ["longName", "shortName"]} | {k: [v] for k, v in (PROFILE_TEXTS | PROFILE_NUMBERS).items()}
+    about = F.substring(F.coalesce(F.get_json_object(info, "$.longBusinessSummary"), F.lit("")), 1, 500)
+    return [*profile(info, aliases, list(PROFILE_NUMBERS)), about.alias("description")]
+
+
 def profile(info: Column, aliases: dict[str, Sequence[str]], numbers: Sequence[str] = ()) -> list[Column]:
     """Named scalars from a nested info object; each takes the first alias that is filled."""
     out = []
