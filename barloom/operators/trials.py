@@ -12,12 +12,15 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "trial int, rung int, trees int, params string, rmse double"
+RESULT = "trees int, params string, rmse double"
+SCHEMA = f"{RESULT}, rung int, trial int"
+COLUMNS = ["trial", "rung", "trees", "params", "rmse"]
 
 
 def proposals(trials: int, seed: int = 42) -> list[dict]:
@@ -36,12 +39,11 @@ def proposals(trials: int, seed: int = 42) -> list[dict]:
 def known(spark: SparkSession, path: str) -> DataFrame:
     """The trial table, one row for each trial and rung."""
     try:
-        stored = spark.read.schema(SCHEMA).parquet(path)
-    except Exception as e:  # the table does not exist before the first trial
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.schema(SCHEMA).parquet(path).select(*COLUMNS)
+    except AnalysisException as e:  # the table does not exist before the first trial
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], SCHEMA)
-    return stored.groupBy("trial", "rung").agg(F.max("trees").alias("trees"), F.max("params").alias("params"), F.min("rmse").alias("rmse"))
+        return spark.createDataFrame([], SCHEMA).select(*COLUMNS)
 
 
 def search(
@@ -55,8 +57,9 @@ def search(
 
     def fit(trial: int, rung: int) -> None:
         model = GBTRegressor(labelCol=label, maxIter=rungs[rung], seed=seed, **params[trial]).fit(train)
-        row = (trial, rung, rungs[rung], json.dumps(params[trial], sort_keys=True), float(score.evaluate(model.transform(val))))
-        spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        row = (rungs[rung], json.dumps(params[trial], sort_keys=True), float(score.evaluate(model.transform(val))))
+        # a folder for each fit: writers side by side don't meet, and a repeated fit replaces itself
+        spark.createDataFrame([row], RESULT).coalesce(1).write.mode("overwrite").parquet(f"{path}/rung={rung}/trial={trial}")
 
     alive = list(range(trials))
     try:
