@@ -57,7 +57,9 @@ def windows(items):
 def test_pipeline_stages_equal_plain_python(spark):
     """Each stage on what the stage before kept, a third of the documents, repeated and empty ones among them."""
     given = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id % 3 = 0")
-    extra = spark.createDataFrame([(90_001, None), (90_002, ""), (90_003, "password = hunter2hunter2 and more")], "doc_id long, text string")
+    items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    rows = [(90_001, None), (90_002, ""), (90_003, "password = hunter2hunter2 and more"), (90_004, f"Words before it. {items[0].upper()} And after.")]
+    extra = spark.createDataFrame(rows, "doc_id long, text string")
     docs = given.unionByName(extra, allowMissingColumns=True)
     columns = set(docs.columns)
     by_name = dict(corpus_pipeline.STAGES)
@@ -70,7 +72,6 @@ def test_pipeline_stages_equal_plain_python(spark):
     assert set(after) == {i for i, c in parts.items() if i == c} and len(after) < len(before)
     assert all(after[i] == before[i] for i in after)
 
-    items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     wanted = windows(items)
     clean = {i for i, t in after.items() if not any(tuple(w[k : k + n]) in wanted[n] for w in [item_words(t)] for n in wanted for k in range(len(w) - n + 1))}
     left = by_name["decontamination"](spark, kept, DATA)
