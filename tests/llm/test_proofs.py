@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -101,6 +102,35 @@ def test_pipeline_of_an_empty_table(spark):
         assert stage(spark, none, DATA).count() == 0, name
 
 
+def test_linked_sets_share_a_key_in_which_the_smaller_leads():
+    """Random pairs around the bound, in a random order of rarity: no pair of 75 % similar sets is parted by size bands or leads."""
+    rng = np.random.default_rng(7)
+    linked = 0
+    for _ in range(4000):
+        n = int(rng.integers(1, 130))
+        m = int(n * rng.uniform(0.75, 1.34)) + int(rng.integers(0, 2))
+        shared = min(n, m, int(rng.integers(int(0.8 * min(n, m)), min(n, m) + 1)))
+        pool = rng.integers(0, 1 << 40, n + m)  # all different, but for one case in 10^7
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:shared], pool[n : n + m - shared]]))
+        if not len(b) or 100 * shared < 75 * (len(a) + len(b) - shared):
+            continue
+        linked += 1
+        keys = [ngram_join.token_keys(x[: ngram_join.prefix_of(len(x))], len(x)) for x in (a, b)]
+        leads = [set(k[lead].tolist()) for k, lead in keys]
+        every = [set(k.tolist()) for k, _ in keys]
+        small = int(len(b) < len(a))
+        met = leads[small] & every[1 - small]
+        assert met or len(a) == len(b) and leads[1 - small] & every[small]
+    assert linked > 500
+
+
+def test_shipped_sets_come_back():
+    names = np.random.default_rng(1).integers(0, 1 << 62, 500).astype(np.uint64)
+    back = ngram_join.received(ngram_join.shipped(names))
+    assert (back == (names & np.uint64((1 << 56) - 1))).all()
+    assert len(ngram_join.received(b"")) == 0
+
+
 def test_one_of_each_keeps_columns_that_have_no_order(spark):
     rows = [(1, "one two three four five six", {"a": 1}), (2, "one two three four five six", {"b": 2}), (1, "one two three four five six", None), (3, None, {"c": 3})]
     docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string, int>")
