@@ -8,7 +8,7 @@ A tree over all documents can't be spread, and points of unrelated long texts li
 them. So documents are first routed to trees by shingles that linked pairs must share, which loses no link:
 
 1. *Classes.* Equal sets are one class, whatever the number of copies; its node is its smallest ``doc_id``.
-2. *Cheap links.* Each class goes to a few trees by minima of permuted hashes of its rarest shingles (see 3). A tree with
+2. *Cheap links.* Each class goes to one tree by the minimum of a permuted hash of its rarest shingles (see 3). A tree with
    many classes is cut into chunks of some ``BLOCK``. Classes that are already connected are not compared, so in a large
    group of near copies most members need a few comparisons. Most links are found here; none has to be.
 3. *Clusters.* A set of n shingles that links with another shares one of its n - ceil(0.75 n) + 1 rarest shingles (rare by
