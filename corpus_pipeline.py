@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; ``run`` writes what a stage returns to the shared folder and reads it again
 for the next one, so a lost executor costs at most one stage.
+
+Defined results: null and empty texts pass the stages after the first and have no tokens; of rows that share an id one stays in
+the second stage; rows without an id stay; columns beside those of documents are kept up to the last stage; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
