@@ -12,7 +12,7 @@ opening before every segment is handed down. No task ever sees more than one seg
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -106,16 +106,53 @@ def _walk(g: dict, ttl: int) -> dict:
 def per_group(
     df: DataFrame, by: Sequence[str], order: Sequence[str], step: Callable[[dict], dict], keep: Sequence[str], schema: str
 ) -> DataFrame:
-    """Apply ``step`` to the sorted rows of each group and prepend the group's ``keep`` columns."""
-    keep, order = list(keep), list(order)
+    """Apply ``step`` to the sorted rows of each group and prepend the group's ``keep`` columns.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        found = step({c: pdf[c].to_numpy() for c in pdf.columns})
-        n = len(next(iter(found.values())))
-        return pdf[keep].iloc[np.zeros(n, int)].reset_index(drop=True).assign(**found)
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    Like a grouped map, but many small groups share one Arrow batch: groups are hashed to
+    partitions, sorted there, and cut out of the batches as they stream by.
+    """
+    by, keep = list(by), list(keep)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if held and all(held[-1][k].iloc[-1] == pdf[k].iloc[-1] for k in by):
+                held.append(pdf)  # still the same group: keep collecting its pieces
+                continue
+            held.append(pdf)
+            rows = pd.concat(held, ignore_index=True)
+            edges = starts(rows)
+            yield done(rows.iloc[: edges[-1]], edges[:-1])
+            held = [rows.iloc[edges[-1] :]]
+        if held:
+            rows = pd.concat(held, ignore_index=True)
+            yield done(rows, starts(rows))
+
+    def starts(rows: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(rows), dtype=bool)
+        new[0] = True
+        for k in by:
+            v = rows[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    def done(rows: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        arrays = {c: rows[c].to_numpy() for c in rows.columns}
+        ends = np.append(edges[1:], len(rows))
+        results = [step({c: v[lo:hi] for c, v in arrays.items()}) for lo, hi in zip(edges, ends, strict=True)]
+        if not results:
+            return pd.DataFrame({c: pd.Series(dtype="object") for c in keep})
+        names = list(results[0])
+        sizes = [len(r[names[0]]) for r in results]
+        out = rows[keep].iloc[np.repeat(edges, sizes)].reset_index(drop=True)
+        for n in names:
+            out[n] = np.concatenate([r[n] for r in results])
+        return out
+
+    spread = df.repartition(*by).sortWithinPartitions(*by, *order)
+    return spread.mapInPandas(run, schema)
 
 
 def greedy_windows(

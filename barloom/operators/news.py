@@ -8,29 +8,17 @@ from pyspark.sql import functions as F
 from barloom.functions import text as tx
 
 
-def lexicon_hits(news: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, p, n``: distinct positive and negative words of title and summary, for items that have any.
-
-    Each text is split once; its distinct words meet the lexicon on an equality key, whatever the size of either, and only words that
-    are in it go on. Hits are added up before they move.
-    """
-    found = news.select(key, F.explode(tx.words(F.concat_ws(" ", "title", "summary"))).alias("word"))
-    known = lexicon.groupBy("word").agg(
-        F.max((F.col("polarity") > 0).cast("int")).alias("__p"), F.max((F.col("polarity") < 0).cast("int")).alias("__n")
-    )
-    return found.join(known, "word").groupBy(key).agg(F.sum("__p").cast("int").alias("p"), F.sum("__n").cast("int").alias("n"))
-
-
-def score_news(news: DataFrame, lexicon: DataFrame, categories: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Sentiment and category per item (``key`` is unique), over the whole title and summary."""
-    hits = lexicon_hits(news, lexicon, key)
-    # one row of all categories; the texts themselves go no further than this
+def score_news(news: DataFrame, lexicon: DataFrame, categories: DataFrame) -> DataFrame:
+    """Sentiment and category per item, over the whole title and summary. No shuffle: the lexicon and the categories are
+    constants of the plan. Each text is split once; the generator keeps its counts from being computed for every field."""
+    pos, neg = tx.lexicon_arrays(lexicon)
     entries = tx.category_entries(categories)
     body = F.concat_ws(" ", "title", "summary")
-    d = news.select("*", entries.alias("__e")).select("*", tx.category(body, F.col("__e")).alias("category")).drop("__e")
-    none = F.lit(0)
-    scored = d.join(hits, key, "left").select(*d.columns, tx.sentiment(F.coalesce("p", none), F.coalesce("n", none)).alias("__s"))
-    return scored.select(*d.columns, "__s.*")
+    w = tx.words(body)
+    counts = F.struct(F.size(F.array_intersect(w, pos)).alias("__p"), F.size(F.array_intersect(w, neg)).alias("__n"))
+    d = news.select("*", F.inline(F.array(counts)), entries.alias("__e"))
+    s = d.select("*", tx.category(body, F.col("__e")).alias("category"), tx.sentiment(F.col("__p"), F.col("__n")).alias("__s"))
+    return s.select("*", "__s.*").drop("__s", "__e", "__p", "__n")
 
 
 def sentiment_rollup(scored: DataFrame, key: str = "symbol") -> DataFrame:
