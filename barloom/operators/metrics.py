@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import same_sign, sdiv
+from barloom.functions.numeric import magnitude_bucket, same_sign, sdiv
 from barloom.operators.layout import carry_scan
 from barloom.operators.ranks import quantiles_large_groups, rank_correlation
 
@@ -279,27 +282,25 @@ def bootstrap_rank_correlation(
     """Rank-correlation interval from resampling rows with replacement.
 
     Each row enters a replica k times, k drawn from Poisson(1) by a hash of (row, replica): the
-    distributed form of the bootstrap. Ranks use the counts, so copies are never materialised.
+    distributed form of the bootstrap. A row holds its counts of all replicas as one vector, so neither
+    copies nor replicas are materialised as rows; ranks use the counts.
     """
-    rows = finite_pairs(df, y, p).select(*groups, row, y, p)
-    rep = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicas))).alias("replica"))
-    u = F.shiftrightunsigned(F.xxhash64(*groups, row, "replica"), 11) / float(1 << 53)
-    k, acc, prob = F.lit(0), 0.0, math.exp(-1)
-    for i in range(18):  # what is left of the tail is below the resolution of ``u``
-        acc += prob
-        k = k + (u >= acc).cast("int")
-        prob /= i + 1
-    drawn = rep.withColumn("k", k).where("k > 0")
-    by = [*groups, "replica"]
-    ranked = drawn
-    for c, out in ((y, "ry"), (p, "rp")):
-        ranked = _weighted_rank(ranked, by, c, "k", out)
-    sw, a, b = F.sum("k"), F.col("ry"), F.col("rp")
-    kk = F.col("k")
-    sa, sb = F.sum(kk * a), F.sum(kk * b)
-    cov = F.sum(kk * a * b) - sa * sb / sw
-    va, vb = F.sum(kk * a * a) - sa * sa / sw, F.sum(kk * b * b) - sb * sb / sw
-    ics = ranked.groupBy(*by).agg(F.try_divide(cov, F.sqrt(va * vb)).alias("ic"))
+    g = list(groups)
+    rows = finite_pairs(df, y, p)
+    rows = rows.dropna(subset=g) if g else rows
+    hashes = F.transform(F.sequence(F.lit(1), F.lit(replicas)), lambda r: F.xxhash64(*g, row, r))
+    sides = {"__y": y, "__p": p}
+    wide = rows.select(*g, *[F.col(c).cast("double").alias(n) for n, c in sides.items()], hashes.alias("__k"))
+    names = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wide.schema[: len(g)])
+    drawn = wide.mapInArrow(_poisson_counts(replicas), f"{names}__y double, __p double, __k binary")
+    both = drawn
+    for n in sides:
+        both = both.join(_replica_ranks(drawn, wide, g, n, names, replicas).withColumnRenamed("__r", f"{n}r"), [*g, n])
+    sums = both.select(*g, "__k", "__yr", "__pr").mapInPandas(
+        _replica_products(g, replicas), f"{names}replica int, n long, yy double, pp double, yp double"
+    )
+    total = sums.groupBy(*g, "replica").agg(*[F.sum(c).alias(c) for c in ("n", "yy", "pp", "yp")]).where("n > 0")
+    ics = total.select(*g, F.try_divide("yp", F.sqrt(F.col("yy") * F.col("pp"))).alias("ic"))
     tail = (1 - level) / 2
     return ics.groupBy(*groups).agg(
         F.avg("ic").alias("ic_mean"),
@@ -310,18 +311,91 @@ def bootstrap_rank_correlation(
     )
 
 
-def _weighted_rank(df: DataFrame, groups: Sequence[str], value: str, weight: str, out: str) -> DataFrame:
-    from barloom.functions.numeric import magnitude_bucket
+def _poisson_counts(replicas: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hashes of the last column to Poisson(1) counts, a byte each."""
+    steps, acc, prob = [], 0.0, math.exp(-1)
+    for i in range(18):  # what is left of the tail is below the resolution of ``u``
+        acc += prob
+        steps.append(acc)
+        prob /= i + 1
 
-    g = list(groups)
-    c = df.groupBy(*g, F.col(value).alias("__x")).agg(F.sum(weight).alias("__k")).withColumn("__b", magnitude_bucket("__x"))
-    s = c.groupBy(*g, "__b").agg(F.sum("__k").alias("__n"))
+    def run(batches):
+        for batch in batches:
+            h = batch.column("__k").flatten().to_numpy(zero_copy_only=False).astype("int64").view("uint64")
+            u = (h >> np.uint64(11)) / float(1 << 53)
+            k = np.searchsorted(steps, u, side="right").astype("uint8").reshape(-1, replicas)
+            arrays = [*batch.columns[:-1], pa.array([x.tobytes() for x in k], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+
+    return run
+
+
+def _vectors(column: pd.Series, kind: str, replicas: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=kind).reshape(-1, replicas)
+
+
+def _sums_by(codes: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first row of each code, in the order of the codes, and the sum of its vectors."""
+    order = np.argsort(codes, kind="stable")
+    _, starts = np.unique(codes[order], return_index=True)
+    return order[starts], np.add.reduceat(vectors[order], starts, axis=0, dtype="int64")
+
+
+def _replica_ranks(drawn: DataFrame, wide: DataFrame, g: list[str], value: str, names: str, replicas: int, size: int = 4096) -> DataFrame:
+    """(groups, value, __r): per replica twice the distance of the value's average rank from the mean rank, a vector of longs.
+
+    Equal values collapse before the shuffle. The value axis is cut into magnitude buckets and these into blocks of about
+    ``size`` rows; counts are carried over the blocks, so no task holds a group.
+    """
+    counts = wide.groupBy(*g, magnitude_bucket(value).alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
     line = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.select(*g, "__b", F.coalesce(F.sum("__n").over(line), F.lit(0)).alias("__below"))
-    inside = Window.partitionBy(*g, "__b").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.col("__below") + F.coalesce(F.sum("__k").over(inside), F.lit(0)) + (F.col("__k") + 1) / 2.0
-    ladder = c.join(s, [*g, "__b"]).select(*g, F.col("__x").alias(value), rank.alias(out))
-    return df.join(ladder, [*g, value])
+    blocks = counts.select(*g, "__b", F.floor(F.coalesce(F.sum("__n").over(line), F.lit(0)) / size).alias("__block"))
+
+    def collapse(batches):
+        for pdf in batches:
+            if len(pdf):
+                codes = pdf.groupby([*g, value], sort=False, dropna=False).ngroup().to_numpy()
+                first, k = _sums_by(codes, _vectors(pdf["__k"], "uint8", replicas))
+                yield pdf.iloc[first][[*g, value]].assign(__k=[x.astype("int32").tobytes() for x in k])
+
+    parts = drawn.select(*g, value, "__k").mapInPandas(collapse, f"{names}{value} double, __k binary")
+    parts = parts.withColumn("__b", magnitude_bucket(value)).join(blocks, [*g, "__b"]).drop("__b")
+
+    def totals(pdf):
+        k = _vectors(pdf["__k"], "int32", replicas).sum(axis=0, dtype="int64")
+        head = pdf.iloc[[0] * replicas][[*g, "__block"]].reset_index(drop=True)
+        return head.assign(replica=np.arange(replicas, dtype="int32"), n=k)
+
+    by = [*g, "__block"]
+    steps = parts.groupBy(*by).applyInPandas(totals, f"{names}__block long, replica int, n long")
+    every = Window.partitionBy(*g, "replica")
+    below = F.coalesce(F.sum("n").over(every.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = steps.select(*by, "replica", below.alias("below"), F.sum("n").over(every).alias("n"))
+
+    def rank(pdf, offsets):
+        offsets = offsets.sort_values("replica")
+        first, k = _sums_by(pdf[value].to_numpy(), _vectors(pdf["__k"], "int32", replicas))
+        twice = 2 * (offsets["below"].to_numpy() + np.cumsum(k, axis=0)) - k - offsets["n"].to_numpy()
+        return pdf.iloc[first][[*g, value]].assign(__r=[x.tobytes() for x in twice])
+
+    return parts.groupBy(*by).cogroup(steps.groupBy(*by)).applyInPandas(rank, f"{names}{value} double, __r binary")
+
+
+def _replica_products(g: list[str], replicas: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per group and replica the number of draws, and sums of squares and products of the centred ranks."""
+
+    def run(batches):
+        for batch in batches:
+            for _, pdf in batch.groupby(g, sort=False, dropna=False) if g else [((), batch)]:
+                k = _vectors(pdf["__k"], "uint8", replicas).astype("float64")
+                a, b = (_vectors(pdf[c], "int64", replicas).astype("float64") for c in ("__yr", "__pr"))
+                head = pdf.iloc[[0] * replicas][g].reset_index(drop=True)
+                yield head.assign(
+                    replica=np.arange(replicas, dtype="int32"), n=k.sum(axis=0).astype("int64"),
+                    yy=(k * a * a).sum(axis=0), pp=(k * b * b).sum(axis=0), yp=(k * a * b).sum(axis=0),
+                )
+
+    return run
 
 
 def by_level(df: DataFrame, levels: dict[str, str | None], extra: Sequence[str]) -> DataFrame:

@@ -1,6 +1,10 @@
+import math
+
 import numpy as np
 import pandas as pd
 
+from pyspark.sql import functions as F
+
 from barloom.functions.numeric import magnitude_bucket
 from barloom.operators import forecast as fc
 from barloom.operators import metrics as mt
@@ -102,3 +106,27 @@ def test_bootstrap_interval_covers_the_estimate(spark):
     ic = pdf[pdf.g == "hot"]["y_true"].rank().corr(pdf[pdf.g == "hot"]["y_pred"].rank())
     assert out.loc["hot", "ic_low"] < ic < out.loc["hot", "ic_high"]
     assert out["n_replicas"].eq(30).all()
+
+
+def test_bootstrap_keeps_replicas_in_vectors_and_equals_a_loop(spark):
+    """Two groups with ties, a constant forecast and a row that comes twice; draws are those of the hash."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": ["a"] * 500 + ["b"] * 60 + ["c"] * 50, "row": [f"r{i}" for i in range(609)] + ["r608"]})
+    pdf["y_true"] = rng.normal(size=len(pdf)).round(1)
+    pdf["y_pred"] = np.where(pdf.g == "c", 0.0, (pdf["y_true"] + rng.normal(size=len(pdf))).round(2))
+    df = spark.createDataFrame(pdf)
+    out = mt.bootstrap_rank_correlation(df, ["g"], "row", 25)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.toPandas().set_index("g")
+    u = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(25))).alias("replica"))
+    u = u.withColumn("u", F.shiftrightunsigned(F.xxhash64("g", "row", "replica"), 11) / float(1 << 53)).toPandas()
+    steps = np.cumsum([np.exp(-1) / float(math.factorial(i)) for i in range(18)])
+    u["k"] = np.searchsorted(steps, u["u"], side="right")
+    copies = u.loc[u.index.repeat(u["k"])]
+    for g, whole in copies.groupby("g"):
+        ics = [d["y_true"].rank().corr(d["y_pred"].rank()) if d["y_pred"].nunique() > 1 else None for _, d in whole.groupby("replica")]
+        ics = pd.Series(ics, dtype="float64").dropna()
+        assert got.loc[g, "n_replicas"] == len(ics) == (0 if g == "c" else 25)
+        if len(ics):
+            want = [ics.mean(), ics.std(ddof=0), ics.quantile(0.05), ics.quantile(0.95)]
+            np.testing.assert_allclose(got.loc[g, ["ic_mean", "ic_std", "ic_low", "ic_high"]].astype(float), want, rtol=1e-9)
