@@ -1,11 +1,14 @@
 """Keyed state in event order: request windows, result reuse, monthly quota, login lockout, signals for decisions, fresh values.
 
-Events reach a stream in any order within the watermark's delay. A key keeps the events that the watermark has not
-passed in a buffer; an event-time timer wakes the key when it has, and the events then go through the rule
+Events reach a stream in any order within the watermark's delay. The events that the watermark has not passed are kept
+in a buffer; an event-time timer wakes them when it has, and they then go through the rule of their key
 in the order of their time, whatever batch brought them. A rule says when its state no longer matters: then a timer
 removes it, so state is held only for keys in use. Events later than the delay are dropped and counted in the
 query's progress. What is buffered of a busy key is bounded by its events within the delay.
 
+A call to the state store costs far more than an event, so keys share a fixed number of buckets by hash: a bucket has one buffer
+and one timer, and its events and states move in columns, a few calls per bucket and batch whatever its keys.
+
 Rows without an id are heartbeats: they move the watermark and do nothing else.
 """
 
@@ -17,7 +20,7 @@ from datetime import UTC, datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ListState, StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -26,6 +29,9 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 EVENT = ("micros", "side", "id", "mark", "a", "b")
 BUFFER = "micros long, side int, id long, mark boolean, a double, b double"
 
+#: Groups of keys that share a buffer and a timer.
+BUCKETS = 512
+
 
 def use_rocks(spark: SparkSession) -> None:
     """Keyed state with several variables and timers needs the RocksDB provider."""
@@ -143,91 +149,137 @@ class Freshest(Rule):
         return (*state, True)
 
 
+def fields_of(schema: str) -> list[tuple[str, str]]:
+    return [tuple(field.split()) for field in schema.split(", ")]
+
+
 class EventOrdered(StatefulProcessor):
-    """Runs a rule over the events of each key in the order of their time."""
+    """Runs a rule over the events of each key in the order of their time. ``keys`` are names and types; a group is a bucket of
+    keys that are null in the same columns, which its second field tells (1: null)."""
 
-    def __init__(self, rule: Rule, keys: Sequence[str]):
-        self.rule, self.keys = rule, list(keys)
-        self.columns = [field.split()[0] for field in rule.out.split(", ")]
+    def __init__(self, rule: Rule, keys: Sequence[tuple[str, str]]):
+        self.rule, self.keys = rule, [k for k, _ in keys]
+        self.key_schema = "".join(f"k{n} array<{t}>, " for n, (_, t) in enumerate(keys))
+        self.columns = [name for name, _ in fields_of(rule.out)] + self.keys
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.fold = handle.getValueState("fold", self.rule.state)
-        self.early = handle.getListState("early", BUFFER)
+        # columns, a part of the events or of the keys with their states in each entry
+        self.fold = handle.getListState("fold", self.in_columns(self.rule.state))
+        self.early = handle.getListState("early", self.in_columns(BUFFER))
         self.timer = handle.getValueState("timer", "due long")
 
+    def in_columns(self, schema: str) -> str:
+        return self.key_schema + ", ".join(f"{n} array<{t}>" for n, t in fields_of(schema))
+
     def wake(self, micros: int) -> None:
-        """One timer for each key, at the first millisecond after the instant that it waits for."""
+        """One timer for each bucket, at the first millisecond after the instant that it waits for."""
         due = micros // 1000 + 1
-        if self.timer.exists():
-            if (now := self.timer.get()[0]) <= due:
+        if (now := self.timer.get()) is not None:
+            if now[0] <= due:
                 return
-            self.handle.deleteTimer(now)
+            self.handle.deleteTimer(now[0])
         self.handle.registerTimer(due)
         self.timer.update((due,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = []
+        parts, first, nulls = [], None, key[1]
         for batch in rows:
+            keys = [[None] * len(batch) if gone == "1" else batch[c].tolist() for c, gone in zip(self.keys, nulls, strict=True)]
             values = [[None if pd.isna(x) else x for x in batch[c].tolist()] for c in EVENT]
-            new += [(int(m), int(s), int(i), *rest) for m, s, i, *rest in zip(*values, strict=True)]
-        if new:
-            self.early.appendList(new)
-            self.wake(min(new)[0])
+            values[:3] = [[int(x) for x in column] for column in values[:3]]
+            if values[0]:
+                parts += in_parts([*keys, *values])
+                first = min(values[0]) if first is None else min(first, *values[0])
+        if parts:
+            self.early.appendList(parts)
+            self.wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.timer.clear()
-        mark = timerValues.getCurrentWatermarkInMs()
-        events = sorted(self.early.get(), key=lambda e: e[:3]) if self.early.exists() else []
-        passed = sum(e[0] // 1000 < mark for e in events)
-        state = tuple(self.fold.get()) if self.fold.exists() else None
-        out = []
-        for event in events[:passed]:
-            state, row = self.rule.step(state, event)
-            if row is not None:
-                out.append(row)
-        if passed:
-            if passed < len(events):
-                self.early.put(events[passed:])
-            else:
-                self.early.clear()
-        ends = None if state is None else self.rule.ends(state)
-        if ends is not None and ends // 1000 < mark:
-            if (row := self.rule.gone(state)) is not None:
-                out.append(row)
-            state = None
-        if state is not None:
-            self.fold.update(state)
-        elif self.fold.exists():
-            self.fold.clear()
-        if passed < len(events):
-            self.wake(events[passed][0])
-        if state is not None and ends is not None:
-            self.wake(ends)
+        mark, n = timerValues.getCurrentWatermarkInMs(), len(self.keys)
+        passed, later, held = {}, [], 0
+        for part in self.early.get():
+            for row in zip(*part, strict=True):
+                held += 1
+                if row[n] // 1000 < mark:
+                    passed.setdefault(row[:n], []).append(row[n:])
+                else:
+                    later.append(row)
+        before = {row[:n]: row[n:] for part in self.fold.get() for row in zip(*part, strict=True)}
+        states, out = dict(before), []
+        for k, events in passed.items():
+            state = states.get(k)
+            for event in sorted(events, key=lambda e: e[:3]):
+                state, row = self.rule.step(state, event)
+                if row is not None:
+                    out.append((*row, *k))
+            states[k] = state
+        kept, due = {}, [row[n] for row in later]
+        for k, state in states.items():
+            ends = None if state is None else self.rule.ends(state)
+            if ends is not None and ends // 1000 < mark:
+                if (row := self.rule.gone(state)) is not None:
+                    out.append((*row, *k))
+            elif state is not None:
+                kept[k] = state
+                due += [] if ends is None else [ends]
+        if len(later) < held:
+            store(self.early, later)
+        if kept != before:
+            store(self.fold, [(*k, *state) for k, state in kept.items()])
+        if due:
+            self.wake(min(due))
         if out:
-            frame = pd.DataFrame(out, columns=self.columns, dtype=object)
-            yield frame.assign(**dict(zip(self.keys, key, strict=True)))
+            yield pd.DataFrame(out, columns=self.columns, dtype=object)
 
     def close(self) -> None:
         pass
 
 
+#: Rows in one entry of a list state.
+PART = 20_000
+
+
+def in_parts(columns: list[list]) -> list[tuple]:
+    return [tuple(c[at : at + PART] for c in columns) for at in range(0, len(columns[0]), PART)]
+
+
+def store(state: ListState, rows: list[tuple]) -> None:
+    """Replace what a list state holds."""
+    if rows:
+        state.put(in_parts([list(c) for c in zip(*rows, strict=True)]))
+    else:
+        state.clear()
+
+
+def stand_in(kind: str) -> Column:
+    """A value in the place of null: pandas turns a column of integers with nulls into floats."""
+    return F.lit("1970-01-01" if kind == "date" or kind.startswith("timestamp") else 0).cast(kind)
+
+
 def in_event_order(
     stream: DataFrame, keys: Sequence[str], rule: Rule, time: str = "ts", delay: str = "10 minutes",
-    mark: Column | None = None, side: Column | None = None, a: Column | None = None, b: Column | None = None,
+    mark: Column | None = None, side: Column | None = None, a: Column | None = None, b: Column | None = None, buckets: int = BUCKETS,
 ) -> DataFrame:
-    """What ``rule`` puts out for the events (``id``, ``time``) of a stream, with the keys."""
+    """What ``rule`` puts out for the events (``id``, ``time``) of a stream, with the keys.
+
+    A stream keeps its number of ``buckets`` as long as its checkpoint; a bucket should hold no more events than a task can."""
     use_rocks(stream.sparkSession)
     given = {"side": (side, "int"), "mark": (mark, "boolean"), "a": (a, "double"), "b": (b, "double")}
     fields = [(F.lit(0 if n == "side" else None) if c is None else c).cast(t).alias(n) for n, (c, t) in given.items()]
     watched = stream.withWatermark(time, delay)
     # heartbeats go after the watermark has seen them: a condition that names the time is not moved before it
     real = watched.where(F.col("id").isNotNull() | F.col(time).isNull()).where(F.col(time).isNotNull())
-    events = real.select(*keys, "id", F.col(time), F.unix_micros(time).alias("micros"), *fields)
     types = dict(stream.dtypes)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("__bucket")
+    nulls = F.concat(*[F.col(k).isNull().cast("int").cast("string") for k in keys]).alias("__nulls")
+    given_keys = [F.coalesce(k, stand_in(types[k])).alias(k) for k in keys]
+    events = real.select(bucket, nulls, *given_keys, "id", F.col(time), F.unix_micros(time).alias("micros"), *fields)
     schema = f"{rule.out}, " + ", ".join(f"{k} {types[k]}" for k in keys)
-    return events.groupBy(*keys).transformWithStateInPandas(EventOrdered(rule, keys), schema, "append", "EventTime")
+    processor = EventOrdered(rule, [(k, types[k]) for k in keys])
+    return events.groupBy("__bucket", "__nulls").transformWithStateInPandas(processor, schema, "append", "EventTime")
 
 
 def request_windows(stream: DataFrame, keys: Sequence[str], ttl_seconds: int, delay: str = "10 minutes") -> DataFrame:
