@@ -297,7 +297,8 @@ def _(i: Inputs) -> DataFrame:
     out = rg.resolve(r, c, have)
     out = out.select("id", "symbol", "horizon", "resolved")
     d = rg.resolve_newest(r.select("id", "symbol"), rg.deep_candidates(F.col("symbol"), no), deep)
-    return out.join(d.select("id", F.col("resolved").alias("deep")), "id")
+    # both sides are as long as the requests, whatever size the planner expects of their few columns
+    return out.hint("merge").join(d.select("id", F.col("resolved").alias("deep")), "id")
 
 
 @query(

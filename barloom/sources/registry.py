@@ -84,17 +84,26 @@ def enriched(manifests: DataFrame, summary: DataFrame, importances: DataFrame, n
 
 
 def resolve(requests: DataFrame, candidates: Column, available: DataFrame, name: str = "name") -> DataFrame:
-    """First available candidate per request: ``candidates`` is the ordered array of names.
+    """First available candidate per request: ``candidates`` is the ordered array of names. Columns of a request may be NULL."""
+    lists = _first_available(requests, candidates, available, name)
+    return _by_list(requests, candidates, lists.withColumnRenamed("__first", "resolved"))
 
-    Candidates are exploded with their place, matched, and the smallest place wins. Columns of a request may be NULL.
+
+def _first_available(requests: DataFrame, candidates: Column, available: DataFrame, name: str) -> DataFrame:
+    """(``__list``, ``__first``) of the different candidate lists that have an available name.
+
+    Names are matched once per list: requests share few names, and all requests of a name would meet in one task.
     """
-    key = requests.columns
-    tried = requests.select("*", F.posexplode(candidates).alias("place", name))
+    lists = requests.select(candidates.alias("__list")).distinct()
+    tried = lists.select("__list", F.posexplode("__list").alias("__place", name))
     hit = tried.join(available, name, "left_semi")
-    best = hit.groupBy(*key).agg(F.min_by(name, "place").alias("resolved"))
-    asked, found = requests.alias("asked"), best.alias("found")
-    same = [F.col(f"asked.{c}").eqNullSafe(F.col(f"found.{c}")) for c in key]
-    return asked.join(found, same, "left").select("asked.*", "found.resolved")
+    return hit.groupBy("__list").agg(F.min_by(name, "__place").alias("__first"))
+
+
+def _by_list(requests: DataFrame, candidates: Column, lists: DataFrame) -> DataFrame:
+    """Requests with ``resolved`` of their list; there are only as many lists as fallback orders."""
+    asked = requests.select("*", candidates.alias("__list"))
+    return asked.join(F.broadcast(lists.select("__list", "resolved")), "__list", "left").select(*requests.columns, "resolved")
 
 
 def manifest_candidates(symbol: Column, horizon: Column, sector: Column, crypto: Column) -> Column:
@@ -116,7 +125,6 @@ def deep_candidates(symbol: Column, crypto: Column) -> Column:
 def resolve_newest(requests: DataFrame, candidates: Column, available: DataFrame) -> DataFrame:
     """First candidate that the registry (``name, version``) has, in its newest version, as ``name/version``."""
     newest = available.groupBy("name").agg(F.max("version").alias("__v"))
-    found = resolve(requests, candidates, newest.select("name")).join(newest.withColumnRenamed("name", "resolved"), "resolved", "left")
-    return found.select(*requests.columns, F.concat_ws("/", "resolved", F.col("__v").cast("string")).alias("__r")).select(
-        *requests.columns, F.nullif("__r", F.lit("")).alias("resolved")
-    )
+    lists = _first_available(requests, candidates, newest, "name").join(newest.withColumnRenamed("name", "__first"), "__first", "left")
+    told = F.nullif(F.concat_ws("/", "__first", F.col("__v").cast("string")), F.lit(""))
+    return _by_list(requests, candidates, lists.select("__list", told.alias("resolved")))

@@ -196,6 +196,25 @@ def test_registry_files_sort_versions_as_numbers(spark, tmp_path):
     assert registry.next_version(docs).first()["next_version"] == 11
 
 
+def test_requests_are_resolved_by_their_lists(spark):
+    """Rows that come twice or hold nulls stay as they are, and no request is shuffled by a candidate's name."""
+    rows = [(1, "A", 20, "S1"), (1, "A", 20, "S1"), (None, "A", 5, None), (2, "B", None, "S9"), (3, None, 10, "S2"), (4, "X-USD", 1, None)]
+    asked = spark.createDataFrame(rows, "id long, symbol string, horizon int, sector string")
+    have = spark.createDataFrame([("SECTOR_S1",), ("SECTOR_S2",), ("UNIVERSAL",), ("UNIVERSAL",)], "name string")
+    no = F.lit(False)
+    names = registry.manifest_candidates(F.col("symbol"), F.col("horizon"), F.col("sector"), no)
+    out = registry.resolve(asked, names, have)
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("strategy=broadcast") == 1
+    want = ["SECTOR_S1", "SECTOR_S1", "UNIVERSAL", "UNIVERSAL", "SECTOR_S2", "UNIVERSAL"]
+    key = lambda r: str(r)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(((*r, w) for r, w in zip(rows, want, strict=True)), key=key)
+    versions = spark.createDataFrame([("UNIVERSAL", 9), ("UNIVERSAL", 10), ("OTHER", 11)], "name string, version int")
+    deep = registry.resolve_newest(asked.select("id", "symbol"), registry.deep_candidates(F.col("symbol"), no), versions)
+    got = sorted(((r["id"], r["resolved"]) for r in deep.collect()), key=key)
+    assert got == sorted(((r[0], None if r[1] == "X-USD" else "UNIVERSAL/10") for r in rows), key=key)
+
+
 def test_offline_store_replaces_only_given_partitions(spark, tmp_path):
     path = str(tmp_path / "store")
     a = spark.createDataFrame([("A", "1d", 1.0), ("B", "1d", 2.0)], "symbol string, period string, v double")
